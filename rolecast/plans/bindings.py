@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rolecast.config import DEFAULT
 from rolecast.operators.posting import Posting
-from rolecast.sources.schema import PARTS, normalise_arrays
+from rolecast.sources.schema import normalise_arrays
 
 REFERENCE_DATE = dt.date(2001, 8, 1)
 CONFIG = replace(DEFAULT, reference_date=REFERENCE_DATE)

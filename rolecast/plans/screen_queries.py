@@ -10,7 +10,6 @@ from rolecast.operators import screen as S
 from rolecast.plans.bindings import CONFIG, check_sql, document_profiles, profiles, table
 from rolecast.plans.registry import query
 from rolecast.session import scratch_path
-from rolecast.sources.schema import PARTS
 from rolecast.streaming.screening import screen_stream, to_parquet
 
 

@@ -1,0 +1,134 @@
+"""Queries that write the derived tables to storage and read them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolecast.operators import audit as A
+from rolecast.operators.features import feature_table
+from rolecast.operators.posting import extract_fields, with_criteria
+from rolecast.operators.rank import rank_topk
+from rolecast.plans import flow
+from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, table
+from rolecast.plans.feature_queries import FEATURE_CTES, r
+from rolecast.plans.ranking_queries import RANKED_CTES, flat, gappy
+from rolecast.plans.registry import query
+from rolecast.session import scratch_path
+from rolecast.sources import postings as PS
+from rolecast.sources import profiles as SP
+from rolecast.sources import tables as ST
+
+# Every 50th line is cut off and every 40th is blank.
+_LINE = "CASE WHEN ingest_ordinal % 50 = 3 THEN substr(j, 1, 40) WHEN ingest_ordinal % 40 = 7 THEN '   ' ELSE j END"
+_LOST = "(b % 50 = 3 OR b % 40 = 7)"
+
+
+def _lines(spark: SparkSession, sf_dir: str, spoil: bool) -> DataFrame:
+    source = profiles(spark, sf_dir)
+    fields = F.struct(*[c for c in source.columns if c != "ingest_ordinal"])
+    json = source.select("ingest_ordinal", F.to_json(fields).alias("j"))
+    return json.selectExpr(f"{_LINE if spoil else 'j'} AS value")
+
+
+@query("scan_jsonl_lenient", check_sql(f"""
+SELECT (SELECT count(*) FROM cand WHERE NOT {_LOST}) AS n_read, (SELECT count(*) FROM cand WHERE b % 50 = 3) AS n_rejected,
+  (SELECT count(*) FROM role WHERE NOT {_LOST}) AS n_roles, (SELECT CAST(sum(months) AS BIGINT) FROM skill WHERE NOT {_LOST}) AS skill_months"""))
+def scan_jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lines")
+    _lines(spark, sf_dir, spoil=True).write.text(path)
+    good, bad = SP.read_profiles(spark, path), SP.read_rejected(spark, path)
+    months = F.aggregate("skills", F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s["duration_months"].cast("bigint"), F.lit(0).cast("bigint")))
+    totals = good.agg(F.count("*").alias("n_read"), F.sum(F.size("career_history")).alias("n_roles"), F.sum(months).alias("skill_months"))
+    return totals.withColumn("n_rejected", bad.agg(F.count("*")).scalar())
+
+
+@query("scan_jsonl_strict", check_sql("SELECT cid AS candidate_id, years_text, (SELECT count(*) FROM role x WHERE x.b = c.b) AS n_roles FROM cand c"))
+def scan_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lines")
+    _lines(spark, sf_dir, spoil=False).write.text(path)
+    return SP.read_profiles_strict(spark, path).select(
+        F.coalesce("candidate_id", F.lit("UNKNOWN")).alias("candidate_id"), F.col("profile.years_of_experience").alias("years_text"),
+        F.size("career_history").cast("bigint").alias("n_roles"))
+
+
+@query("scan_jd_json", """
+SELECT CASE WHEN item_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS title, CASE WHEN item_id % 4 = 0 THEN 0.0e0 ELSE item_id / 2e0 END AS min_years,
+  CASE WHEN item_id % 5 = 0 THEN '' ELSE 'python|c|spark' END AS skill_keys FROM benchmark""")
+def scan_jd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "postings")
+    jd = table(spark, sf_dir, "benchmark").selectExpr(
+        "CASE WHEN item_id % 3 <> 0 THEN substr(text, 1, 20) END AS title", "CASE WHEN item_id % 4 <> 0 THEN item_id / 2 END AS min_experience_years",
+        "CASE WHEN item_id % 5 <> 0 THEN array('Python', '', 'C++ #') END AS required_skills",
+        "CASE WHEN item_id % 5 <> 0 THEN array('Spark') END AS preferred_skills", "text AS description")
+    # One document per line of one file would not be a posting file: one file each.
+    jd.repartition(F.col("description")).write.json(path)
+    found = with_criteria(PS.with_defaults(spark.read.schema(PS._SCHEMA).json(path).drop("_corrupt_record")))
+    return found.select("title", "min_years", F.array_join("skill_keys", "|").alias("skill_keys"))
+
+
+@query("scan_jd_text", """
+SELECT CAST(item_id AS STRING) AS stem, CASE WHEN item_id % 2 = 0 THEN 'Engineer ' || item_id ELSE '' END AS title,
+  CASE WHEN item_id % 3 = 0 THEN 4.0e0 ELSE 0.0e0 END AS min_years, length(text) > 0 AS has_text FROM benchmark""")
+def scan_jd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text postings in one file per posting, named by their key."""
+    path = scratch_path(spark, "texts")
+    texts = table(spark, sf_dir, "benchmark").selectExpr(
+        "item_id", "CASE WHEN item_id % 2 = 0 THEN 'Position: Engineer ' || item_id || chr(10) ELSE '' END || text || "
+        "CASE WHEN item_id % 3 = 0 THEN chr(10) || '4 years of experience' ELSE '' END AS value")
+    texts.write.partitionBy("item_id").text(path)
+    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("value").alias("text"), F.regexp_extract(F.col("_metadata.file_path"), r"item_id=(\d+)", 1).alias("stem"))
+    return extract_fields(found).select(
+        "stem", "title", F.col("min_experience_years").alias("min_years"), (F.length("description") > 0).alias("has_text"))
+
+
+@query("scan_features", f"""WITH {RANKED_CTES}
+SELECT 'csv' AS kind, count(*) AS n, count(semantic_score) AS n_semantic, {r('sum(skill_score)', 4)} AS skill, count_if(is_honeypot) AS n_honeypot FROM flat
+UNION ALL SELECT 'tsv', count(*), count(semantic_score), {r('sum(skill_score)', 4)}, count_if(is_honeypot) FROM flat
+UNION ALL SELECT 'parquet', count(*), count(semantic_score), {r('sum(skill_score)', 4)}, count_if(is_honeypot) FROM flat""")
+def scan_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["candidate_id", "semantic_score", "skill_score", "career_score", "signal_score", "is_honeypot", "open_to_work",
+               "days_inactive", "interview_completion_rate", F.lit(0).alias("risk_score"), "validation_tier"]
+    features = flat(spark, sf_dir).select(*columns)
+    base, result = scratch_path(spark, "features"), None
+    for kind in ("csv", "tsv", "parquet"):
+        path = f"{base}/table.{kind}"
+        if kind == "parquet":
+            ST.write_features(features, path)
+        else:
+            features.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+        part = ST.read_features(spark, path).agg(
+            F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count("semantic_score").alias("n_semantic"),
+            F.round(F.sum("skill_score").cast("decimal(24,10)"), 4).cast("double").alias("skill"), F.count_if("is_honeypot").alias("n_honeypot"))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+@query("write_features", check_sql("SELECT candidate_id, skill_score, career_score, signal_score, is_honeypot, days_inactive, risk_score FROM feature", *FEATURE_CTES))
+def write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "features") + ".parquet"
+    ST.write_features(feature_table(profiles(spark, sf_dir), POSTING.criteria(), CONFIG), path)
+    return ST.read_features(spark, path).select(
+        "candidate_id", "skill_score", "career_score", "signal_score", "is_honeypot", "days_inactive", "risk_score")
+
+
+@query("write_ranked_csv", f"""WITH {RANKED_CTES}
+SELECT candidate_id, CAST(rank AS STRING) AS rank, {r('final_score')} AS score, 'Rank "' || rank || '", good' AS reasoning FROM ranked WHERE rank <= 100""")
+def write_ranked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "ranked")
+    top = rank_topk(gappy(spark, sf_dir)).withColumn("reasoning", F.concat(F.lit('Rank "'), F.col("rank").cast("string"), F.lit('", good')))
+    ST.write_ranked_csv(flow.format_ranked(top), path)
+    lines = ST.read_ranked_csv(spark, path)
+    if ST.csv_header(spark, path) != list(A.HEADER):
+        raise AssertionError("unexpected header")
+    return lines.select("candidate_id", "rank", F.col("score").cast("double").alias("score"), "reasoning")
+
+
+@query("embedding_store", f"""
+SELECT {_id('vec_id')} AS candidate_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""")
+def embedding_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "vectors")
+    ST.write_vectors(table(spark, sf_dir, "embeddings").selectExpr(f"{_id('vec_id')} AS candidate_id", "embedding"), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return ST.read_vectors(spark, path).select("candidate_id", F.size("embedding").cast("bigint").alias("dims"), F.round(total, 6).alias("total"))

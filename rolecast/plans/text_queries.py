@@ -135,7 +135,7 @@ def keyword_topn_no_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH blob AS ({_BLOB}), words AS (SELECT candidate_id, unnest(string_split(text, ' ')) AS w FROM blob),
 bucket AS (SELECT candidate_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL),
 norm AS (SELECT candidate_id, sqrt(sum(n * n)) AS len FROM bucket GROUP BY 1)
-SELECT candidate_id, dim, round(n / len, 5) AS weight FROM bucket JOIN norm USING (candidate_id)""")
+SELECT candidate_id, dim, round(CAST(CAST(n / len AS FLOAT) AS DOUBLE), 5) AS weight FROM bucket JOIN norm USING (candidate_id)""")
 def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     blobs = document_profiles(table(spark, sf_dir, "documents")).select("candidate_id", T.candidate_text_blob().alias("text"))
     encoded = E.batch_embed(blobs, lambda: E.HashingEncoder(64))
@@ -147,7 +147,7 @@ def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH words AS (SELECT item_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM benchmark),
 bucket AS (SELECT item_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL),
 norm AS (SELECT item_id, sqrt(sum(n * n)) AS len FROM bucket GROUP BY 1)
-SELECT item_id, dim, round(n / len, 5) AS weight FROM bucket JOIN norm USING (item_id)""")
+SELECT item_id, dim, round(CAST(CAST(n / len AS FLOAT) AS DOUBLE), 5) AS weight FROM bucket JOIN norm USING (item_id)""")
 def embed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "benchmark").select("item_id", T.clean_text(F.col("text")).alias("text"))
     encoded = E.batch_embed(texts, lambda: E.HashingEncoder(64), key="item_id")

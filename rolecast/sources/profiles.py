@@ -39,8 +39,9 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
 
 def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """The malformed lines with their file, for a quarantine table."""
-    df = _raw_json(spark, path, signals_field, "PERMISSIVE").withColumn("file", F.col("_metadata.file_path"))
-    return df.where(F.col(CORRUPT).isNotNull()).select("file", F.col(CORRUPT).alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    bad = parse_profiles(lines, "value", signals_field).where(F.col(CORRUPT).isNotNull())
+    return bad.select("file", F.col(CORRUPT).alias("line"))
 
 
 def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
@@ -41,37 +40,34 @@ _SIGNALS = (
     "interview_completion_rate STRING, offer_acceptance_rate STRING, verified_email BOOLEAN, "
     "verified_phone BOOLEAN, linkedin_connected BOOLEAN"
 )
-
-
-def _nested(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-PARTS: dict[str, T.DataType] = {
-    "profile": _nested(_PROFILE),
-    "career_history": T.ArrayType(_nested(_ROLE)),
-    "education": T.ArrayType(_nested(_EDUCATION)),
-    "skills": T.ArrayType(_nested(_SKILL)),
-    "certifications": T.ArrayType(_nested(_CERTIFICATE)),
-    "languages": T.ArrayType(_nested(_LANGUAGE)),
-    "signals": _nested(_SIGNALS),
+# Types as DDL text, so that importing this module needs no session.
+PARTS: dict[str, str] = {
+    "profile": f"STRUCT<{_PROFILE}>",
+    "career_history": f"ARRAY<STRUCT<{_ROLE}>>",
+    "education": f"ARRAY<STRUCT<{_EDUCATION}>>",
+    "skills": f"ARRAY<STRUCT<{_SKILL}>>",
+    "certifications": f"ARRAY<STRUCT<{_CERTIFICATE}>>",
+    "languages": f"ARRAY<STRUCT<{_LANGUAGE}>>",
+    "signals": f"STRUCT<{_SIGNALS}>",
 }
 ARRAYS = ("career_history", "education", "skills", "certifications", "languages")
 
 
-def profile_schema(signals_field: str = "signals") -> T.StructType:
+def profile_schema(signals_field: str = "signals") -> str:
     """Schema of one JSON line; ``signals_field`` is the name used in the file."""
-    fields = [T.StructField("candidate_id", T.StringType())]
+    fields = ["candidate_id STRING"]
     for name, kind in PARTS.items():
-        fields.append(T.StructField(signals_field if name == "signals" else name, kind))
-    fields.append(T.StructField(CORRUPT, T.StringType()))
-    return T.StructType(fields)
+        fields.append(f"`{signals_field if name == 'signals' else name}` {kind}")
+    fields.append(f"{CORRUPT} STRING")
+    return ", ".join(fields)
 
 
 def normalise_arrays(df: DataFrame) -> DataFrame:
     """Replace missing arrays by empty ones and drop null elements."""
+    kinds = dict(df.dtypes)
+
     def full(name: str) -> Column:
-        empty = F.array().cast(PARTS[name])
+        empty = F.array().cast(kinds[name])
         return F.filter(F.coalesce(F.col(name), empty), lambda x: x.isNotNull())
 
-    return df.withColumns({name: full(name) for name in ARRAYS if name in df.columns})
+    return df.withColumns({name: full(name) for name in ARRAYS if name in kinds})

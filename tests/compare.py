@@ -48,8 +48,8 @@ def difference(spark_df, con, sql: str) -> str | None:
     want = sorted((tuple(plain(r[i]) for i in index) for r in theirs), key=repr)
     if ours == want:
         return None
-    extra = [r for r in ours if r not in set(want)][:2] if len(ours) < 20000 else []
-    lost = [r for r in want if r not in set(ours)][:2] if len(ours) < 20000 else []
+    have, need = set(ours), set(want)
+    extra, lost = [r for r in ours if r not in need][:2], [r for r in want if r not in have][:2]
     return f"{len(ours)} rows against {len(want)}; only here {str(extra)[:500]}; only there {str(lost)[:500]}"
 
 
