@@ -14,8 +14,8 @@ SKILL_REPEAT = {"expert": 3, "advanced": 2}
 
 def clean_text(x: Column) -> Column:
     """Lower case, only ``a-z 0-9``, single spaces."""
-    letters = F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " ")
-    return F.trim(F.regexp_replace(letters, r"\s+", " "))
+    # Any run of other characters becomes one space, in a single pass.
+    return F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "))
 
 
 def truncate_words(x: Column, limit: int = MAX_CHARS) -> Column:

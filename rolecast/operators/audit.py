@@ -84,7 +84,7 @@ def audit_rows(rows: DataFrame) -> DataFrame:
                        F.lit("score is not a number")),
         )
     )
-    return parsed.select("rank", "candidate_id", F.explode(checks).alias("v")).select(
+    return parsed.select("rank", "candidate_id", F.explode_outer(checks).alias("v")).where("v IS NOT NULL").select(
         F.col("v.check").alias("check"), "rank", "candidate_id", F.col("v.detail").alias("detail")
     )
 
@@ -146,18 +146,21 @@ def audit_order(rows: DataFrame) -> DataFrame:
                        F.lit("equal scores are not in order of candidate_id")),
         )
     )
-    return pairs.select("rank", "candidate_id", F.explode(checks).alias("v")).select(
+    return pairs.select("rank", "candidate_id", F.explode_outer(checks).alias("v")).where("v IS NOT NULL").select(
         F.col("v.check").alias("check"), "rank", "candidate_id", F.col("v.detail").alias("detail")
     )
 
 
 def audit_honeypot_share(ranked: DataFrame, verdicts: DataFrame, limit: float = HONEYPOT_LIMIT) -> DataFrame:
-    """One row: share of honeypots among the ranked rows, and whether it fails."""
-    joined = ranked.select("candidate_id").join(verdicts.select("candidate_id", "is_honeypot"), "candidate_id", "left")
-    share = F.avg(F.when(F.col("is_honeypot"), 1.0).otherwise(0.0))
-    return joined.agg(F.count("*").alias("n_ranked"), share.alias("share")).select(
-        "n_ranked", "share", F.coalesce(F.col("share") > limit, F.lit(False)).alias("failed")
-    )
+    """One row: share of honeypots among the ranked rows, and whether it fails.
+
+    An inner join, so that the short side can be the one that is broadcast.
+    """
+    fakes = verdicts.where("is_honeypot").select("candidate_id").join(ranked.select("candidate_id"), "candidate_id")
+    n_fakes = fakes.agg(F.countDistinct("candidate_id")).scalar()
+    counted = ranked.agg(F.count("*").alias("n_ranked"))
+    share = F.coalesce(F.try_divide(n_fakes, F.col("n_ranked")), F.lit(0.0))
+    return counted.withColumn("share", share).withColumn("failed", F.col("share") > limit)
 
 
 def audit(ranked: DataFrame, columns: list[str] | None = None) -> DataFrame:

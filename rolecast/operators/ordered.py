@@ -25,10 +25,14 @@ def range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     checkpoint_root(spark)
+    # The last key splits rows that agree on all given keys.
+    keys = [*order, F.col("_tie")]
     laid = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(n, *keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
+        .drop("_tie")
         .checkpoint()
     )
     return laid.withColumns(

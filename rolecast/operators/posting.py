@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -23,18 +24,15 @@ _BULLET = r"[•\-\*]\s*([^\n]+)"
 _MAX_BULLET_WORDS = 4
 
 
-def dictionary_skills(text: Column, word_boundary: bool = False) -> Column:
-    """Dictionary entries found in the text, in dictionary order.
+def dictionary_skills(low: Column, word_boundary: bool = False) -> Column:
+    """Dictionary entries found in a lower-case text, in dictionary order.
 
     A plain substring test, so short entries are found nearly everywhere;
     ``word_boundary`` asks for whole words.
     """
-    low = F.lower(text)
-
     def found(skill: str) -> Column:
         if word_boundary:
-            literal = "".join(c if c.isalnum() or c == " " else "\\" + c for c in skill.lower())
-            return low.rlike(rf"(?<![a-z0-9]){literal}(?![a-z0-9])")
+            return low.rlike(rf"(?<![a-z0-9]){re.escape(skill.lower())}(?![a-z0-9])")
         return low.contains(skill.lower())
 
     return F.array_compact(F.array(*[F.when(found(s), F.lit(s)) for s in POSTING_SKILLS]))
@@ -55,22 +53,30 @@ def bullet_skills(text: Column) -> Column:
 
 def extract_fields(postings: DataFrame, text_column: str = "text", word_boundary: bool = False) -> DataFrame:
     """Title, minimum years, industry and skills from the text of each posting."""
-    text = text_or(F.col(text_column), "")
-    industry = F.lit("")
-    for pattern in reversed(_INDUSTRY):
-        industry = F.when(text.rlike(pattern), strip(F.regexp_extract(text, pattern, 1))).otherwise(industry)
-    return postings.withColumns(
+    # Texts and captures are a projection of their own, computed once per row
+    # although later columns read them several times.
+    source = postings.withColumn("_text", text_or(F.col(text_column), ""))
+    text = F.col("_text")
+    source = source.withColumns(
+        {
+            "_low": F.lower(text),
+            "_years": F.regexp_extract(text, _YEARS, 1),
+            "_industry": F.regexp_extract(text, _INDUSTRY[0], 1),
+            "_sector": F.regexp_extract(text, _INDUSTRY[1], 1),
+        }
+    )
+    return source.withColumns(
         {
             "title": strip(F.regexp_extract(text, _TITLE, 1)),
             "required_skills": F.array_distinct(
-                F.concat(dictionary_skills(text, word_boundary), bullet_skills(text))
+                F.concat(dictionary_skills(F.col("_low"), word_boundary), bullet_skills(text))
             ),
             "preferred_skills": F.array().cast("array<string>"),
-            "min_experience_years": F.coalesce(number(F.regexp_extract(text, _YEARS, 1)), F.lit(0.0)),
-            "industry": industry,
+            "min_experience_years": F.coalesce(number(F.col("_years")), F.lit(0.0)),
+            "industry": strip(F.when(F.col("_industry") != "", F.col("_industry")).otherwise(F.col("_sector"))),
             "description": text,
         }
-    )
+    ).drop("_text", "_low", "_years", "_industry", "_sector")
 
 
 def skill_list(required: Column, preferred: Column) -> Column:

@@ -551,10 +551,14 @@ def validate_batch(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 def flag_facts(df: DataFrame, config: Config = DEFAULT, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """One row per flag raised, with its position in the profile's flags."""
-    return (
-        add_flags(df, config, rules)
-        .select(text_or(F.col("candidate_id"), UNKNOWN_ID).alias("candidate_id"), F.posexplode("flags").alias("position", "flag"))
-        .select("candidate_id", "position", "flag.name", "flag.points", "flag.description")
+    # The outer form keeps the optimiser from adding a filter on the array below
+    # the generator, which would evaluate all rules once more.
+    flagged = add_flags(df, config, rules).select(
+        text_or(F.col("candidate_id"), UNKNOWN_ID).alias("candidate_id"),
+        F.posexplode_outer("flags").alias("position", "flag"),
+    )
+    return flagged.where(F.col("position").isNotNull()).select(
+        "candidate_id", "position", "flag.name", "flag.points", "flag.description"
     )
 
 

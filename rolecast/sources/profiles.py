@@ -8,16 +8,6 @@ from pyspark.sql import functions as F
 from rolecast.sources.schema import CORRUPT, normalise_arrays, profile_schema
 
 
-def _raw_json(spark: SparkSession, path: str, signals_field: str, mode: str) -> DataFrame:
-    df = (
-        spark.read.schema(profile_schema(signals_field))
-        .option("mode", mode)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return df.withColumnRenamed(signals_field, "signals") if signals_field != "signals" else df
-
-
 def _ordinal():
     """Position of a line in the input: file, then split, then line."""
     return F.struct(
@@ -30,11 +20,13 @@ def _ordinal():
 def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """Well-formed lines of a JSONL file or folder; broken lines are left out.
 
-    Blank lines vanish. ``ingest_ordinal`` orders rows as they stand in the
-    input. Use ``read_rejected`` for the lines left out.
+    Lines are read as text and then parsed, because that decodes leniently:
+    bytes that are not UTF-8 are replaced instead of losing the line. Blank
+    lines vanish. ``ingest_ordinal`` orders rows as they stand in the input.
+    Use ``read_rejected`` for the lines left out.
     """
-    df = _raw_json(spark, path, signals_field, "PERMISSIVE").withColumn("ingest_ordinal", _ordinal())
-    return normalise_arrays(df.where(F.col(CORRUPT).isNull()).drop(CORRUPT))
+    lines = spark.read.text(path).select("value", _ordinal().alias("ingest_ordinal"))
+    return parse_profiles(lines, "value", signals_field).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
@@ -46,8 +38,17 @@ def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals"
 
 def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """Like ``read_profiles``, but the job fails at the first malformed line."""
-    df = _raw_json(spark, path, signals_field, "FAILFAST").withColumn("ingest_ordinal", _ordinal())
-    return normalise_arrays(df.drop(CORRUPT))
+    df = (
+        spark.read.schema(profile_schema(signals_field))
+        .option("mode", "FAILFAST")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .json(path)
+        .withColumn("ingest_ordinal", _ordinal())
+        .drop(CORRUPT)
+    )
+    if signals_field != "signals":
+        df = df.withColumnRenamed(signals_field, "signals")
+    return normalise_arrays(df)
 
 
 def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str = "signals") -> DataFrame:
