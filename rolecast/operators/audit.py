@@ -67,6 +67,22 @@ def audit_header(ranked: DataFrame, columns: list[str] | None = None) -> DataFra
     )
 
 
+def audit_headers(lines: DataFrame) -> DataFrame:
+    """Per file: is its first line the required header?
+
+    ``lines`` comes from ``sources.tables.ranked_lines``. One row per file that
+    fails, with the number of lines below the header.
+    """
+    first = lines.groupBy("file").agg(F.min_by("value", "position").alias("found"), (F.count("*") - 1).alias("n_lines"))
+    expected = ",".join(HEADER)
+    return first.where(F.col("found") != expected).select(
+        F.lit("header").alias("check"),
+        "file",
+        F.concat(F.lit(f"expected {expected}, found "), "found").alias("detail"),
+        "n_lines",
+    )
+
+
 def audit_rows(rows: DataFrame) -> DataFrame:
     """Checks that look at one row: width, id format, rank, score."""
     ident, rank = F.col("candidate_id"), F.col("rank")

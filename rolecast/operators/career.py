@@ -14,6 +14,7 @@ from rolecast.functions.vocabulary import (
     SENIOR_TITLES,
 )
 from rolecast.operators.posting import Criteria
+from rolecast.session import per_session
 
 # Fixed score levels.
 _NO_HISTORY_LEVEL = 0.3
@@ -92,24 +93,28 @@ def education_level(education: Column) -> Column:
 
 def add_career_scores(df: DataFrame, criteria: Criteria) -> DataFrame:
     """Add the five career components and career_score."""
+    components, score = _career_columns(criteria)
+    return df.withColumns(components).withColumn("career_score", score)
+
+
+@per_session
+def _career_columns(criteria: Criteria) -> tuple[dict[str, Column], Column]:
     roles = F.col("career_history")
-    scored = df.withColumns(
-        {
-            "career_experience": experience(
-                safe_float(F.col("profile")["years_of_experience"]), criteria.min_years
-            ),
-            "career_progression": progression(roles),
-            "career_tenure": tenure(roles),
-            "career_industry": industry_match(roles, criteria.industry),
-            "career_education": education_level(F.col("education")),
-        }
-    )
+    years = safe_float(F.col("profile")["years_of_experience"])
+    components = {
+        "career_experience": experience(years, criteria.min_years),
+        "career_progression": progression(roles),
+        "career_tenure": tenure(roles),
+        "career_industry": industry_match(roles, criteria.industry),
+        "career_education": education_level(F.col("education")),
+    }
     total = F.lit(0.0)
     for name, weight in CAREER_WEIGHTS.items():
         total = total + weight * F.col(f"career_{name}")
-    return scored.withColumn("career_score", clip(total))
+    return components, clip(total)
 
 
+@per_session
 def bad_career_number() -> Column:
     """Are the years or a role's months present but not numeric?"""
     years = F.col("profile")["years_of_experience"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.config import DEFAULT, Config
@@ -12,6 +12,7 @@ from rolecast.operators.posting import Criteria
 from rolecast.operators.screen import UNKNOWN_ID, screen
 from rolecast.operators.signal import add_signal_scores, bad_signal, github_activity
 from rolecast.operators.skill import add_skill_scores
+from rolecast.session import per_session
 
 # Columns carried along when the input has them.
 CARRIED = ("posting_id", "ingest_ordinal")
@@ -34,15 +35,22 @@ def feature_table(
     judged = screen(scored, config).withColumn(
         "scoring_error", F.col("skill_error") | bad_career_number() | bad_signal()
     )
+    columns = _output_columns("semantic_score" in profiles.columns, reason_columns, config)
+    return judged.select(*columns, *[c for c in CARRIED if c in profiles.columns])
+
+
+@per_session
+def _output_columns(has_semantic: bool, reason_columns: bool, config: Config) -> list[Column]:
     signals, error = F.col("signals"), F.col("scoring_error")
 
-    def unless_error(value, default):
+    def unless_error(value: Column, default: float | bool | int) -> Column:
         return F.when(error, F.lit(default)).otherwise(value)
 
     rate = number(signals["interview_completion_rate"])
     if config.zero_interview_is_missing:
         rate = F.when(rate != 0, rate)
-    semantic = F.col("semantic_score") if "semantic_score" in profiles.columns else F.lit(0.0)
+    semantic = F.col("semantic_score") if has_semantic else F.lit(0.0)
+    days = days_inactive(parse_date(signals["last_active_date"]), config.reference_date)
     columns = [
         text_or(F.col("candidate_id"), UNKNOWN_ID).alias("candidate_id"),
         stable_round(semantic, 4).alias("semantic_score"),
@@ -50,14 +58,13 @@ def feature_table(
             stable_round(unless_error(F.col(c), 0.0), 4).alias(c)
             for c in ("skill_score", "career_score", "signal_score")
         ],
-        "is_honeypot",
+        F.col("is_honeypot"),
         unless_error(F.coalesce(signals["open_to_work_flag"], F.lit(True)), True).alias("open_to_work"),
-        unless_error(
-            days_inactive(parse_date(signals["last_active_date"]), config.reference_date), 999
-        ).alias("days_inactive"),
+        unless_error(days, 999).alias("days_inactive"),
         stable_round(unless_error(F.coalesce(rate, F.lit(1.0)), 1.0), 4).alias("interview_completion_rate"),
-        "risk_score",
-        "validation_tier",
+        F.col("risk_score"),
+        F.col("validation_tier"),
+        error,
     ]
     if reason_columns:
         columns += [
@@ -68,4 +75,4 @@ def feature_table(
             F.col("profile")["current_title"].alias("current_title"),
             F.get("education", F.lit(0))["degree"].alias("education_level"),
         ]
-    return judged.select(*columns, "scoring_error", *[c for c in CARRIED if c in profiles.columns])
+    return columns

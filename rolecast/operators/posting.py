@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rolecast.functions.scalars import number, strip, text_or
 from rolecast.functions.text import normalise_skill
 from rolecast.functions.vocabulary import POSTING_SKILLS
+from rolecast.session import per_session
 
 # Fixed patterns. ``[^\n]`` is used for "any character of the line".
 _TITLE = r"(?i)(?:job title|position|role)\s*[:\-]\s*([^\n]+)"
@@ -88,7 +89,7 @@ def skill_list(required: Column, preferred: Column) -> Column:
     )
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)  # hashed by identity: columns have no equality
 class Criteria:
     """What the scorers read from a posting, as columns."""
 
@@ -120,8 +121,13 @@ class Posting:
         )
 
     def criteria(self) -> Criteria:
-        keys = F.array(*[F.lit(k) for k in self.skill_keys]).cast("array<string>")
-        return Criteria(keys, F.lit(self.min_years), F.lit(self.industry))
+        return _criteria(self)
+
+
+@per_session
+def _criteria(posting: Posting) -> Criteria:
+    keys = F.array(*[F.lit(k) for k in posting.skill_keys]).cast("array<string>")
+    return Criteria(keys, F.lit(posting.min_years), F.lit(posting.industry))
 
 
 def with_criteria(postings: DataFrame) -> DataFrame:
@@ -149,6 +155,7 @@ def single_posting(postings: DataFrame) -> Posting:
     return Posting.from_row(rows[0])
 
 
+@per_session
 def joined_criteria() -> Criteria:
     """Criteria from the columns of a frame already joined with postings."""
     return Criteria(F.col("posting_skill_keys"), F.col("posting_min_years"), F.col("posting_industry"))

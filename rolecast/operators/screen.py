@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ from rolecast.functions.vocabulary import (
     TECHNICAL_CONTENT,
     TECHNICAL_TITLES,
 )
+from rolecast.session import per_session
 
 FLAG_TYPE = "struct<name:string,points:int,description:string>"
 CLEAN_REASON = "Clean profile"
@@ -53,12 +53,12 @@ def prepare(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     projection apart when its expensive columns are used more than once, so
     each array is parsed once per row.
     """
-    parsed, sorted_ = _prepared_columns(config, df.sparkSession.sparkContext.applicationId)
+    parsed, sorted_ = _prepared_columns(config)
     return df.withColumns(parsed).withColumns(sorted_)
 
 
-@lru_cache(maxsize=16)
-def _prepared_columns(config: Config, application: str) -> tuple[dict[str, Column], dict[str, Column]]:
+@per_session
+def _prepared_columns(config: Config) -> tuple[dict[str, Column], dict[str, Column]]:
     reference = F.lit(config.reference_date)
     profile = F.col("profile")
     parsed = (
@@ -478,10 +478,8 @@ ALL_RULES: tuple[Rule, ...] = STRUCTURAL + IMPOSSIBLE + BEHAVIOUR
 
 # -- public operators -------------------------------------------------------
 
-# Columns do not belong to a frame, so the expression of a rule set is built
-# once per session; building it takes longer than planning the query.
-@lru_cache(maxsize=256)
-def _flag_array(rules: tuple[Rule, ...], config: Config, application: str) -> Column:
+@per_session
+def _flag_array(rules: tuple[Rule, ...], config: Config) -> Column:
     groups = []
     for rule in rules:
         built = rule.build(config)
@@ -492,7 +490,7 @@ def _flag_array(rules: tuple[Rule, ...], config: Config, application: str) -> Co
 def add_flags(df: DataFrame, config: Config = DEFAULT, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Add ``flags``, the ordered array of ``{name, points, description}``."""
     helpers_before = set(df.columns)
-    flags = _flag_array(tuple(rules), config, df.sparkSession.sparkContext.applicationId)
+    flags = _flag_array(tuple(rules), config)
     flagged = prepare(df, config).withColumn("flags", flags)
     return flagged.drop(*[c for c in flagged.columns if c.startswith("_") and c not in helpers_before])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rolecast.config import DEFAULT, Config
 from rolecast.functions.scalars import clip, days_inactive, number, parse_date, safe_float, text_or
 from rolecast.functions.vocabulary import MAX_SAVES, MAX_SEARCHES, SIGNAL_WEIGHTS
+from rolecast.session import per_session
 
 # Fixed step tables: (upper bound, score), then the score beyond the last one.
 RECENCY_STEPS = ((30, 1.0), (90, 0.8), (180, 0.5))
@@ -77,21 +78,26 @@ def market_demand(s: Column) -> Column:
 
 def add_signal_scores(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Add the four signal components and signal_score."""
+    components, score = _signal_columns(config)
+    return df.withColumns(components).withColumn("signal_score", score)
+
+
+@per_session
+def _signal_columns(config: Config) -> tuple[dict[str, Column], Column]:
     s = F.col("signals")
-    scored = df.withColumns(
-        {
-            "signal_availability": availability(s, config),
-            "signal_responsiveness": responsiveness(s),
-            "signal_credibility": credibility(s),
-            "signal_market_demand": market_demand(s),
-        }
-    )
+    components = {
+        "signal_availability": availability(s, config),
+        "signal_responsiveness": responsiveness(s),
+        "signal_credibility": credibility(s),
+        "signal_market_demand": market_demand(s),
+    }
     total = F.lit(0.0)
     for name, weight in SIGNAL_WEIGHTS.items():
         total = total + weight * F.col(f"signal_{name}")
-    return scored.withColumn("signal_score", clip(total))
+    return components, clip(total)
 
 
+@per_session
 def bad_signal() -> Column:
     """Is a numeric signal, or the last active date, present but malformed?"""
     s = F.col("signals")

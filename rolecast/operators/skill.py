@@ -10,6 +10,7 @@ from rolecast.functions.scalars import clip, number, text_or
 from rolecast.functions.text import normalise_skill, skill_match
 from rolecast.functions.vocabulary import FULL_SKILL_MONTHS, PROFICIENCY, SKILL_WEIGHTS
 from rolecast.operators.posting import Criteria
+from rolecast.session import per_session
 
 
 def matched_skills(skills: Column, keys: Column, mode: str = "substring") -> Column:
@@ -44,6 +45,13 @@ def add_skill_scores(df: DataFrame, criteria: Criteria, config: Config = DEFAULT
     The matched skills and the assessed names are built once per row in an
     earlier projection; the components read them.
     """
+    inputs, components, score = _skill_columns(criteria, config)
+    scored = df.withColumns(inputs).withColumns(components)
+    return scored.withColumn("skill_score", score).drop(*inputs)
+
+
+@per_session
+def _skill_columns(criteria: Criteria, config: Config) -> tuple[dict[str, Column], dict[str, Column], Column]:
     assessed = F.transform(
         F.filter(
             F.coalesce(
@@ -54,12 +62,10 @@ def add_skill_scores(df: DataFrame, criteria: Criteria, config: Config = DEFAULT
         ),
         lambda e: F.struct(normalise_skill(e["key"]).alias("key"), (number(e["value"]) / 100.0).alias("value")),
     )
-    prepared = df.withColumns(
-        {
-            "_matched": matched_skills(F.col("skills"), criteria.skill_keys, config.skill_matching),
-            "_assessed": assessed,
-        }
-    )
+    inputs = {
+        "_matched": matched_skills(F.col("skills"), criteria.skill_keys, config.skill_matching),
+        "_assessed": assessed,
+    }
     matched = F.col("_matched")
     wanted = F.size(criteria.skill_keys)
     # Two assessments may share a normalised name: the last one counts.
@@ -73,22 +79,18 @@ def add_skill_scores(df: DataFrame, criteria: Criteria, config: Config = DEFAULT
         lambda v: v.isNotNull(),
     )
     months = F.transform(matched, lambda s: F.coalesce(number(s["duration_months"]), F.lit(0.0)))
-    scored = prepared.withColumns(
-        {
-            "skill_direct": F.coalesce(F.least(F.try_divide(F.size(matched), wanted), F.lit(1.0)), F.lit(0.0)),
-            "skill_proficiency": _mean(F.transform(matched, lambda s: _level(s["proficiency"]))),
-            "skill_assessment": _mean(results),
-            "skill_duration": F.least(_mean(months) / FULL_SKILL_MONTHS, F.lit(1.0)),
-            # A duration that is present but not numeric.
-            "skill_error": F.exists(
-                matched,
-                lambda s: (text_or(s["duration_months"], "") != "") & number(s["duration_months"]).isNull(),
-            ),
-        }
-    )
+    components = {
+        "skill_direct": F.coalesce(F.least(F.try_divide(F.size(matched), wanted), F.lit(1.0)), F.lit(0.0)),
+        "skill_proficiency": _mean(F.transform(matched, lambda s: _level(s["proficiency"]))),
+        "skill_assessment": _mean(results),
+        "skill_duration": F.least(_mean(months) / FULL_SKILL_MONTHS, F.lit(1.0)),
+        # A duration that is present but not numeric.
+        "skill_error": F.exists(
+            matched,
+            lambda s: (text_or(s["duration_months"], "") != "") & number(s["duration_months"]).isNull(),
+        ),
+    }
     total = F.lit(0.0)
     for name, weight in SKILL_WEIGHTS.items():
         total = total + weight * F.col(f"skill_{name}")
-    score = F.when(wanted > 0, clip(total)).otherwise(0.0)
-    return scored.withColumn("skill_score", score).drop("_matched", "_assessed")
-
+    return inputs, components, F.when(wanted > 0, clip(total)).otherwise(0.0)

@@ -18,6 +18,8 @@ from rolecast.plans.bindings import CONFIG, POSTING, _id, profiles, table, vecto
 from rolecast.plans.feature_queries import FEATURE_CTES, r
 from rolecast.plans.registry import query
 from rolecast.plans.text_queries import _RETRIEVED, _unit_dot
+from rolecast.session import scratch_path
+from rolecast.sources import tables as ST
 
 # -- a flat feature table, one row per order --------------------------------
 # Ids repeat (several orders per customer), scores have gaps, flags are mixed.
@@ -300,10 +302,18 @@ def audit_rank_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.audit_rows(rows).where("check = 'rank_valid'").unionByName(A.audit_rank_unique(rows))
 
 
-@query("audit_header", f"""SELECT CASE WHEN count(*) > 0 THEN 'header' END AS "check", {_NONE} AS rank, {_NONE} AS candidate_id,
-  'expected candidate_id,rank,score,reasoning, found ingest_ordinal,candidate_id,rank,score,reasoning' AS detail FROM orders""")
+@query("audit_header", """
+SELECT 'header' AS "check", 'expected candidate_id,rank,score,reasoning, found ' || CASE WHEN o_orderstatus = 'F' THEN 'candidate_id,score,rank,reasoning'
+  ELSE 'candidate_id,rank,points,reasoning' END AS detail, CAST(count(*) AS BIGINT) AS n_lines FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY ALL""")
 def audit_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.audit_header(output_lines(spark, sf_dir))
+    """Ranked files with a right header, swapped columns and a wrong name."""
+    path = scratch_path(spark, "ranked")
+    source = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderstatus", f"{_id('o_custkey')} AS candidate_id", "o_orderkey AS rank", "o_totalprice AS score", "o_orderpriority AS reasoning")
+    for status, columns in (("O", A.HEADER), ("F", ("candidate_id", "score", "rank", "reasoning")), ("P", ("candidate_id", "rank", "score AS points", "reasoning"))):
+        source.where(F.col("o_orderstatus") == status).selectExpr(*columns).write.option("header", True).csv(f"{path}/{status}")
+    lines = ST.ranked_lines(spark, f"{path}/*")
+    return A.audit_headers(lines).groupBy("check", "detail").agg(F.sum("n_lines").alias("n_lines"))
 
 
 @query("audit", f"""WITH {OUT_CTE}

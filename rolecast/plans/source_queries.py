@@ -58,12 +58,11 @@ SELECT CASE WHEN item_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS title,
 def scan_jd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "postings")
     jd = table(spark, sf_dir, "benchmark").selectExpr(
-        "CASE WHEN item_id % 3 <> 0 THEN substr(text, 1, 20) END AS title", "CASE WHEN item_id % 4 <> 0 THEN item_id / 2 END AS min_experience_years",
+        "item_id", "CASE WHEN item_id % 3 <> 0 THEN substr(text, 1, 20) END AS title", "CASE WHEN item_id % 4 <> 0 THEN item_id / 2 END AS min_experience_years",
         "CASE WHEN item_id % 5 <> 0 THEN array('Python', '', 'C++ #') END AS required_skills",
         "CASE WHEN item_id % 5 <> 0 THEN array('Spark') END AS preferred_skills", "text AS description")
-    # One document per line of one file would not be a posting file: one file each.
-    jd.repartition(F.col("description")).write.json(path)
-    found = with_criteria(PS.with_defaults(spark.read.schema(PS._SCHEMA).json(path).drop("_corrupt_record")))
+    jd.write.partitionBy("item_id").json(path)  # one document per file
+    found = with_criteria(PS.read_posting_json(spark, path))
     return found.select("title", "min_years", F.array_join("skill_keys", "|").alias("skill_keys"))
 
 

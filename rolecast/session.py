@@ -4,9 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache, wraps
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
+
+def per_session(build: Callable[..., T]) -> Callable[..., T]:
+    """Build columns once per Spark application and set of arguments.
+
+    A column is an expression and belongs to no frame. Building the larger
+    ones from Python takes longer than planning the query that uses them.
+    """
+
+    @lru_cache(maxsize=128)
+    def cached(application: str, *args) -> T:
+        return build(*args)
+
+    @wraps(build)
+    def call(*args) -> T:
+        return cached(SparkContext.getOrCreate().applicationId, *args)
+
+    return call
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, else a local one.

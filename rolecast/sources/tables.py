@@ -71,3 +71,9 @@ def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """The column names in the first line."""
     return spark.read.option("header", True).option("escape", '"').csv(path).columns
+
+
+def ranked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw lines of ranked CSV files with their file and position in it."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("position"))
