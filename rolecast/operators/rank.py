@@ -37,7 +37,11 @@ def _ready(df: DataFrame, round_first: bool, order: str) -> DataFrame:
     filled = fill_missing_score(df)
     if round_first:
         filled = filled.withColumn("final_score", stable_round(F.col("final_score"), 6))
-    return dedupe_first(filled, order=order) if order in df.columns else filled
+    if order in df.columns:
+        return dedupe_first(filled, order=order)
+    # Without a reading order the order of the frame's partitions stands in.
+    numbered = filled.withColumn("_order", F.monotonically_increasing_id())
+    return dedupe_first(numbered, order="_order").drop("_order")
 
 
 def rank_all(df: DataFrame, round_first: bool = False, order: str = "ingest_ordinal") -> DataFrame:
@@ -54,8 +58,8 @@ def rank_topk(
 ) -> DataFrame:
     """The best ``k`` rows with their rank, overall or per ``by`` columns.
 
-    Duplicate ids are removed first when the ``order`` column exists (with
-    ``by`` the input is expected to have one row per group and id).
+    Of equal ids the first by ``order`` is kept. With ``by`` the input is
+    expected to have one row per group and id, as retrieval gives it.
     """
     if by:
         best = F.row_number().over(W.partitionBy(*by).orderBy(*rank_order()))
@@ -65,6 +69,21 @@ def rank_topk(
     return top.withColumn("rank", F.row_number().over(W.orderBy(*rank_order())))
 
 
+def rank_topk_narrow(df: DataFrame, k: int = DEFAULT_TOP_K, order: str = "ingest_ordinal") -> DataFrame:
+    """``rank_topk`` for a wide stored table with a unique ``order`` column.
+
+    Only key, order and score go through the shuffle that removes duplicates;
+    the k chosen rows are then fetched by a second, filtered scan. Worth it when
+    reading a row twice is cheaper than shuffling it, so not for features that
+    would have to be computed twice.
+    """
+    require_columns(df, (order,), "narrow ranking")
+    best = rank_topk(df.select("candidate_id", "final_score", order), k, order=order)
+    chosen = best.select(F.col(order), F.col("rank"))
+    # At most k rows are broadcast.
+    return fill_missing_score(df).join(F.broadcast(chosen), order)
+
+
 def rank_summary(ranked: DataFrame, n: int = 5) -> DataFrame:
     """The first and the last ``n`` rows of a ranked selection."""
     last = ranked.agg(F.max("rank")).scalar()

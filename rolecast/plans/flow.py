@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecast.config import DEFAULT, Config
 from rolecast.functions.scalars import stable_round
+from rolecast.functions.text import candidate_text_blob, posting_text_blob
+from rolecast.operators.encode import Encoder, HashingEncoder, batch_embed
 from rolecast.operators.features import feature_table
 from rolecast.operators.posting import Posting, joined_criteria, with_criteria
 from rolecast.operators.rank import DEFAULT_TOP_K, rank_topk
@@ -21,6 +23,17 @@ from rolecast.operators.retrieve import (
     semantic_retrieve,
 )
 from rolecast.operators.score import add_final_score
+from rolecast.sources.postings import load_posting
+from rolecast.sources.profiles import read_profiles
+from rolecast.sources.schema import reading_order
+from rolecast.sources.tables import (
+    read_features,
+    read_ranked_csv,
+    read_vectors,
+    write_features,
+    write_ranked_csv,
+    write_vectors,
+)
 
 
 def retrieve_and_score(
@@ -44,16 +57,81 @@ def retrieve_and_score(
     return feature_table(fetch_by_ids(profiles, hits, n, config), posting.criteria(), config)
 
 
+def run_features(
+    spark: SparkSession,
+    profiles_path: str,
+    posting_path: str,
+    output_path: str,
+    vectors_path: str | None = None,
+    make_encoder: Callable[[], Encoder] = HashingEncoder,
+    mode: str = "auto",
+    top_n: int | None = None,
+    signals_field: str = "signals",
+    config: Config = DEFAULT,
+) -> DataFrame:
+    """Raw profiles and one posting to a stored feature table.
+
+    With a vector table the posting is encoded by the same encoder and the
+    profiles are retrieved by similarity, otherwise by keyword hits.
+    """
+    posting = load_posting(spark, posting_path)
+    profiles = read_profiles(spark, profiles_path, signals_field)
+    vectors = query = None
+    if vectors_path is not None:
+        vectors = read_vectors(spark, vectors_path)
+        query = encode_posting(spark, posting, make_encoder)
+    features = retrieve_and_score(profiles, posting, vectors, query, mode, top_n, config)
+    write_features(features, output_path)
+    return read_features(spark, output_path) if output_path.endswith(".parquet") else spark.read.parquet(output_path)
+
+
+def build_vectors(
+    profiles: DataFrame, path: str, make_encoder: Callable[[], Encoder] = HashingEncoder, config: Config = DEFAULT
+) -> None:
+    """Encode the text of every profile and store the vectors with their ids."""
+    blobs = profiles.select("candidate_id", candidate_text_blob().alias("text"))
+    write_vectors(batch_embed(blobs, make_encoder, batch_size=config.retrieval.batch_size), path)
+
+
+def encode_posting(spark: SparkSession, posting: Posting, make_encoder: Callable[[], Encoder] = HashingEncoder) -> list[float]:
+    """The query vector of one posting."""
+    fields = spark.range(1).select(
+        F.lit("query").alias("posting_id"), F.lit(posting.title).alias("title"), F.lit(posting.description).alias("description"),
+        F.lit("").alias("responsibilities"),
+        F.array(*[F.struct(F.lit(s).alias("name"), F.lit("required").alias("importance")) for s in posting.skills])
+        .cast("array<struct<name:string,importance:string>>").alias("required_skills"),
+        F.array().cast("array<struct<name:string,importance:string>>").alias("preferred_skills"),
+        F.array().cast("array<struct<degree:string,field:string>>").alias("qualifications"),
+    )
+    text = fields.select("posting_id", posting_text_blob().alias("text"))
+    return list(batch_embed(text, make_encoder, key="posting_id").first()["embedding"])
+
+
 def format_ranked(ranked: DataFrame) -> DataFrame:
-    """The four output columns."""
+    """The four output columns, from a final_score or an existing score."""
+    score = "final_score" if "final_score" in ranked.columns else "score"
     return ranked.select(
         "candidate_id",
         F.col("rank").cast("int").alias("rank"),
-        stable_round(F.col("final_score"), 6).alias("score"),
+        stable_round(F.col(score), 6).alias("score"),
         "reasoning",
     )
 
 
+def load_and_rank(spark: SparkSession, source: str | DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
+    """Rank a scored table given as a frame or as a parquet, csv or tsv path."""
+    if isinstance(source, str):
+        read = read_features(spark, source, None)
+        source = read if "ingest_ordinal" in read.columns else read.withColumn("ingest_ordinal", reading_order())
+    return rank_topk(source, top_k)
+
+
+def build_and_write(features: DataFrame, path: str, top_k: int = DEFAULT_TOP_K, config: Config = DEFAULT) -> DataFrame:
+    """Score, rank, explain, write the CSV, and return what was written."""
+    write_ranked_csv(build_ranking(features, top_k, config), path)
+    return read_ranked_csv(features.sparkSession, path)
+
+
 def build_ranking(features: DataFrame, top_k: int = DEFAULT_TOP_K, config: Config = DEFAULT) -> DataFrame:
     """Score, rank, explain and format a feature table."""
     scored = add_final_score(features, config)

@@ -5,16 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.sources.schema import CORRUPT, normalise_arrays, profile_schema
-
-
-def _ordinal():
-    """Position of a line in the input: file, then split, then line."""
-    return F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
-    )
+from rolecast.sources.schema import CORRUPT, normalise_arrays, profile_schema, reading_order
 
 
 def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
@@ -25,7 +16,7 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
     lines vanish. ``ingest_ordinal`` orders rows as they stand in the input.
     Use ``read_rejected`` for the lines left out.
     """
-    lines = spark.read.text(path).select("value", _ordinal().alias("ingest_ordinal"))
+    lines = spark.read.text(path).select("value", reading_order().alias("ingest_ordinal"))
     return parse_profiles(lines, "value", signals_field).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
@@ -43,7 +34,7 @@ def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "s
         .option("mode", "FAILFAST")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
-        .withColumn("ingest_ordinal", _ordinal())
+        .withColumn("ingest_ordinal", reading_order())
         .drop(CORRUPT)
     )
     if signals_field != "signals":

@@ -71,3 +71,15 @@ def normalise_arrays(df: DataFrame) -> DataFrame:
         return F.filter(F.coalesce(F.col(name), empty), lambda x: x.isNotNull())
 
     return df.withColumns({name: full(name) for name in ARRAYS if name in kinds})
+
+
+def reading_order() -> Column:
+    """Position of a row in the files it is read from: file, split, row.
+
+    For a frame just read from files, before any shuffle.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolecast.sources.schema import reading_order
+
 FEATURE_SCHEMA = (
     "candidate_id STRING, semantic_score DOUBLE, skill_score DOUBLE, career_score DOUBLE, "
     "signal_score DOUBLE, is_honeypot BOOLEAN, open_to_work BOOLEAN, days_inactive INT, "
@@ -75,5 +77,4 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 def ranked_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw lines of ranked CSV files with their file and position in it."""
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("position"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), reading_order().alias("position"))

@@ -117,10 +117,19 @@ def test_rank_all_and_topk_against_sort(spark):
     assert [r["rank"] for r in edges] == [1, 2, 3, 4, 5, 46, 47, 48, 49, 50]
 
 
-def test_rank_all_with_identical_rows(spark):
+def test_positions_of_identical_rows(spark):
+    from rolecast.operators.ordered import with_rank
+
     df = spark.createDataFrame([("x", 0.5)] * 400 + [("y", 0.9)], "candidate_id string, final_score double").repartition(5)
-    got = sorted((r["rank"], r["candidate_id"]) for r in R.rank_all(df).collect())
+    got = sorted((r["rank"], r["candidate_id"]) for r in with_rank(df, R.rank_order()).collect())
     assert got == [(1, "y")] + [(n, "x") for n in range(2, 402)]
+    assert [(r["rank"], r["candidate_id"]) for r in R.rank_all(df).orderBy("rank").collect()] == [(1, "y"), (2, "x")]
+
+
+def test_first_row_in_the_file_is_kept(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("candidate_id,final_score\n" + "".join(f"c{i % 3},{i / 10}\n" for i in range(9)))
+    rows = flow.load_and_rank(spark, str(tmp_path / "s.csv")).orderBy("rank").collect()
+    assert [(r["candidate_id"], r["final_score"]) for r in rows] == [("c2", 0.2), ("c1", 0.1), ("c0", 0.0)]
 
 
 def test_fewer_rows_than_k(spark):
