@@ -170,10 +170,12 @@ def audit_order(rows: DataFrame) -> DataFrame:
 def audit_honeypot_share(ranked: DataFrame, verdicts: DataFrame, limit: float = HONEYPOT_LIMIT) -> DataFrame:
     """One row: share of honeypots among the ranked rows, and whether it fails.
 
-    An inner join, so that the short side can be the one that is broadcast.
+    An inner join, so that the short side can be the one that is broadcast. The
+    verdict is tested in the aggregate and not in a filter, which would be
+    pushed into the screen and run its rules twice.
     """
-    fakes = verdicts.where("is_honeypot").select("candidate_id").join(ranked.select("candidate_id"), "candidate_id")
-    n_fakes = fakes.agg(F.countDistinct("candidate_id")).scalar()
+    seen = ranked.select("candidate_id").join(verdicts.select("candidate_id", "is_honeypot"), "candidate_id")
+    n_fakes = seen.agg(F.countDistinct(F.when(F.col("is_honeypot"), F.col("candidate_id")))).scalar()
     counted = ranked.agg(F.count("*").alias("n_ranked"))
     share = F.coalesce(F.try_divide(n_fakes, F.col("n_ranked")), F.lit(0.0))
     return counted.withColumn("share", share).withColumn("failed", F.col("share") > limit)

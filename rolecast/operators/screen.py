@@ -524,7 +524,11 @@ def penalty_multiplier(tier: Column, config: Config = DEFAULT) -> Column:
 
 
 def screen(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Add flags, risk_score, validation_tier, is_honeypot and primary_reason."""
+    """Add flags, risk_score, validation_tier, is_honeypot and primary_reason.
+
+    Write the verdicts before filtering on them: Spark moves a filter below a
+    projection by copying its expressions, which would run the rules twice.
+    """
     scored = add_flags(df, config).withColumn("risk_score", risk_score(F.col("flags"), config))
     tiered = scored.withColumns(
         {

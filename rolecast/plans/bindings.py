@@ -42,6 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table that lies in a single file to all cores.
+
+    One small file is one task however long the work per row. A table of
+    several files is left alone: it has tasks enough and is not shuffled.
+    """
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _id(n: str) -> str:
     text = f"CAST({n} AS STRING)"
     return f"'CAND_' || lpad({text}, CAST(greatest(7, length({text})) AS INT), '0')"
@@ -282,7 +293,7 @@ POSTING_TEXT = """CASE WHEN doc_id % 3 = 0 THEN 'Job Title: ' || source || chr(1
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id AS posting_id", f"{POSTING_TEXT} AS text")
+    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS posting_id", f"{POSTING_TEXT} AS text")
 
 
 # -- checking SQL -----------------------------------------------------------

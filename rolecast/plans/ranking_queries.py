@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecast.config import Weights
-from rolecast.functions.scalars import safe_float, stable_round
+from rolecast.functions.scalars import days_inactive, parse_date, stable_round
 from rolecast.operators import audit as A
 from rolecast.operators import rank as R
 from rolecast.operators import reason as N
 from rolecast.operators import score as S
 from rolecast.operators.features import feature_table
-from rolecast.operators.screen import validate_batch
+from rolecast.operators.screen import screen
 from rolecast.plans import flow
-from rolecast.plans.bindings import CONFIG, POSTING, _id, profiles, table, vectors, check_sql
+from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, spread, table, vectors
 from rolecast.plans.feature_queries import FEATURE_CTES, r
 from rolecast.plans.registry import query
 from rolecast.plans.text_queries import _RETRIEVED, _unit_dot
@@ -49,7 +49,7 @@ _W = CONFIG.weights
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in FLAT.items()])
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in FLAT.items()])
 
 
 def _rounded(name: str, x: Column | None = None) -> Column:
@@ -263,7 +263,7 @@ good AS (SELECT *, CASE WHEN regexp_matches(rank, '^(0|-?[1-9][0-9]*)$') THEN CA
 
 
 def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in OUTPUT.items()])
+    return spread(table(spark, sf_dir, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in OUTPUT.items()])
 
 
 _NONE = "CAST(NULL AS STRING)"
@@ -348,14 +348,18 @@ def _top_sql(k: int, semantic: str = "NULL", join: str = "") -> tuple[str, ...]:
 
 
 @query("audit_honeypot_share", check_sql(
-    f"SELECT count(*) AS n_ranked, {r('avg(CASE WHEN is_honeypot THEN 1.0e0 ELSE 0 END)')} AS share, avg(CASE WHEN is_honeypot THEN 1.0e0 ELSE 0 END) > 0.1 AS failed "
-    "FROM (SELECT * FROM uniq ORDER BY days_inactive, candidate_id LIMIT 100)", *FEATURE_CTES, *_top_sql(100)))
+    f"""SELECT count(*) AS n_ranked, {r("avg(CASE WHEN tier = 'honeypot' THEN 1.0e0 ELSE 0 END)")} AS share,
+        avg(CASE WHEN tier = 'honeypot' THEN 1.0e0 ELSE 0 END) > 0.1 AS failed
+    FROM (SELECT tier FROM cand c JOIN tiered t USING (b) JOIN inactive i USING (b)
+      ORDER BY days, coalesce(candidate_id, 'UNKNOWN_' || b) LIMIT 100)""", *FEATURE_CTES))
 def audit_honeypot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of honeypots among the 100 most recently active profiles."""
-    source = R.dedupe_first(profiles(spark, sf_dir).withColumn("candidate_id", F.coalesce("candidate_id", F.lit("UNKNOWN"))))
-    features = feature_table(source, POSTING.criteria(), CONFIG)
-    picked = features.orderBy("days_inactive", "candidate_id").limit(100)
-    share = A.audit_honeypot_share(picked, validate_batch(source, CONFIG))
+    name = F.coalesce("candidate_id", F.concat(F.lit("UNKNOWN_"), F.col("ingest_ordinal").cast("string")))
+    source = profiles(spark, sf_dir)
+    days = days_inactive(parse_date(F.col("signals")["last_active_date"]), CONFIG.reference_date)
+    picked = profiles(spark, sf_dir, with_skills=False).select(name.alias("candidate_id"), days.alias("days")).orderBy("days", "candidate_id").limit(100)
+    verdicts = screen(source, CONFIG).select(name.alias("candidate_id"), "is_honeypot")
+    share = A.audit_honeypot_share(picked, verdicts)
     return share.withColumn("share", stable_round(F.col("share"), 6))
 
 

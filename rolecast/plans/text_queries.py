@@ -11,7 +11,7 @@ from rolecast.functions.vocabulary import POSTING_SKILLS
 from rolecast.operators import encode as E
 from rolecast.operators import posting as P
 from rolecast.operators import retrieve as R
-from rolecast.plans.bindings import POSTING_TEXT, _id, document_profiles, postings, table, vectors
+from rolecast.plans.bindings import POSTING_TEXT, _id, document_profiles, postings, spread, table, vectors
 from rolecast.plans.registry import query
 
 
@@ -42,7 +42,7 @@ SELECT {_id('doc_id')} AS candidate_id, {_CUT} AS text FROM joined"""
 
 @query("candidate_text_blob", _BLOB)
 def candidate_text_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_profiles(table(spark, sf_dir, "documents")).select("candidate_id", T.candidate_text_blob().alias("text"))
+    return document_profiles(spread(table(spark, sf_dir, "documents"))).select("candidate_id", T.candidate_text_blob().alias("text"))
 
 
 @query("jd_text_blob", f"""
@@ -67,7 +67,7 @@ WITH {_LINES}, searched AS (SELECT doc_id, lower(array_to_string(list_concat(
 
 @query("search_text", f"{_SEARCH} SELECT {_id('doc_id')} AS candidate_id, md5(t) AS digest, length(t) AS n_chars FROM searched")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = document_profiles(table(spark, sf_dir, "documents")).select("candidate_id", T.search_text().alias("t"))
+    docs = document_profiles(spread(table(spark, sf_dir, "documents"))).select("candidate_id", T.search_text().alias("t"))
     return docs.select("candidate_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n_chars"))
 
 
@@ -113,7 +113,7 @@ _HITS = " + ".join(f"CAST(contains(t, lower('{w}')) AS INTEGER)" for w in _WORDS
 
 @query("keyword_hits", f"{_SEARCH} SELECT {_id('doc_id')} AS candidate_id, {_HITS} AS hits FROM searched")
 def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = document_profiles(table(spark, sf_dir, "documents"))
+    docs = document_profiles(spread(table(spark, sf_dir, "documents")))
     return docs.select("candidate_id", R.keyword_hits(T.search_text(), _WORDS).alias("hits"))
 
 
@@ -121,12 +121,12 @@ def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT candidate_id, hits FROM (SELECT {_id('doc_id')} AS candidate_id, {_HITS} AS hits FROM searched)
 WHERE hits >= 1 ORDER BY hits DESC, candidate_id LIMIT 500""")
 def keyword_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keyword_topn(document_profiles(table(spark, sf_dir, "documents")), _WORDS)
+    return R.keyword_topn(document_profiles(spread(table(spark, sf_dir, "documents"))), _WORDS)
 
 
 @query("keyword_topn_no_keywords", f"SELECT {_id('doc_id')} AS candidate_id, CAST(0 AS INTEGER) AS hits FROM documents ORDER BY doc_id LIMIT 500")
 def keyword_topn_no_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keyword_topn(document_profiles(table(spark, sf_dir, "documents")), ())
+    return R.keyword_topn(document_profiles(spread(table(spark, sf_dir, "documents"))), ())
 
 
 # -- vectors ----------------------------------------------------------------
@@ -137,7 +137,7 @@ bucket AS (SELECT candidate_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) %
 norm AS (SELECT candidate_id, sqrt(sum(n * n)) AS len FROM bucket GROUP BY 1)
 SELECT candidate_id, dim, round(CAST(CAST(n / len AS FLOAT) AS DOUBLE), 5) AS weight FROM bucket JOIN norm USING (candidate_id)""")
 def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blobs = document_profiles(table(spark, sf_dir, "documents")).select("candidate_id", T.candidate_text_blob().alias("text"))
+    blobs = document_profiles(spread(table(spark, sf_dir, "documents"))).select("candidate_id", T.candidate_text_blob().alias("text"))
     encoded = E.batch_embed(blobs, lambda: E.HashingEncoder(64))
     cells = encoded.select("candidate_id", F.posexplode("embedding").alias("dim", "w")).where("w <> 0")
     return cells.select("candidate_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("w").cast("double"), 5).alias("weight"))
@@ -228,7 +228,7 @@ SELECT 'semantic' AS mode, candidate_id, round(semantic_score, 6) AS semantic_sc
 UNION ALL (SELECT 'keyword', candidate_id, 0.0e0 FROM kw WHERE hits >= 1 ORDER BY hits DESC, candidate_id LIMIT 500)""")
 def retrieval_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both branches of the mode switch over the same corpus."""
-    v, docs = vectors(spark, sf_dir), document_profiles(table(spark, sf_dir, "documents"))
+    v, docs = vectors(spark, sf_dir), document_profiles(spread(table(spark, sf_dir, "documents")))
     q = v.where("vec_id = 0").select("embedding").first()[0]
     result = None
     for has_vectors in (True, False):

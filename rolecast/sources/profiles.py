@@ -48,14 +48,11 @@ def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str =
     Other columns are kept. Works on streams.
     """
     kept = [c for c in lines.columns if c != column]
-    parsed = lines.where(F.trim(column) != "").withColumn(
-        "_p",
-        F.from_json(
-            column,
-            profile_schema(signals_field),
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
-        ),
-    ).select(*kept, "_p.*")
+    parse = F.from_json(
+        column, profile_schema(signals_field), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    )
+    # A generator, so that a filter on parsed fields does not parse a second time.
+    parsed = lines.where(F.trim(column) != "").select(*kept, F.inline(F.array(parse)))
     if signals_field != "signals":
         parsed = parsed.withColumnRenamed(signals_field, "signals")
     return normalise_arrays(parsed)

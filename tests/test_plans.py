@@ -67,3 +67,8 @@ def test_checkpoint_folder_comes_from_the_session():
     assert checkpoint_root(fake(None, "hdfs://set", "yarn")) == "hdfs://set"
     with pytest.raises(RuntimeError):
         checkpoint_root(fake(None, None, "yarn"))
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    text = plan(load(spark, tmp_path, VALID).where("profile.headline = 'x' AND size(skills) > 1"))
+    assert text.count("from_json") == 1
