@@ -62,3 +62,30 @@ def test_score_can_be_given(spark):
     df = spark.createDataFrame([("a", 1, 0.1234567, "r")], "candidate_id string, rank long, score double, reasoning string")
     assert rc.format_ranked(df).first()["score"] == 0.123457
     assert A.HEADER == tuple(rc.format_ranked(df).columns)
+
+
+def test_many_postings_from_files(spark, files):
+    """Every posting ranked as it would be alone."""
+    from pyspark.sql import functions as F
+
+    from rolecast.operators.posting import with_criteria
+    from rolecast.sources.postings import with_defaults
+    from rolecast.sources.tables import read_vectors
+
+    profiles = rc.dedupe_first(rc.read_profiles(spark, str(files / "people.jsonl"), "vendor_signals"))
+    rc.build_vectors(profiles, str(files / "vectors"))
+    vectors = read_vectors(spark, str(files / "vectors"))
+    wanted = []
+    for i, (title, skills, years) in enumerate([("Cook", ["Cooking"], 3.0), ("Data Engineer", ["Spark", "SQL"], 6.0)]):
+        frame = with_defaults(spark.createDataFrame([(title, skills, [], str(years), "Software", title)],
+                              "title string, required_skills array<string>, preferred_skills array<string>, min_experience_years string, industry string, description string"))
+        posting = rc.single_posting(frame)
+        vector = flow.encode_posting(spark, posting)
+        wanted.append((f"P{i}", posting, vector, frame.withColumns({"posting_id": F.lit(f"P{i}"), "embedding": F.array(*[F.lit(x) for x in vector])})))
+    together = rc.rank_for_postings(profiles, vectors, wanted[0][3].unionByName(wanted[1][3]), top_n=40, top_k=15)
+    got = {(r["posting_id"], r["rank"]): (r["candidate_id"], r["score"], r["reasoning"]) for r in together.collect()}
+    assert len(got) == 30
+    for name, posting, vector, _ in wanted:
+        alone = rc.build_ranking(rc.retrieve_and_score(profiles, posting, vectors, vector, top_n=40), 15)
+        assert {(name, r["rank"]): (r["candidate_id"], r["score"], r["reasoning"]) for r in alone.collect()} == {k: v for k, v in got.items() if k[0] == name}
+    assert with_criteria(wanted[1][3]).first()["skill_keys"] == ["spark", "sql"]
