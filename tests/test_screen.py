@@ -153,8 +153,7 @@ def test_tiers(spark, risk, tier, multiplier):
 def test_one_bad_field_only_disables_its_rules(spark, tmp_path):
     bad = profile(years="many", education=[degree(None, 2020), degree(2024, 2020)], skills=_experts(2, 0))
     names = [f["name"] for f in S.add_flags(load(spark, tmp_path, bad)).first()["flags"]]
-    assert names == ["invalid_experience_value", "education_year_inverted", "expert_skill_zero_duration", "underage_work_start"] or (
-        {"invalid_experience_value", "education_year_inverted", "expert_skill_zero_duration"} <= set(names))
+    assert {"invalid_experience_value", "education_year_inverted", "expert_skill_zero_duration"} <= set(names)
 
 
 def test_overlap_agrees_with_all_pairs(spark, tmp_path):
