@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference, duck
+from rolecast.plans import load_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_queries()
 
 
 @pytest.fixture(scope="module")
