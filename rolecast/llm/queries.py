@@ -88,18 +88,21 @@ def packed(docs: DataFrame) -> DataFrame:
 @_query("op6_minhash_forest", r"""
     WITH RECURSIVE words AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), tokens AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM words),
+    runs AS (
+        SELECT doc_id, x || ' ' || lead(x, 1) OVER d || ' ' || lead(x, 2) OVER d || ' ' || lead(x, 3) OVER d || ' ' || lead(x, 4) OVER d AS x
+        FROM tokens WINDOW d AS (PARTITION BY doc_id ORDER BY i)
     ), sets AS (
-        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM words
-    ), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        SELECT DISTINCT doc_id, x FROM runs WHERE x IS NOT NULL UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 4
+    ), shingles AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM sets),
     pairs AS (
         SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
     ), reach AS (
-        SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
-    )
-    SELECT sets.doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(b) AS component_id, sets.doc_id = min(b) AS kept
-    FROM sets JOIN reach ON sets.doc_id = reach.a GROUP BY sets.doc_id
+        SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+    ), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id)
+    SELECT reach.a AS doc_id, CAST(coalesce(any_value(sizes.n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, reach.a = min(b) AS kept
+    FROM reach LEFT JOIN sizes ON reach.a = sizes.doc_id GROUP BY reach.a
 """)
 def minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), 85)

@@ -13,13 +13,17 @@ is split there, and running sums over the pieces' lengths give the places in cod
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Kinds and their patterns. Group 1 leads to the value, group 2 is the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"()(AKIA[A-Z0-9]+)"
-HEX = r"()([0-9a-f]+)"
+# The last two are runs of one class, so their least lengths may stand in the pattern:
+# a run that fails holds no match that succeeds.
+ACCESS = r"()(AKIA[A-Z0-9]{12,})"
+HEX = r"()([0-9a-f]{32,})"
 KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 
 # The method's own parts.
@@ -32,43 +36,54 @@ _OPEN, _VALUE, _CLOSE, _SPARE = "\ue000", "\ue001", "\ue002", "\ue003"
 _BLOCK = 64
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
+
+
 def _running(lengths: Column) -> Column:
-    """Sum of all earlier elements, for each element.
+    """Sum of all earlier elements, for each element of a non-empty array.
 
     In blocks of 64: sums of blocks first, then inside each, so that a text with very
     many matches does not cost the square of their number.
     """
-    blocks = F.when(F.size(lengths) > 0, F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK)), lambda at: F.slice(lengths, at, _BLOCK)))
-    zero = F.lit(0).cast("int")
-    total = lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x)
-    sums = F.transform(blocks, total)
-    return F.flatten(F.transform(
-        blocks, lambda part, nr: F.transform(part, lambda _, k: total(F.slice(sums, 1, nr)) + total(F.slice(part, 1, k)))
-    ))
+    inside = lambda part, base: F.transform(part, lambda _, k: base + _total(F.slice(part, 1, k)))
+    joined = lambda blocks, sums: F.flatten(F.transform(blocks, lambda part, nr: _with(_total(F.slice(sums, 1, nr)), lambda base: inside(part, base))))
+    cut = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK)), lambda at: F.slice(lengths, at, _BLOCK))
+    return _with(cut, lambda blocks: _with(F.transform(blocks, _total), lambda sums: joined(blocks, sums)))
 
 
 def _marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), _OPEN)
 
 
-def spans(text: Column, pattern: str, least: int, lead: int = 0) -> Column:
+def spans(text: Column, pattern: str, least: int) -> Column:
     """``array<struct<start, end>>`` of all leftmost matches whose value has ``least`` characters or more.
 
     ``text`` must not hold the marking characters (see ``unmarked``). Without a match: empty.
     """
-    pieces = _marked(text, pattern)
-    value = lambda x: F.instr(x, _CLOSE) - F.instr(x, _VALUE) - 1
-    whole = lambda x: F.instr(x, _CLOSE) - 2
-    marks = F.transform(pieces, lambda x, k: F.char_length(x) - F.when(k > 0, 2).otherwise(0))
-    at = _running(marks)
-    found = F.transform(pieces, lambda x, k: F.struct(F.get(at, k).alias("start"), (F.get(at, k) + whole(x)).alias("end"), F.when(k > 0, value(x)).otherwise(-1).alias("n")))
-    kept = F.filter(found, lambda m: m.n >= least)
-    return F.transform(kept, lambda m: F.struct(m.start.cast("int").alias("start"), m.end.cast("int").alias("end")))
+
+    def match(piece: Column, at: Column) -> Column:
+        # Each piece but the first is lead, mark, value, mark, rest; the first has no mark.
+        return F.struct(
+            at.alias("start"), (at + F.instr(piece, _CLOSE) - 2).cast("int").alias("end"),
+            F.when(F.instr(piece, _CLOSE) > 0, F.instr(piece, _CLOSE) - F.instr(piece, _VALUE) - 1).otherwise(-1).alias("n"),
+        )
+
+    size = lambda piece: F.char_length(piece) - F.when(F.instr(piece, _CLOSE) > 0, 2).otherwise(0)
+    found = _with(_marked(text, pattern), lambda pieces: F.zip_with(pieces, _with(F.transform(pieces, size), _running), match))
+    return F.transform(F.filter(found, lambda m: m.n >= least), lambda m: F.struct(m.start.alias("start"), m.end.alias("end")))
 
 
 def unmarked(text: Column) -> Column:
     """The text (NULL: empty) with marking characters replaced by one that no pattern takes."""
-    return F.translate(F.coalesce(text, F.lit("")), _OPEN + _VALUE + _CLOSE, _SPARE * 3)
+    whole = F.coalesce(text, F.lit(""))
+    marked = F.contains(whole, F.lit(_OPEN)) | F.contains(whole, F.lit(_VALUE)) | F.contains(whole, F.lit(_CLOSE))
+    return F.when(marked, F.translate(whole, _OPEN + _VALUE + _CLOSE, _SPARE * 3)).otherwise(whole)
 
 
 _NONE = "array<struct<start: int, end: int>>"
@@ -101,7 +116,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     by_place = lambda column: F.array_sort(column, lambda a, b: F.when(a.start != b.start, a.start - b.start).when(a.kind != b.kind, _kind_order(a.kind) - _kind_order(b.kind)).otherwise(0))
     merged = by_place(F.concat(*[one(kind) for kind, _, _ in KINDS]))
 
-    both = found.where((F.size("_access") > 0) & (F.size("_material") + F.size("_endpoint") > 0)).select(F.col(key).alias("k"), F.col("_digest").alias("d"), *[f"_{x}" for x in ("access", "material", "endpoint")]).distinct()
+    # The plain search comes first: it spares all other texts the rest.
+    both = found.where(F.contains(F.col(text), F.lit("AKIA"))).where((F.size("_access") > 0) & (F.size("_material") + F.size("_endpoint") > 0)).select(F.col(key).alias("k"), F.col("_digest").alias("d"), *[f"_{x}" for x in ("access", "material", "endpoint")]).distinct()
     access = both.select("k", "d", F.explode("_access").alias("s")).select("k", "d", "s.*")
     cells = access.select("k", "d", F.col("start").alias("low"), F.col("end").alias("high"), F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("cell"))
     parts = both.select("k", "d", F.explode(F.concat(one("material"), one("endpoint"))).alias("s")).select("k", "d", "s.*").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
