@@ -8,13 +8,11 @@ by cells of the scope's size, so a document full of parts is many small groups.
 
 Spans are found without Python: each match is wrapped in private-use characters (first
 replaced in the text by another one of the same length, so places do not change), the text
-is split there, and running sums over the pieces' lengths give the places in code points.
+is split there, and the pieces' lengths give the places in code points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,50 +31,28 @@ PARTS = (("material", MATERIAL), ("endpoint", ENDPOINT))
 SCOPE = 400
 
 _OPEN, _VALUE, _CLOSE, _SPARE = "\ue000", "\ue001", "\ue002", "\ue003"
-_BLOCK = 64
-
-
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
-
-
-def _running(lengths: Column) -> Column:
-    """Sum of all earlier elements, for each element of a non-empty array.
-
-    In blocks of 64: sums of blocks first, then inside each, so that a text with very
-    many matches does not cost the square of their number.
-    """
-    inside = lambda part, base: F.transform(part, lambda _, k: base + _total(F.slice(part, 1, k)))
-    joined = lambda blocks, sums: F.flatten(F.transform(blocks, lambda part, nr: _with(_total(F.slice(sums, 1, nr)), lambda base: inside(part, base))))
-    cut = F.transform(F.sequence(F.lit(1), F.size(lengths), F.lit(_BLOCK)), lambda at: F.slice(lengths, at, _BLOCK))
-    return _with(cut, lambda blocks: _with(F.transform(blocks, _total), lambda sums: joined(blocks, sums)))
-
-
-def _marked(text: Column, pattern: str) -> Column:
-    return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), _OPEN)
+_NONE = "array<struct<start: int, end: int>>"
 
 
 def spans(text: Column, pattern: str, least: int) -> Column:
     """``array<struct<start, end>>`` of all leftmost matches whose value has ``least`` characters or more.
 
     ``text`` must not hold the marking characters (see ``unmarked``). Without a match: empty.
+    One pass over the pieces: each but the first is lead, mark, value, mark, rest. The fold
+    is kept flat, as nested lambdas take Catalyst seconds per task to compare.
     """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
-    def match(piece: Column, at: Column) -> Column:
-        # Each piece but the first is lead, mark, value, mark, rest; the first has no mark.
+    def step(acc: Column, piece: Column) -> Column:
+        value, close = F.instr(piece, _VALUE), F.instr(piece, _CLOSE)
+        match = F.struct(acc["at"].alias("start"), (acc["at"] + close - 2).cast("int").alias("end"))
         return F.struct(
-            at.alias("start"), (at + F.instr(piece, _CLOSE) - 2).cast("int").alias("end"),
-            F.when(F.instr(piece, _CLOSE) > 0, F.instr(piece, _CLOSE) - F.instr(piece, _VALUE) - 1).otherwise(-1).alias("n"),
+            (acc["at"] + F.char_length(piece) - F.when(close > 0, 2).otherwise(0)).alias("at"),
+            F.when((close > 0) & (close - value - 1 >= least), F.concat(acc["out"], F.array(match))).otherwise(acc["out"]).alias("out"),
         )
 
-    size = lambda piece: F.char_length(piece) - F.when(F.instr(piece, _CLOSE) > 0, 2).otherwise(0)
-    found = _with(_marked(text, pattern), lambda pieces: F.zip_with(pieces, _with(F.transform(pieces, size), _running), match))
-    return F.transform(F.filter(found, lambda m: m.n >= least), lambda m: F.struct(m.start.alias("start"), m.end.alias("end")))
+    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), _OPEN)
+    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
 def unmarked(text: Column) -> Column:
@@ -86,9 +62,6 @@ def unmarked(text: Column) -> Column:
     return F.when(marked, F.translate(whole, _OPEN + _VALUE + _CLOSE, _SPARE * 3)).otherwise(whole)
 
 
-_NONE = "array<struct<start: int, end: int>>"
-
-
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """All columns of ``docs`` with ``base`` and ``linked``: arrays of ``(kind, start, end)``.
 
