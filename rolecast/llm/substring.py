@@ -121,7 +121,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     first = once.groupBy("digests").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digests", "first")
     elsewhere = once.join(first, "digests").where("doc <> first").groupBy("doc").agg(F.collect_list("digests").alias("later"))
     # Runs are found from the chunks' own list; nothing but digests was shuffled for it.
-    hits = made.where(F.exists("again", lambda x: x) | F.lit(False)).select("doc").unionByName(elsewhere.select("doc")).distinct()
+    hits = made.where(F.exists("again", lambda x: x)).select("doc").unionByName(elsewhere.select("doc")).distinct()
     with_later = made.join(hits, "doc", "left_semi").join(elsewhere, "doc", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +154,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     called ``cut_spans`` is replaced; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c.lower() != "cut_spans"]
-    found = repeated_spans(docs, key, text, min_bytes).groupBy("doc").agg(F.max("spans").alias("cut_spans"))
+    found = repeated_spans(docs, key, text, min_bytes).groupBy(F.col("doc").alias("_cut_doc")).agg(F.max("spans").alias("cut_spans"))
     nothing = F.array().cast("array<struct<start: int, end: int>>")
-    joined = docs.select(*kept).join(found, F.col(key).cast("long") == F.col("doc"), "left").withColumn("cut_spans", F.coalesce("cut_spans", nothing))
+    joined = docs.select(*kept).join(found, F.col(key).cast("long") == F.col("_cut_doc"), "left").withColumn("cut_spans", F.coalesce("cut_spans", nothing))
     raw = F.encode(text, "UTF-8")
     ends = F.concat(F.transform("cut_spans", lambda s: s.start), F.array(F.octet_length(text)))
     starts = F.concat(F.array(F.lit(0)), F.transform("cut_spans", lambda s: s.end))
