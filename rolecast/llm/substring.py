@@ -121,8 +121,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     first = once.groupBy("digests").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digests", "first")
     elsewhere = once.join(first, "digests").where("doc <> first").groupBy("doc").agg(F.collect_list("digests").alias("later"))
     # Runs are found from the chunks' own list; nothing but digests was shuffled for it.
-    hits = made.where(F.exists("again", lambda x: x)).select("doc").unionByName(elsewhere.select("doc")).distinct()
-    with_later = made.join(hits, "doc", "left_semi").join(elsewhere, "doc", "left")
+    with_later = made.join(elsewhere, "doc", "left").where(F.col("later").isNotNull() | F.exists("again", lambda x: x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
