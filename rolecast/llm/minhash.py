@@ -65,9 +65,11 @@ _OFFSET = _mixed(np.arange(900, 900 + VALUES, dtype=np.uint64))
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= _WORD_CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 

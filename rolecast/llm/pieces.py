@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from rolecast.llm.common import list_array, slices
 
 SPACE = "▁"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+LONGEST_CACHED = 64
 CACHED_PAIRS = 2_000_000
 
 
@@ -136,9 +137,11 @@ class PieceModel:
     def _word(self, text: str) -> bytes:
         found = self._words.get(text)
         if found is None:
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            found = self._words[text] = self.encode_part(text)
+            found = self.encode_part(text)
+            if len(text) <= LONGEST_CACHED:
+                if len(self._words) >= CACHED_WORDS:
+                    self._words.clear()
+                self._words[text] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -6,21 +6,23 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_400_000
+LONGEST_CACHED = 64
 
 
 class _Cache(dict):
-    """Word to packed ids. Emptied when full: this bounds memory and changes no result."""
+    """Word to packed ids. Emptied when full and closed to long words: this bounds memory and changes no result."""
 
     def __init__(self, encode, before: str) -> None:
         self.encode, self.before = encode, before
 
     def __missing__(self, word: str):
-        if len(self) >= CACHED_WORDS:
-            self.clear()
         # With other white space around, a word's ids depend on its neighbours.
         found = self.encode(self.before + word) if word.split() == [word] else None
-        self[word] = found
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
 
