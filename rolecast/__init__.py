@@ -30,6 +30,7 @@ from rolecast.plans.flow import (
     retrieve_and_score,
     run_features,
 )
+from rolecast.session import ship
 from rolecast.sources.postings import load_posting
 from rolecast.sources.profiles import read_profiles, read_profiles_strict, read_rejected, write_profiles
 from rolecast.sources.tables import read_features, read_ranked_csv, write_features, write_ranked_csv

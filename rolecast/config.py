@@ -63,9 +63,8 @@ class Retrieval:
     top_k: int = 100
     min_hits: int = 1
     batch_size: int = 64
-    # A retrieved id list or query matrix is broadcast only up to these sizes.
-    broadcast_rows: int = 200_000
-    broadcast_bytes: int = 64 * 1024 * 1024
+    # A query matrix is broadcast only up to this size.
+    broadcast_bytes: int = 4 * 1024 * 1024
 
 
 @dataclass(frozen=True)

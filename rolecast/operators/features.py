@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.config import DEFAULT, Config
-from rolecast.functions.scalars import days_inactive, number, parse_date, stable_round, text_or
+from rolecast.functions.scalars import days_inactive, number, parse_date, stable_round
 from rolecast.operators.career import add_career_scores, bad_career_number
 from rolecast.operators.posting import Criteria
 from rolecast.operators.screen import UNKNOWN_ID, screen
@@ -35,12 +35,24 @@ def feature_table(
     judged = screen(scored, config).withColumn(
         "scoring_error", F.col("skill_error") | bad_career_number() | bad_signal()
     )
-    columns = _output_columns("semantic_score" in profiles.columns, reason_columns, config)
+    order = dict(profiles.dtypes).get("ingest_ordinal", "")
+    columns = _output_columns("semantic_score" in profiles.columns, reason_columns, order.split("<")[0], config)
     return judged.select(*columns, *[c for c in CARRIED if c in profiles.columns])
 
 
+def _unknown_id(order: str) -> Column:
+    """A name of its own for a profile without an id: ``UNKNOWN_`` and its reading position.
+
+    ``order`` is the type of ``ingest_ordinal``; without that column the plain word remains.
+    """
+    place = F.col("ingest_ordinal")
+    if order == "struct":
+        place = F.concat_ws("_", F.sha2(place["file"], 256), place["block"].cast("string"), place["line"].cast("string"))
+    return F.concat(F.lit(f"{UNKNOWN_ID}_"), place.cast("string")) if order else F.lit(UNKNOWN_ID)
+
+
 @per_session
-def _output_columns(has_semantic: bool, reason_columns: bool, config: Config) -> list[Column]:
+def _output_columns(has_semantic: bool, reason_columns: bool, order: str, config: Config) -> list[Column]:
     signals, error = F.col("signals"), F.col("scoring_error")
 
     def unless_error(value: Column, default: float | bool | int) -> Column:
@@ -52,7 +64,7 @@ def _output_columns(has_semantic: bool, reason_columns: bool, config: Config) ->
     semantic = F.col("semantic_score") if has_semantic else F.lit(0.0)
     days = days_inactive(parse_date(signals["last_active_date"]), config.reference_date)
     columns = [
-        text_or(F.col("candidate_id"), UNKNOWN_ID).alias("candidate_id"),
+        F.coalesce(F.col("candidate_id"), _unknown_id(order)).alias("candidate_id"),
         stable_round(semantic, 4).alias("semantic_score"),
         *[
             stable_round(unless_error(F.col(c), 0.0), 4).alias(c)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -108,6 +108,8 @@ class Posting:
     min_years: float = 0.0
     industry: str = ""
     description: str = ""
+    # What is encoded: the fields of a structured posting, or the file name and text of another.
+    encoded: dict | None = field(default=None, compare=False, hash=False)
 
     @staticmethod
     def from_row(row: Row) -> "Posting":

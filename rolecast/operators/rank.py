@@ -18,13 +18,13 @@ def fill_missing_score(df: DataFrame) -> DataFrame:
     return df.withColumn("final_score", F.coalesce(F.nanvl("final_score", F.lit(0.0)), F.lit(0.0)))
 
 
-def dedupe_first(df: DataFrame, key: str = "candidate_id", order: str = "ingest_ordinal") -> DataFrame:
+def dedupe_first(df: DataFrame, key: str | Sequence[str] = "candidate_id", order: str = "ingest_ordinal") -> DataFrame:
     """Keep the row of each key that was read first.
 
     Spark limits the groups before the exchange, so even a key with a third
     of all rows sends one row per task.
     """
-    first = F.row_number().over(W.partitionBy(key).orderBy(order))
+    first = F.row_number().over(W.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order))
     return df.withColumn("_nr", first).where("_nr = 1").drop("_nr")
 
 
@@ -58,12 +58,16 @@ def rank_topk(
 ) -> DataFrame:
     """The best ``k`` rows with their rank, overall or per ``by`` columns.
 
-    Of equal ids the first by ``order`` is kept. With ``by`` the input is
-    expected to have one row per group and id, as retrieval gives it.
+    Of equal ids the first by ``order`` is kept, with ``by`` inside each group.
     """
     if by:
+        ready = fill_missing_score(df)
+        kept = order if order in df.columns else "_order"
+        if kept == "_order":
+            ready = ready.withColumn("_order", F.monotonically_increasing_id())
+        unique = dedupe_first(ready, [*by, "candidate_id"], kept).drop("_order")
         best = F.row_number().over(W.partitionBy(*by).orderBy(*rank_order()))
-        return fill_missing_score(df).withColumn("rank", best).where(F.col("rank") <= k)
+        return unique.withColumn("rank", best).where(F.col("rank") <= k)
     top = _ready(df, round_first, order).orderBy(*rank_order()).limit(k)
     # At most k rows reach this window.
     return top.withColumn("rank", F.row_number().over(W.orderBy(*rank_order())))
@@ -85,8 +89,11 @@ def rank_topk_narrow(df: DataFrame, k: int = DEFAULT_TOP_K, order: str = "ingest
 
 
 def rank_summary(ranked: DataFrame, n: int = 5) -> DataFrame:
-    """The first and the last ``n`` rows of a ranked selection."""
-    last = ranked.agg(F.max("rank")).scalar()
-    return ranked.where((F.col("rank") <= n) | (F.col("rank") > last - n)).select(
+    """The first and the last ``n`` rows of a ranked selection.
+
+    A selection has at most k rows, so one window holds it and it is planned once.
+    """
+    last = F.max("rank").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return ranked.withColumn("_last", last).where((F.col("rank") <= n) | (F.col("rank") > F.col("_last") - n)).select(
         "rank", "candidate_id", "final_score"
     )

@@ -58,14 +58,16 @@ def add_final_score(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return df.withColumn("final_score", clip(score))
 
 
-def score_stats(scored: DataFrame, config: Config = DEFAULT, exact_median: bool = True) -> DataFrame:
+def score_stats(scored: DataFrame, config: Config = DEFAULT, exact_median: bool = True, median_places: int = 6) -> DataFrame:
     """One row: spread of final_score and how often each penalty applied.
 
-    The exact median keeps every distinct score until the end; scores are
-    rounded to six places first, which bounds that to a million values.
+    Minimum, maximum and mean are those of the scores as they are. The exact median keeps
+    every distinct score until the end, so for it alone scores are rounded to
+    ``median_places``, which bounds that to ``10 ** median_places`` values.
     """
-    s = stable_round(F.col("final_score"), 6)
-    middle = F.median(s) if exact_median else F.percentile_approx(s, 0.5, 10_000)
+    s = F.col("final_score")
+    rounded = stable_round(s, median_places)
+    middle = F.median(rounded) if exact_median else F.percentile_approx(rounded, 0.5, 10_000)
     return scored.agg(
         F.min(s).alias("min_score"),
         F.max(s).alias("max_score"),

@@ -121,7 +121,7 @@ def skill_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BAD = """(SELECT c.b, (coalesce(years_text, '') <> '' AND years IS NULL) OR (coalesce(last_active, '') <> '' AND try_cast(last_active AS DATE) IS NULL)
     OR EXISTS (SELECT 1 FROM role x WHERE x.b = c.b AND coalesce(x.months_text, '') <> '' AND x.months IS NULL) AS error FROM cand c)"""
 FEATURE_CTE = f"""feature AS (
-  SELECT c.b, c.cid AS candidate_id, x.error AS scoring_error,
+  SELECT c.b, coalesce(c.candidate_id, 'UNKNOWN_' || c.b) AS candidate_id, x.error AS scoring_error,
     CASE WHEN error THEN 0.0e0 ELSE {r('skill_score', 4)} END AS skill_score,
     CASE WHEN error THEN 0.0e0 ELSE {r('career_score', 4)} END AS career_score,
     CASE WHEN error THEN 0.0e0 ELSE {r('signal_score', 4)} END AS signal_score,

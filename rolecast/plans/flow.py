@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from rolecast.operators.retrieve import (
     choose_mode,
     cosine_topk_by_posting,
     fetch_by_ids,
+    fetch_rows,
     keyword_topn,
     semantic_retrieve,
 )
@@ -51,10 +53,11 @@ def retrieve_and_score(
     """
     n = top_n or config.retrieval.top_n
     if choose_mode(mode, vectors is not None and query is not None) == "semantic":
-        hits = semantic_retrieve(vectors, query, n).drop("position")
+        found = fetch_by_ids(profiles, semantic_retrieve(vectors, query, n).drop("position"))
     else:
-        hits = keyword_topn(profiles, posting.skills, n, config.retrieval.min_hits).select("candidate_id")
-    return feature_table(fetch_by_ids(profiles, hits, n, config), posting.criteria(), config)
+        hits = keyword_topn(profiles, posting.skills, n, config.retrieval.min_hits, rows=True)
+        found = fetch_rows(profiles, hits) if "ingest_ordinal" in profiles.columns else fetch_by_ids(profiles, hits.select("candidate_id"))
+    return feature_table(found, posting.criteria(), config)
 
 
 def run_features(
@@ -72,14 +75,19 @@ def run_features(
     """Raw profiles and one posting to a stored feature table.
 
     With a vector table the posting is encoded by the same encoder and the
-    profiles are retrieved by similarity, otherwise by keyword hits.
+    profiles are retrieved by similarity, otherwise by keyword hits. In ``auto`` mode a
+    vector table that is not there means keywords; asked for by name, it is an error.
     """
     posting = load_posting(spark, posting_path)
     profiles = read_profiles(spark, profiles_path, signals_field)
     vectors = query = None
-    if vectors_path is not None:
-        vectors = read_vectors(spark, vectors_path)
-        query = encode_posting(spark, posting, make_encoder)
+    if vectors_path is not None and mode != "keyword":
+        try:
+            vectors = read_vectors(spark, vectors_path)
+            query = encode_posting(spark, posting, make_encoder)
+        except AnalysisException as error:
+            if mode != "auto" or error.getCondition() != "PATH_NOT_FOUND":
+                raise
     features = retrieve_and_score(profiles, posting, vectors, query, mode, top_n, config)
     write_features(features, output_path)
     return read_features(spark, output_path) if output_path.endswith(".parquet") else spark.read.parquet(output_path)
@@ -94,15 +102,24 @@ def build_vectors(
 
 
 def encode_posting(spark: SparkSession, posting: Posting, make_encoder: Callable[[], Encoder] = HashingEncoder) -> list[float]:
-    """The query vector of one posting."""
-    fields = spark.range(1).select(
-        F.lit("query").alias("posting_id"), F.lit(posting.title).alias("title"), F.lit(posting.description).alias("description"),
-        F.lit("").alias("responsibilities"),
-        F.array(*[F.struct(F.lit(s).alias("name"), F.lit("required").alias("importance")) for s in posting.skills])
-        .cast("array<struct<name:string,importance:string>>").alias("required_skills"),
-        F.array().cast("array<struct<name:string,importance:string>>").alias("preferred_skills"),
-        F.array().cast("array<struct<degree:string,field:string>>").alias("qualifications"),
+    """The query vector of one posting.
+
+    A posting read from a file is encoded from its own fields: title, description,
+    responsibilities, skills with their importance and qualifications, or file name and whole
+    text. One made in code has title, description and required skills.
+    """
+    known = posting.encoded or {
+        "title": posting.title, "description": posting.description,
+        "required_items": [{"name": s, "importance": "required"} for s in posting.skills],
+    }
+    skills = lambda name: [(s["name"], s["importance"]) for s in known.get(name, ())]
+    row = (
+        "query", known.get("title") or "", known.get("description") or "", known.get("responsibilities") or "", skills("required_items"), skills("preferred_items"),
+        [(q["degree"], q["field"]) for q in known.get("qualifications", ())],
     )
+    kind = "array<struct<name: string, importance: string>>"
+    fields = spark.createDataFrame([row], f"""posting_id string, title string, description string, responsibilities string, required_skills {kind},
+        preferred_skills {kind}, qualifications array<struct<degree: string, field: string>>""")
     text = fields.select("posting_id", posting_text_blob().alias("text"))
     return list(batch_embed(text, make_encoder, key="posting_id").first()["embedding"])
 
@@ -121,7 +138,9 @@ def format_ranked(ranked: DataFrame) -> DataFrame:
 def load_and_rank(spark: SparkSession, source: str | DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """Rank a scored table given as a frame or as a parquet, csv or tsv path."""
     if isinstance(source, str):
+        # A text table has any columns; only the score is needed as a number, so none is inferred.
         read = read_features(spark, source, None)
+        read = read.withColumn("final_score", F.col("final_score").try_cast("double")) if "final_score" in read.columns else read
         source = read if "ingest_ordinal" in read.columns else read.withColumn("ingest_ordinal", reading_order())
     return rank_topk(source, top_k)
 
@@ -162,7 +181,7 @@ def rank_for_postings(
     pairs = (
         hits.select("posting_id", "candidate_id", F.greatest("similarity", F.lit(0.0)).alias("semantic_score"))
         .join(wanted, "posting_id")
-        .join(profiles, "candidate_id")
+        .join(profiles.where(F.col("candidate_id").isNotNull()), "candidate_id")
     )
     scored = add_final_score(feature_table(pairs, joined_criteria(), config), config)
     ranked = add_reasoning(rank_topk(scored, top_k, by=["posting_id"]), config)

@@ -14,7 +14,7 @@ from rolecast.operators import score as S
 from rolecast.operators.features import feature_table
 from rolecast.operators.screen import screen
 from rolecast.plans import flow
-from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, spread, table, vectors
+from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, table, vectors
 from rolecast.plans.feature_queries import FEATURE_CTES, r
 from rolecast.plans.registry import query
 from rolecast.plans.text_queries import _RETRIEVED, _unit_dot
@@ -49,7 +49,7 @@ _W = CONFIG.weights
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in FLAT.items()])
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in FLAT.items()])
 
 
 def _rounded(name: str, x: Column | None = None) -> Column:
@@ -120,12 +120,13 @@ def final_score_tier_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("score_stats", f"""WITH {FLAT_CTE}, {SCORED_CTE}, x AS (SELECT *, {r('final_score')} AS s FROM scored)
-SELECT min(s) AS min_score, max(s) AS max_score, {r('avg(s)', 5)} AS mean_score, {r('median(s)', 6)} AS median_score,
+SELECT {r('min(final_score)')} AS min_score, {r('max(final_score)')} AS max_score, {r('avg(final_score)', 5)} AS mean_score, {r('median(s)', 6)} AS median_score,
   count_if(final_score = 0) AS n_zero, count(*) AS n_total, count_if({_HONEY}) AS n_honeypot, count_if({_CLOSED}) AS n_not_open,
   count_if({_IDLE}) AS n_inactive, count_if({_UNRELIABLE}) AS n_low_interview FROM x""")
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = S.score_stats(S.add_final_score(flat(spark, sf_dir), CONFIG), CONFIG)
-    return stats.withColumns({"mean_score": stable_round(F.col("mean_score"), 5), "median_score": stable_round(F.col("median_score"), 6)})
+    return stats.withColumns({
+        "mean_score": stable_round(F.col("mean_score"), 5), **{f"{c}_score": stable_round(F.col(f"{c}_score"), 6) for c in ("min", "max", "median")}})
 
 
 # -- ranking ----------------------------------------------------------------
@@ -263,7 +264,7 @@ good AS (SELECT *, CASE WHEN regexp_matches(rank, '^(0|-?[1-9][0-9]*)$') THEN CA
 
 
 def output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders")).selectExpr(*[f"{e} AS {n}" for n, e in OUTPUT.items()])
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {n}" for n, e in OUTPUT.items()])
 
 
 _NONE = "CAST(NULL AS STRING)"
@@ -355,10 +356,12 @@ def _top_sql(k: int, semantic: str = "NULL", join: str = "") -> tuple[str, ...]:
 def audit_honeypot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of honeypots among the 100 most recently active profiles."""
     name = F.coalesce("candidate_id", F.concat(F.lit("UNKNOWN_"), F.col("ingest_ordinal").cast("string")))
-    source = profiles(spark, sf_dir)
     days = days_inactive(parse_date(F.col("signals")["last_active_date"]), CONFIG.reference_date)
     picked = profiles(spark, sf_dir, with_skills=False).select(name.alias("candidate_id"), days.alias("days")).orderBy("days", "candidate_id").limit(100)
-    verdicts = screen(source, CONFIG).select(name.alias("candidate_id"), "is_honeypot")
+    # Only the ranked profiles are fetched and screened.
+    wanted = picked.select(F.col("candidate_id").alias("_ranked"))
+    source = profiles(spark, sf_dir)
+    verdicts = screen(source.join(wanted, name == F.col("_ranked"), "left_semi"), CONFIG).select(name.alias("candidate_id"), "is_honeypot")
     share = A.audit_honeypot_share(picked, verdicts)
     return share.withColumn("share", stable_round(F.col("share"), 6))
 

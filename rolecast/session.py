@@ -54,6 +54,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors that do not have it installed.
+
+    Functions run by Python workers name their module; on a cluster it must be importable
+    there, by installation on every node or by this call, once per application.
+    """
+    import os
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="rolecast-package-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/rolecast", "zip", root, "rolecast"))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the checkpoint folder for a written table."""
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from rolecast.sources.schema import CORRUPT
 
 _SCHEMA = (
     "title STRING, required_skills ARRAY<STRING>, preferred_skills ARRAY<STRING>, "
-    f"min_experience_years STRING, industry STRING, description STRING, {CORRUPT} STRING"
+    f"min_experience_years STRING, industry STRING, description STRING, responsibilities STRING, qualifications STRING, {CORRUPT} STRING"
 )
 
 
@@ -23,14 +25,29 @@ def read_posting_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_defaults(df: DataFrame) -> DataFrame:
-    """Fill what a structured posting leaves out: "", [] and 0."""
+    """Fill what a structured posting leaves out: "", [] and 0.
+
+    A skill may be a name or an object with name and importance; the objects are kept as
+    ``required_items`` and ``preferred_items``, the lists hold names. Responsibilities are a
+    text or a list of texts, qualifications a list of objects with degree and field.
+    """
     none = F.array().cast("array<string>")
+    lists = {name: F.coalesce(name, none) for name in ("required_skills", "preferred_skills")}
+    given = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+    item = lambda s: F.struct(F.coalesce(F.get_json_object(s, "$.name"), s).alias("name"), F.get_json_object(s, "$.importance").alias("importance"))
+    duties = given("responsibilities")
+    degrees = F.from_json(given("qualifications"), "array<struct<degree: string, field: string>>")
+    df = df.withColumns({
+        "required_items": F.transform(lists["required_skills"], item), "preferred_items": F.transform(lists["preferred_skills"], item),
+        "responsibilities": F.coalesce(F.array_join(F.from_json(duties, "array<string>"), " "), duties, F.lit("")),
+        "qualifications": F.filter(F.coalesce(degrees, F.array().cast("array<struct<degree: string, field: string>>")), lambda q: q.isNotNull()),
+    })
     years = F.col("min_experience_years").try_cast("double")
     return df.withColumns(
         {
             "title": F.coalesce("title", F.lit("")),
-            "required_skills": F.coalesce("required_skills", none),
-            "preferred_skills": F.coalesce("preferred_skills", none),
+            "required_skills": F.transform("required_items", lambda s: s["name"]),
+            "preferred_skills": F.transform("preferred_items", lambda s: s["name"]),
             "min_experience_years": F.coalesce(years, F.lit(0.0)),
             "industry": F.coalesce("industry", F.lit("")),
             "description": F.coalesce("description", F.lit("")),
@@ -62,9 +79,15 @@ def load_posting(spark: SparkSession, path: str) -> Posting:
     if suffix not in ("json", "txt", "text", "md"):
         raise ValueError(f"unsupported posting format: .{suffix}; use .json or .txt")
     try:
-        frame = read_posting_json(spark, path) if suffix == "json" else read_posting_text(spark, path)
+        if suffix == "json":
+            frame = read_posting_json(spark, path)
+            parts = ["title", "description", "responsibilities", "required_items", "preferred_items", "qualifications"]
+        else:
+            frame = read_posting_text(spark, path)
+        wanted = (frame.select(*parts) if suffix == "json" else blob_fields(frame)).select(F.struct("*").alias("encoded"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return Posting()
         raise
-    return single_posting(frame)
+    posting = single_posting(frame)
+    return replace(posting, encoded=wanted.first()["encoded"].asDict(recursive=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.sources.schema import CORRUPT, normalise_arrays, profile_schema, reading_order
+from rolecast.sources.schema import CORRUPT, PARTS, normalise_arrays, reading_order, with_booleans
 
 
 def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
@@ -29,33 +29,30 @@ def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals"
 
 def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """Like ``read_profiles``, but the job fails at the first malformed line."""
-    df = (
-        spark.read.schema(profile_schema(signals_field))
-        .option("mode", "FAILFAST")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("ingest_ordinal", reading_order())
-        .drop(CORRUPT)
-    )
-    if signals_field != "signals":
-        df = df.withColumnRenamed(signals_field, "signals")
-    return normalise_arrays(df)
+    lines = spark.read.text(path).select("value", reading_order().alias("ingest_ordinal"))
+    broken = F.concat(F.lit("malformed profile line: "), F.substring(CORRUPT, 1, 200))
+    return parse_profiles(lines, "value", signals_field).where(F.when(F.col(CORRUPT).isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(True)).drop(CORRUPT)
 
 
 def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str = "signals") -> DataFrame:
     """Parse a text column of JSON lines: parsed fields plus ``_corrupt_record``.
 
-    Other columns are kept. Works on streams.
+    A line is rejected only if it is not a JSON object. The object is opened first and each
+    part is then read by itself, so a part of another kind than expected (a text where a list should
+    be) is empty and the rest of the profile stays. Yes-no fields take true, numbers
+    and words. Other columns are kept. Works on streams.
     """
     kept = [c for c in lines.columns if c != column]
-    parse = F.from_json(
-        column, profile_schema(signals_field), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    )
+    opened = lines.where(F.trim(column) != "").select(*kept, F.col(column).alias("_line"), F.from_json(column, "map<string,string>").alias("_fields"))
+    fields = F.col("_fields")
+    parts = [fields["candidate_id"].alias("candidate_id")]
+    for name, kind in PARTS.items():
+        given = fields[signals_field if name == "signals" else name]
+        parts.append(F.from_json(given, kind.replace("BOOLEAN", "STRING")).alias(name))
+    parts.append(F.when(fields.isNull(), F.col("_line")).alias(CORRUPT))
     # A generator, so that a filter on parsed fields does not parse a second time.
-    parsed = lines.where(F.trim(column) != "").select(*kept, F.inline(F.array(parse)))
-    if signals_field != "signals":
-        parsed = parsed.withColumnRenamed(signals_field, "signals")
-    return normalise_arrays(parsed)
+    parsed = opened.select(*kept, F.inline(F.array(F.struct(*parts))))
+    return normalise_arrays(with_booleans(parsed))
 
 
 def write_profiles(df: DataFrame, path: str) -> None:

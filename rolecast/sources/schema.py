@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolecast.functions.scalars import truth
+
 CORRUPT = "_corrupt_record"
 
 _PROFILE = (
@@ -53,13 +55,25 @@ PARTS: dict[str, str] = {
 ARRAYS = ("career_history", "education", "skills", "certifications", "languages")
 
 
-def profile_schema(signals_field: str = "signals") -> str:
-    """Schema of one JSON line; ``signals_field`` is the name used in the file."""
-    fields = ["candidate_id STRING"]
-    for name, kind in PARTS.items():
-        fields.append(f"`{signals_field if name == 'signals' else name}` {kind}")
-    fields.append(f"{CORRUPT} STRING")
-    return ", ".join(fields)
+def _flags(fields: str) -> list[str]:
+    return [f.split(" ")[0] for f in fields.split(", ") if f.endswith(" BOOLEAN")]
+
+
+def with_booleans(df: DataFrame) -> DataFrame:
+    """Turn the yes-no fields, read as text, into booleans; any number but 0 is true."""
+
+    def flag(x: Column) -> Column:
+        return truth(x) | F.coalesce(x.try_cast("double") != 0, F.lit(False))
+
+    def converted(record: Column, names: list[str]) -> Column:
+        for name in names:
+            record = record.withField(name, flag(record[name]))
+        return record
+
+    return df.withColumns({
+        "career_history": F.transform("career_history", lambda role: converted(role, _flags(_ROLE))),
+        "signals": converted(F.col("signals"), _flags(_SIGNALS)),
+    })
 
 
 def normalise_arrays(df: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ _RANKED_TEXT = ", ".join(f"{c} STRING" for c in RANKED_COLUMNS) + ", _corrupt_re
 def read_features(spark: SparkSession, path: str, schema: str | T.StructType | None = FEATURE_SCHEMA) -> DataFrame:
     """A feature table from ``.parquet``, ``.csv`` or ``.tsv``.
 
-    Text files are read with the given schema; ``None`` infers one, which
-    costs an extra pass.
+    Text files are read with the given schema; with ``None`` all columns are text, named
+    by the header, and no pass is spent on their types.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
@@ -29,8 +29,7 @@ def read_features(spark: SparkSession, path: str, schema: str | T.StructType | N
     if suffix not in ("csv", "tsv"):
         raise ValueError(f"unsupported file format: .{suffix}")
     reader = spark.read.option("header", True).option("sep", "\t" if suffix == "tsv" else ",").option("escape", '"')
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    return (reader if schema is None else reader.schema(schema)).csv(path)
 
 
 def write_features(df: DataFrame, path: str) -> None:
@@ -64,6 +63,7 @@ def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("header", True)
         .option("enforceSchema", True)
         .option("escape", '"')
+        .option("multiLine", True)  # a title may hold a line break
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(path)
@@ -72,7 +72,7 @@ def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """The column names in the first line."""
-    return spark.read.option("header", True).option("escape", '"').csv(path).columns
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).columns
 
 
 def ranked_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -89,3 +89,28 @@ def test_many_postings_from_files(spark, files):
         alone = rc.build_ranking(rc.retrieve_and_score(profiles, posting, vectors, vector, top_n=40), 15)
         assert {(name, r["rank"]): (r["candidate_id"], r["score"], r["reasoning"]) for r in alone.collect()} == {k: v for k, v in got.items() if k[0] == name}
     assert with_criteria(wanted[1][3]).first()["skill_keys"] == ["spark", "sql"]
+
+
+def test_profiles_without_id_stay_apart(spark, tmp_path):
+    from samples import VALID
+
+    nameless = {k: v for k, v in VALID.items() if k != "candidate_id"}
+    path = tmp_path / "n.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in (nameless, nameless, VALID)))
+    ranked = rc.build_ranking(rc.feature_table(rc.read_profiles(spark, str(path)), rc.Posting().criteria()))
+    ids = [r["candidate_id"] for r in ranked.collect()]
+    assert len(ids) == len(set(ids)) == 3 and sum(i.startswith("UNKNOWN_") for i in ids) == 2
+
+
+def test_missing_vectors_mean_keywords(spark, files):
+    args = (spark, str(files / "people.jsonl"), str(files / "jd.json"))
+    rows = rc.run_features(*args, str(files / "g"), vectors_path=str(files / "nothing"), signals_field="vendor_signals")
+    assert rows.count() > 0 and rows.where("semantic_score <> 0").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        rc.run_features(*args, str(files / "h"), vectors_path=str(files / "nothing"), mode="semantic", signals_field="vendor_signals")
+
+
+def test_ranking_per_posting_drops_repeats(spark):
+    df = spark.createDataFrame([("P", "A", 0.9, 1), ("P", "A", 0.9, 2), ("P", "B", 0.5, 3), ("Q", "A", 0.1, 4)], "posting_id string, candidate_id string, final_score double, ingest_ordinal long")
+    got = sorted((r["posting_id"], r["rank"], r["candidate_id"]) for r in rc.rank_topk(df, 5, by=["posting_id"]).collect())
+    assert got == [("P", 1, "A"), ("P", 2, "B"), ("Q", 1, "A")]

@@ -262,3 +262,71 @@ def test_feature_file_kinds(spark, tmp_path):
         ST.read_features(spark, "table.xlsx")
     (tmp_path / "f.csv").write_text("candidate_id,final_score\na,0.5\n")
     assert ST.read_features(spark, str(tmp_path / "f.csv"), None).first()["final_score"] == 0.5
+
+
+# -- rows that must be neither lost nor multiplied ----------------------------------
+
+def test_only_broken_json_is_rejected(spark, tmp_path):
+    base = {"candidate_id": "A", "signals": {"open_to_work_flag": True, "notice_period_days": 30}, "skills": [{"name": "SQL"}], "career_history": [{"title": "T", "is_current": False}]}
+    odd = [base, {**base, "signals": {"open_to_work_flag": 1}}, {**base, "signals": {"open_to_work_flag": "true"}}, {**base, "career_history": [{"is_current": "yes"}]},
+           {**base, "skills": "Python"}, {**base, "profile": [1]}, {**base, "candidate_id": 7}]
+    path = tmp_path / "odd.jsonl"
+    path.write_text("\n".join([*map(json.dumps, odd), "[1]", "{"]))
+    rows = SP.read_profiles(spark, str(path)).orderBy("ingest_ordinal").collect()
+    assert len(rows) == 7 and SP.read_rejected(spark, str(path)).count() == 2
+    assert [r["signals"]["open_to_work_flag"] for r in rows[:3]] == [True, True, True]
+    assert rows[0]["career_history"][0]["is_current"] is False and rows[3]["career_history"][0]["is_current"] is True
+    assert rows[4]["skills"] == [] and rows[4]["career_history"][0]["title"] == "T" and rows[6]["candidate_id"] == "7"
+
+
+def test_keyword_rows_are_found_by_place(spark):
+    rows = [(None, 1, "sql"), (None, 2, "sql"), ("A", 3, "sql"), ("A", 4, "sql"), ("A", 5, "sql"), ("B", 6, "x")]
+    df = spark.createDataFrame(rows, "candidate_id string, ingest_ordinal long, t string")
+    hits = R.keyword_topn(df, ["sql"], 6, text=F.col("t"), rows=True)
+    found = [r["ingest_ordinal"] for r in R.fetch_rows(df, hits).orderBy("ingest_ordinal").collect()]
+    assert found == [1, 2, 3, 4, 5]
+    twice = spark.createDataFrame([("A", 0.1), ("A", 0.3), (None, 0.2)], "candidate_id string, semantic_score double")
+    got = sorted((r["ingest_ordinal"], r["semantic_score"]) for r in R.fetch_by_ids(df, twice).collect())
+    assert got == [(1, 0.2), (2, 0.2), (3, 0.3), (4, 0.3), (5, 0.3)]
+
+
+def test_vectors_with_gaps_take_no_part(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", [1.0, 0.0]), (None, [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [1.0]), ("d", [0.0, None]), ("e", None), ("f", [0.5, 0.5])], "candidate_id string, embedding array<double>")
+    for k in (1, 5):
+        assert [r["candidate_id"] for r in R.cosine_topk(df, [1.0, 0.0], k).orderBy("position").collect()] == ["a", "f"][:k]
+    assert R.unusable_vectors(df, 2).count() == 5
+
+
+def test_ranked_csv_keeps_line_breaks(spark, tmp_path):
+    ranked = spark.createDataFrame([("A", 1, 0.5, 'Dev\nLead "x"'), ("B", 2, 0.4, "y, z")], "candidate_id string, rank int, score double, reasoning string")
+    ST.write_ranked_csv(ranked, str(tmp_path / "r"))
+    assert [(r["candidate_id"], r["reasoning"]) for r in ST.read_ranked_csv(spark, str(tmp_path / "r")).orderBy("rank").collect()] == [("A", 'Dev\nLead "x"'), ("B", "y, z")]
+    assert ST.csv_header(spark, str(tmp_path / "r")) == ["candidate_id", "rank", "score", "reasoning"]
+
+
+def test_posting_objects_are_encoded(spark, tmp_path):
+    path = tmp_path / "full.json"
+    path.write_text(json.dumps({"title": "X", "required_skills": [{"name": "Go", "importance": "required"}, "C++"], "preferred_skills": [{"name": "Rust", "importance": "preferred"}],
+                                "responsibilities": ["Build", "Run"], "qualifications": [{"degree": "BSc", "field": "Physics"}]}))
+    p = PS.load_posting(spark, str(path))
+    assert p.skills[:2] == ("Go", "C++") and p.encoded["responsibilities"] == "Build Run" and p.encoded["qualifications"] == [{"degree": "BSc", "field": "Physics"}]
+    made = []
+
+    class Seen(E.HashingEncoder):
+        def __call__(self, batch):
+            with open(tmp_path / "seen", "w") as file:
+                file.write(batch[0])
+            return super().__call__(batch)
+
+    from rolecast.plans.flow import encode_posting
+
+    assert len(encode_posting(spark, p, Seen)) == 256 and not made
+    assert (tmp_path / "seen").read_text() == "x build run go go go c c c rust rust bsc physics"
+    text = tmp_path / "role.txt"
+    text.write_text("Some text about Python")
+    assert PS.load_posting(spark, str(text)).encoded == {"title": "role", "description": "Some text about Python"}
+
+
+def test_unicode_blanks_are_stripped(spark):
+    assert spark.createDataFrame([("  ",)], "x string").select(C.blank(F.col("x"))).first()[0]
