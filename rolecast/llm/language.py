@@ -94,7 +94,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             at = np.flatnonzero(n)
             docs = name[0] == "\0"
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name[1:] if docs else name] * len(at)), pa.array(np.full(len(at), -1) if docs else at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"]
+                [pa.array([name[1:] if docs else name] * len(at), pa.string()), pa.array(np.full(len(at), -1) if docs else at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"]
             )
 
     known = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != "")).select(F.col(text).alias("t"), F.col(lang).alias("l"))
