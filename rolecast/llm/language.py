@@ -15,6 +15,7 @@ from rolecast.llm.common import slices
 
 BUCKETS = 1 << 15
 MAX_N = 3
+SLICE = 1 << 19
 UNDETERMINED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -82,7 +83,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for first, n in slices(batch.column(0), 1 << 20):
+            for first, n in slices(batch.column(0), SLICE):
                 found, owner, _ = ngram_buckets(batch.column(0).slice(first, n).to_pylist(), buckets)
                 own = np.array(langs[first : first + n])
                 for name in set(langs[first : first + n]):
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n in slices(batch.column(0), 1 << 20):
+            for first, n in slices(batch.column(0), SLICE):
                 part = batch.slice(first, n)
                 names, shares = score(shared.value, [t or "" for t in part.column(0).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=[*kept, "lang_pred", "score"])
