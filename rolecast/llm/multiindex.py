@@ -6,7 +6,7 @@ their distance, the sum of the two halves' distances (multi-sequence
 traversal): for a half, the squared distance to the plane between its own code and the
 other one, below which no vector of that code can be. A link of cosine ``c`` has a
 squared distance of at most ``2 - 2c``, so a traversal up to that bound finds all of them; a
-target recall below 1 stops it earlier, at the bound that reaches the target on
+target recall below 1 stops it earlier, at twice the distance that reaches the target on
 the sample. Visited cells are then compared exactly, in double precision.
 """
 
@@ -28,6 +28,7 @@ CODES = 32
 SAMPLE_ROWS = 8_192
 CELL_ROWS = 2_048
 VISIT_ROWS = 4_096
+OUT_ROWS = 10_000
 
 
 @dataclass
@@ -100,9 +101,10 @@ def fit_index(sample: np.ndarray, threshold: float, target_recall: float = 1.0,
         (one, far1), (two, far2) = index.distances(sample)
         for at in range(0, len(sample), 512):
             a, b = np.nonzero(sample[at : at + 512] @ sample.T >= threshold)
-            needed += (far1[a + at, one[b]] + far2[a + at, two[b]]).tolist()
-        if needed:
-            index.bound = min(index.bound, float(np.quantile(needed, target_recall, method="higher")))
+            a, b = a[a + at != b] + at, b[a + at != b]
+            needed += (far1[a, one[b]] + far2[a, two[b]]).tolist()
+        if needed:  # twice the distance that was needed, as a margin for rows outside the sample
+            index.bound = min(index.bound, 2 * float(np.quantile(needed, target_recall, method="higher")))
     return index
 
 
@@ -178,8 +180,10 @@ def near_vectors(
                     cells += [home, *seen]
                     owner += [k] * (1 + len(seen))
                     role += [0] + [1] * len(seen)
-                take = part.take(pa.array(owner, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(role, pa.int32()), *take.columns], names=["cell", "role", "rep", "n", "v"])
+                for first in range(0, len(cells), OUT_ROWS):
+                    some = slice(first, first + OUT_ROWS)
+                    take = part.take(pa.array(owner[some], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[some], pa.int32()), pa.array(role[some], pa.int32()), *take.columns], names=["cell", "role", "rep", "n", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
     visited = written(classes.select("rep", "n", "v").mapInArrow(visit, f"cell int, role int, rep long, n long, v {kind}"), "visited-cells")

@@ -132,7 +132,7 @@ def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM reach LEFT JOIN counts ON reach.a = counts.a GROUP BY reach.a
 """)
 def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95)
+    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"), 0.95, target_recall=0.999)
 
 
 @_query("op9_secret_scan")
