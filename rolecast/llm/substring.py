@@ -77,9 +77,9 @@ def chunk_ends(text: bytes, radius: int = RADIUS) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, digests, starts, ends, again)`` per document: 64-bit digests, places in bytes.
+    """``(doc, mark, digests, starts, ends, again)`` per row: 64-bit digests, places in bytes.
 
-    ``again`` marks a chunk that came before in the same document.
+    ``again`` marks a chunk that came before in the same text; ``mark`` is a hash of the text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +103,17 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     again.append(repeat)
                 flat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, count), list_array(flat(digests, np.int64), sizes, pa.int64()), list_array(flat(starts, np.int32), sizes, pa.int32()),
+                    [batch.column(0).slice(first, count), batch.column(2).slice(first, count), list_array(flat(digests, np.int64), sizes, pa.int64()), list_array(flat(starts, np.int32), sizes, pa.int32()),
                      list_array(flat(ends, np.int32), sizes, pa.int32()), list_array(flat(again, bool), sizes, pa.bool_())],
-                    names=["doc", "digests", "starts", "ends", "again"],
+                    names=["doc", "mark", "digests", "starts", "ends", "again"],
                 )
 
-    kind = "doc long, digests array<long>, starts array<int>, ends array<int>, again array<boolean>"
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).where("doc is not null").mapInArrow(run, kind)
+    kind = "doc long, mark long, digests array<long>, starts array<int>, ends array<int>, again array<boolean>"
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"), F.xxhash64(text).alias("mark")).where("doc is not null").mapInArrow(run, kind)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``(doc, spans)`` of the documents that lose text: sorted byte spans ``(start, end)``."""
+    """``(doc, mark, spans)`` of the rows that lose text: sorted byte spans ``(start, end)``."""
     made = written(chunks(docs, key, text), "chunks")
     rows = made.select("doc", F.explode(F.arrays_zip("digests", "starts", "ends", "again")).alias("c")).select("doc", "c.*")
     once = rows.where("not again").select("doc", "digests")
@@ -125,8 +125,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, later, digests, starts, ends, again = (batch.column(k) for k in range(6))
-            out_doc, sizes, out = [], [], []
+            docs_, later, digests, starts, ends, again, marks = (batch.column(k) for k in range(7))
+            out_doc, out_mark, out = [], [], []
             for k in range(batch.num_rows):
                 begin, end = (np.asarray(x[k].values) for x in (starts, ends))
                 gone = np.asarray(again[k].values.to_numpy(zero_copy_only=False), bool)
@@ -137,11 +137,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                 runs = [r for r in runs if r[1] - r[0] >= min_bytes]
                 if runs:
                     out_doc.append(docs_[k].as_py())
+                    out_mark.append(marks[k].as_py())
                     out.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_doc, pa.int64()), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc", "spans"])
+                [pa.array(out_doc, pa.int64()), pa.array(out_mark, pa.int64()), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                names=["doc", "mark", "spans"])
 
-    return with_later.select("doc", "later", "digests", "starts", "ends", "again").mapInArrow(run, "doc long, spans array<struct<start: int, end: int>>")
+    return with_later.select("doc", "later", "digests", "starts", "ends", "again", "mark").mapInArrow(run, "doc long, mark long, spans array<struct<start: int, end: int>>")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -149,13 +151,15 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
 
     ``cut_spans`` are the byte spans of the old text that were cut out (empty: untouched). A NULL text stays
     NULL and an empty one empty; rows without a key are neither compared nor changed. Rows of
-    one key with the same text count as one document and get the same result. A column
-    called ``cut_spans`` is replaced; an empty table gives no rows.
+    one key with the same text count as one document and get the same result; with different texts each is
+    compared with the other keys and with itself. A column called ``cut_spans`` is replaced;
+    an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c.lower() != "cut_spans"]
-    found = repeated_spans(docs, key, text, min_bytes).groupBy(F.col("doc").alias("_cut_doc")).agg(F.max("spans").alias("cut_spans"))
+    found = repeated_spans(docs, key, text, min_bytes).groupBy(F.col("doc").alias("_cut_doc"), F.col("mark").alias("_cut_mark")).agg(F.max("spans").alias("cut_spans"))
     nothing = F.array().cast("array<struct<start: int, end: int>>")
-    joined = docs.select(*kept).join(found, F.col(key).cast("long") == F.col("_cut_doc"), "left").withColumn("cut_spans", F.coalesce("cut_spans", nothing))
+    same = (F.col(key).cast("long") == F.col("_cut_doc")) & (F.xxhash64(text) == F.col("_cut_mark"))
+    joined = docs.select(*kept).join(found, same, "left").withColumn("cut_spans", F.coalesce("cut_spans", nothing))
     raw = F.encode(text, "UTF-8")
     ends = F.concat(F.transform("cut_spans", lambda s: s.start), F.array(F.octet_length(text)))
     starts = F.concat(F.array(F.lit(0)), F.transform("cut_spans", lambda s: s.end))

@@ -144,6 +144,15 @@ def test_repeated_passages_go(spark):
     assert substring.dedup_substrings(docs.where("false")).count() == 0
 
 
+def test_texts_of_one_key_are_cut_each_by_its_own_spans(spark):
+    generator = random.Random(9)
+    passage, own = prose(generator, 80), prose(generator, 80)
+    rows = [(1, passage), (2, f"{prose(generator, 20)} {passage}"), (2, own), (2, own)]
+    found = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(r.text for r in found if r.doc_id == 2)
+    assert got.count(own) == 2 and len(got) == 3 and passage not in "".join(got) and [r.text for r in found if r.doc_id == 1] == [passage]
+
+
 def test_substring_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     found = {r.doc_id: r.text for r in queries.QUERIES["op1_substring_dedup"](spark, SF).collect()}
