@@ -77,8 +77,9 @@ def chunk_ends(text: bytes, radius: int = RADIUS) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, mark, digests, starts, ends, again)`` per row: 64-bit digests, places in bytes.
+    """``(doc, mark, digests, ends, again)`` per row: 64-bit digests, places in bytes.
 
+    A chunk starts where the one before it ends.
     ``again`` marks a chunk that came before in the same text; ``mark`` is a hash of the text.
     """
 
@@ -87,7 +88,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         for batch in batches:
             texts = batch.column(1)
             for first, count in slices(texts, 4 << 20):
-                sizes, digests, starts, ends, again = [], [], [], [], []
+                sizes, digests, ends, again = [], [], [], []
                 for t in texts.slice(first, count).cast(pa.binary()).to_pylist():
                     cut = chunk_ends(t or b"")
                     sizes.append(len(cut))
@@ -98,24 +99,23 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                     repeat = np.ones(len(cut), bool)
                     repeat[np.unique(found, return_index=True)[1]] = False
                     digests.append(found.view(np.int64))
-                    starts.append(begin)
                     ends.append(cut)
                     again.append(repeat)
                 flat = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, count), batch.column(2).slice(first, count), list_array(flat(digests, np.int64), sizes, pa.int64()), list_array(flat(starts, np.int32), sizes, pa.int32()),
+                    [batch.column(0).slice(first, count), batch.column(2).slice(first, count), list_array(flat(digests, np.int64), sizes, pa.int64()),
                      list_array(flat(ends, np.int32), sizes, pa.int32()), list_array(flat(again, bool), sizes, pa.bool_())],
-                    names=["doc", "mark", "digests", "starts", "ends", "again"],
+                    names=["doc", "mark", "digests", "ends", "again"],
                 )
 
-    kind = "doc long, mark long, digests array<long>, starts array<int>, ends array<int>, again array<boolean>"
+    kind = "doc long, mark long, digests array<long>, ends array<int>, again array<boolean>"
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t"), F.xxhash64(text).alias("mark")).where("doc is not null").mapInArrow(run, kind)
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
     """``(doc, mark, spans)`` of the rows that lose text: sorted byte spans ``(start, end)``."""
     made = written(chunks(docs, key, text), "chunks")
-    rows = made.select("doc", F.explode(F.arrays_zip("digests", "starts", "ends", "again")).alias("c")).select("doc", "c.*")
+    rows = made.select("doc", F.explode(F.arrays_zip("digests", "again")).alias("c")).select("doc", "c.*")
     once = rows.where("not again").select("doc", "digests")
     # Summed per task before the shuffle, so a chunk of very many documents is a few rows.
     first = once.groupBy("digests").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digests", "first")
@@ -125,10 +125,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, later, digests, starts, ends, again, marks = (batch.column(k) for k in range(7))
+            docs_, later, digests, ends, again, marks = (batch.column(k) for k in range(6))
             out_doc, out_mark, out = [], [], []
             for k in range(batch.num_rows):
-                begin, end = (np.asarray(x[k].values) for x in (starts, ends))
+                end = np.asarray(ends[k].values)
+                begin = np.concatenate([[0], end[:-1]])
                 gone = np.asarray(again[k].values.to_numpy(zero_copy_only=False), bool)
                 if later[k].is_valid:
                     gone = gone | np.isin(np.asarray(digests[k].values), np.asarray(later[k].values))
@@ -143,7 +144,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                 [pa.array(out_doc, pa.int64()), pa.array(out_mark, pa.int64()), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["doc", "mark", "spans"])
 
-    return with_later.select("doc", "later", "digests", "starts", "ends", "again", "mark").mapInArrow(run, "doc long, mark long, spans array<struct<start: int, end: int>>")
+    return with_later.select("doc", "later", "digests", "ends", "again", "mark").mapInArrow(run, "doc long, mark long, spans array<struct<start: int, end: int>>")
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
