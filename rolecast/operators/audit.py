@@ -148,6 +148,41 @@ def audit_rank_gaps(rows: DataFrame) -> DataFrame:
     )
 
 
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """Row count, repeated ids, repeated and missing ranks from one scan and one aggregation.
+
+    Every row gives up to three keys, which are summed before the shuffle; what must occur
+    is added with a count of zero.
+    """
+    fact = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    facts = F.array_compact(
+        F.array(
+            fact("rows", F.lit("")),
+            F.when(~F.col("_width") & F.col("candidate_id").rlike(ID_PATTERN), fact("id", F.col("candidate_id"))),
+            F.when(~F.col("_width") & F.col("rank").rlike(_INTEGER) & F.col("rank").try_cast("bigint").between(1, EXPECTED_ROWS), fact("rank", F.col("rank"))),
+        )
+    )
+    seen = rows.select(F.explode(facts).alias("f")).select("f.kind", "f.value", F.lit(1).cast("long").alias("n"))
+    due = rows.sparkSession.range(EXPECTED_ROWS + 1).select(
+        F.when(F.col("id") == 0, "rows").otherwise("rank").alias("kind"),
+        F.when(F.col("id") == 0, "").otherwise(F.col("id").cast("string")).alias("value"),
+        F.lit(0).cast("long").alias("n"),
+    )
+    kind, n = F.col("kind"), F.col("n")
+    counted = seen.unionByName(due).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    times = F.concat(F.lit("occurs "), n.cast("string"), F.lit(" times"))
+    return counted.select(
+        F.when(kind == "rows", F.when(n != EXPECTED_ROWS, "row_count"))
+        .when(kind == "id", F.when(n > 1, "id_unique"))
+        .when(n == 0, "rank_gaps")
+        .when(n > 1, "rank_unique").alias("check"),
+        F.when(kind == "rank", F.col("value")).alias("rank"),
+        F.when(kind == "id", F.col("value")).alias("candidate_id"),
+        F.when(kind == "rows", F.concat(F.lit(f"expected {EXPECTED_ROWS} rows, found "), n.cast("string")))
+        .when(n == 0, "rank is missing").otherwise(times).alias("detail"),
+    ).where(F.col("check").isNotNull())
+
+
 def audit_order(rows: DataFrame) -> DataFrame:
     """Score must not rise with rank; equal scores go by ascending id."""
     usable = _parsed(rows).where(
@@ -185,9 +220,6 @@ def audit(ranked: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All violations of a ranked output; empty when it is in order."""
     rows = tidy(ranked)
     result = audit_header(ranked, columns)
-    for part in (
-        audit_row_count(rows), audit_rows(rows), audit_id_unique(rows),
-        audit_rank_unique(rows), audit_rank_gaps(rows), audit_order(rows),
-    ):
+    for part in (audit_counts(rows), audit_rows(rows), audit_order(rows)):
         result = result.unionByName(part.select(*_RESULT))
     return result

@@ -214,6 +214,15 @@ def test_ranked_csv_round_trip_is_valid(spark, tmp_path):
     assert A.audit(back, ST.csv_header(spark, str(tmp_path / "out"))).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 3, 100, 130])
+def test_audit_counts_are_those_of_the_single_checks(spark, n):
+    rows = [(f"CAND_{k % 90:07d}" if k % 7 else "odd", str(k % 70 + (k % 11 == 0) * 50), "0.5", "r") for k in range(n)]
+    tidy = A.tidy(spark.createDataFrame(rows, "candidate_id string, rank string, score string, reasoning string"))
+    single = [part(tidy).select("check", "rank", "candidate_id", "detail") for part in (A.audit_row_count, A.audit_id_unique, A.audit_rank_unique, A.audit_rank_gaps)]
+    want = sorted(map(str, [r for part in single for r in part.collect()]))
+    assert sorted(map(str, A.audit_counts(tidy).collect())) == want != []
+
+
 def test_audit_finds_every_kind(spark, tmp_path):
     lines = ["candidate_id,rank,score,note"] + [f"CAND_{i:07d},{i},{1 - i / 1000},ok" for i in range(1, 96)]
     lines[10] = "CAND_0000009,10,0.99,copy of an id"      # duplicate id
