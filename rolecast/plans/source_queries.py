@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecast.operators import audit as A
 from rolecast.operators.features import feature_table
-from rolecast.operators.posting import extract_fields, with_criteria
+from rolecast.operators.posting import with_criteria
 from rolecast.operators.rank import rank_topk
 from rolecast.plans import flow
 from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, table
@@ -53,33 +53,31 @@ def scan_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("scan_jd_json", """
-SELECT CASE WHEN item_id % 3 = 0 THEN '' ELSE substr(text, 1, 20) END AS title, CASE WHEN item_id % 4 = 0 THEN 0.0e0 ELSE item_id / 2e0 END AS min_years,
-  CASE WHEN item_id % 5 = 0 THEN '' ELSE 'python|c|spark' END AS skill_keys FROM benchmark""")
+SELECT CASE WHEN item_id % 3 = 0 THEN '' ELSE coalesce(text, '') END AS title, CASE WHEN item_id % 4 = 0 THEN 0.0e0 ELSE item_id / 2e0 END AS min_years,
+  CASE WHEN item_id % 5 = 0 THEN '' ELSE 'python|c|spark' END AS skill_keys, coalesce(text, '') AS description FROM benchmark""")
 def scan_jd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "postings")
     jd = table(spark, sf_dir, "benchmark").selectExpr(
-        "item_id", "CASE WHEN item_id % 3 <> 0 THEN substr(text, 1, 20) END AS title", "CASE WHEN item_id % 4 <> 0 THEN item_id / 2 END AS min_experience_years",
+        "item_id", "CASE WHEN item_id % 3 <> 0 THEN text END AS title", "CASE WHEN item_id % 4 <> 0 THEN item_id / 2 END AS min_experience_years",
         "CASE WHEN item_id % 5 <> 0 THEN array('Python', '', 'C++ #') END AS required_skills",
         "CASE WHEN item_id % 5 <> 0 THEN array('Spark') END AS preferred_skills", "text AS description")
     jd.write.partitionBy("item_id").json(path)  # one document per file
     found = with_criteria(PS.read_posting_json(spark, path))
-    return found.select("title", "min_years", F.array_join("skill_keys", "|").alias("skill_keys"))
+    return found.select("title", "min_years", F.array_join("skill_keys", "|").alias("skill_keys"), "description")
 
 
 @query("scan_jd_text", """
-SELECT CAST(item_id AS STRING) AS stem, CASE WHEN item_id % 2 = 0 THEN 'Engineer ' || item_id ELSE '' END AS title,
-  CASE WHEN item_id % 3 = 0 THEN 4.0e0 ELSE 0.0e0 END AS min_years, length(text) > 0 AS has_text FROM benchmark""")
+SELECT CASE WHEN item_id % 2 = 0 THEN 'Engineer ' || item_id ELSE '' END AS title, CASE WHEN item_id % 3 = 0 THEN 4.0e0 ELSE 0.0e0 END AS min_years,
+  CASE WHEN item_id % 2 = 0 THEN 'Position: Engineer ' || item_id || chr(10) ELSE '' END || coalesce(text, '')
+  || CASE WHEN item_id % 3 = 0 THEN chr(10) || '4 years of experience' ELSE '' END || chr(10) AS description FROM benchmark""")
 def scan_jd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text postings in one file per posting, named by their key."""
+    """Text postings in one file per posting; the whole text is the description."""
     path = scratch_path(spark, "texts")
     texts = table(spark, sf_dir, "benchmark").selectExpr(
-        "item_id", "CASE WHEN item_id % 2 = 0 THEN 'Position: Engineer ' || item_id || chr(10) ELSE '' END || text || "
+        "item_id", "CASE WHEN item_id % 2 = 0 THEN 'Position: Engineer ' || item_id || chr(10) ELSE '' END || coalesce(text, '') || "
         "CASE WHEN item_id % 3 = 0 THEN chr(10) || '4 years of experience' ELSE '' END AS value")
     texts.write.partitionBy("item_id").text(path)
-    found = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
-        F.col("value").alias("text"), F.regexp_extract(F.col("_metadata.file_path"), r"item_id=(\d+)", 1).alias("stem"))
-    return extract_fields(found).select(
-        "stem", "title", F.col("min_experience_years").alias("min_years"), (F.length("description") > 0).alias("has_text"))
+    return PS.read_posting_text(spark, path).select("title", F.col("min_experience_years").alias("min_years"), "description")
 
 
 @query("scan_features", f"""WITH {RANKED_CTES}
