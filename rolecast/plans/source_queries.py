@@ -32,15 +32,19 @@ def _lines(spark: SparkSession, sf_dir: str, spoil: bool) -> DataFrame:
 
 
 @query("scan_jsonl_lenient", check_sql(f"""
-SELECT (SELECT count(*) FROM cand WHERE NOT {_LOST}) AS n_read, (SELECT count(*) FROM cand WHERE b % 50 = 3) AS n_rejected,
-  (SELECT count(*) FROM role WHERE NOT {_LOST}) AS n_roles, (SELECT CAST(sum(months) AS BIGINT) FROM skill WHERE NOT {_LOST}) AS skill_months"""))
+SELECT 'read' AS kind, cid AS candidate_id, years_text, (SELECT count(*) FROM role x WHERE x.b = c.b) AS n_roles,
+  (SELECT CAST(coalesce(sum(months), 0) AS BIGINT) FROM skill s WHERE s.b = c.b) AS skill_months FROM cand c WHERE NOT {_LOST}
+UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL FROM cand WHERE b % 50 = 3"""))
 def scan_jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that is read or rejected."""
     path = scratch_path(spark, "lines")
     _lines(spark, sf_dir, spoil=True).write.text(path)
     good, bad = SP.read_profiles(spark, path), SP.read_rejected(spark, path)
     months = F.aggregate("skills", F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s["duration_months"].cast("bigint"), F.lit(0).cast("bigint")))
-    totals = good.agg(F.count("*").alias("n_read"), F.sum(F.size("career_history")).alias("n_roles"), F.sum(months).alias("skill_months"))
-    return totals.withColumn("n_rejected", bad.agg(F.count("*")).scalar())
+    read = good.select(
+        F.lit("read").alias("kind"), F.coalesce("candidate_id", F.lit("UNKNOWN")).alias("candidate_id"), F.col("profile.years_of_experience").alias("years_text"),
+        F.size("career_history").cast("bigint").alias("n_roles"), F.coalesce(months, F.lit(0).cast("bigint")).alias("skill_months"))
+    return read.unionByName(bad.select(F.lit("rejected").alias("kind")), allowMissingColumns=True)
 
 
 @query("scan_jsonl_strict", check_sql("SELECT cid AS candidate_id, years_text, (SELECT count(*) FROM role x WHERE x.b = c.b) AS n_roles FROM cand c"))
