@@ -139,7 +139,7 @@ def load_and_rank(spark: SparkSession, source: str | DataFrame, top_k: int = DEF
     """Rank a scored table given as a frame or as a parquet, csv or tsv path."""
     if isinstance(source, str):
         # A text table has any columns; only the score is needed as a number, so none is inferred.
-        read = read_features(spark, source, None)
+        read = read_features(spark, source, None, as_text=True)
         read = read.withColumn("final_score", F.col("final_score").try_cast("double")) if "final_score" in read.columns else read
         source = read if "ingest_ordinal" in read.columns else read.withColumn("ingest_ordinal", reading_order())
     return rank_topk(source, top_k)

@@ -17,11 +17,11 @@ RANKED_COLUMNS = ("candidate_id", "rank", "score", "reasoning")
 _RANKED_TEXT = ", ".join(f"{c} STRING" for c in RANKED_COLUMNS) + ", _corrupt_record STRING"
 
 
-def read_features(spark: SparkSession, path: str, schema: str | T.StructType | None = FEATURE_SCHEMA) -> DataFrame:
+def read_features(spark: SparkSession, path: str, schema: str | T.StructType | None = FEATURE_SCHEMA, as_text: bool = False) -> DataFrame:
     """A feature table from ``.parquet``, ``.csv`` or ``.tsv``.
 
-    Text files are read with the given schema; with ``None`` all columns are text, named
-    by the header, and no pass is spent on their types.
+    Text files are read with the given schema; with ``None`` their types are found by a
+    pass over the file, or, with ``as_text``, all columns are text and no pass is spent.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "parquet":
@@ -29,7 +29,7 @@ def read_features(spark: SparkSession, path: str, schema: str | T.StructType | N
     if suffix not in ("csv", "tsv"):
         raise ValueError(f"unsupported file format: .{suffix}")
     reader = spark.read.option("header", True).option("sep", "\t" if suffix == "tsv" else ",").option("escape", '"')
-    return (reader if schema is None else reader.schema(schema)).csv(path)
+    return (reader.option("inferSchema", not as_text) if schema is None else reader.schema(schema)).csv(path)
 
 
 def write_features(df: DataFrame, path: str) -> None:
