@@ -26,7 +26,7 @@ KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 
 # The method's own parts.
 MATERIAL = r"()((?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-]))"
-ENDPOINT = r"()(?:(?i:https?|s3|ftp|jdbc:[a-z]+)://)([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?)"
+ENDPOINT = r"((?i:https?|s3|ftp|jdbc:[a-z]+)://)([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?)"
 PARTS = (("material", MATERIAL), ("endpoint", ENDPOINT))
 SCOPE = 400
 
@@ -38,7 +38,8 @@ def spans(text: Column, pattern: str, least: int) -> Column:
     """``array<struct<start, end>>`` of all leftmost matches whose value has ``least`` characters or more.
 
     ``text`` must not hold the marking characters (see ``unmarked``). Without a match: empty.
-    One pass over the pieces: each but the first is lead, mark, value, mark, rest. The fold
+    One pass over the pieces: each but the first is lead, mark, value, mark, rest; so
+    the two groups of a pattern must hold the whole match. The fold
     is kept flat, as nested lambdas take Catalyst seconds per task to compare.
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
