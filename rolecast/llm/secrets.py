@@ -3,7 +3,8 @@
 Base patterns give three kinds of spans. Beyond them, a weak candidate (a long mixed token,
 or the address of a service) proves nothing alone; it is reported when a
 complementary part stands within its scope: access identifiers take the tokens and addresses
-up to ``SCOPE`` characters around them. The parts are rows; they meet in an interval join
+up to ``SCOPE`` characters around them, assigned and hex secrets the addresses. A token and an
+address alone are both weak and prove nothing. The parts are rows; they meet in an interval join
 by cells of the scope's size, so a document full of parts is many small groups.
 
 Spans are found without Python: each match is wrapped in private-use characters (first
@@ -25,7 +26,7 @@ HEX = r"()([0-9a-f]{32,})"
 KINDS = (("assign", ASSIGN, 8), ("access", ACCESS, 16), ("hex", HEX, 32))
 
 # The method's own parts.
-MATERIAL = r"()((?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-]))"
+MATERIAL = r"()((?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-]))"
 ENDPOINT = r"((?i:https?|s3|ftp|jdbc:[a-z]+)://)([A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9](?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?)"
 PARTS = (("material", MATERIAL), ("endpoint", ENDPOINT))
 SCOPE = 400
@@ -67,8 +68,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     """All columns of ``docs`` with ``base`` and ``linked``: arrays of ``(kind, start, end)``.
 
     ``base`` holds the fixed kinds, by start and then in the order of the kinds; ``linked`` the
-    parts of kind ``material`` and ``endpoint`` that an access identifier within ``scope``
-    characters makes credible. Places are code points, the end exclusive. Columns of
+    parts of kind ``material`` that an access identifier, and of kind ``endpoint`` that a
+    part of any base kind, within ``scope`` characters makes credible. Places are code points, the end exclusive. Columns of
     ``docs`` with these two names are replaced. NULL text is empty; a NULL key and
     repeated rows are allowed, as parts meet by key and digest of the text. An empty table
     gives no rows.
@@ -82,20 +83,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     }
     empty = F.lit(None).cast(_NONE)
     base = [F.when(hit[kind], spans(F.col("_clean"), pattern, least)).otherwise(empty).alias(f"_{kind}") for kind, pattern, least in KINDS]
-    # A weak part counts only in a text with an access identifier: others are not searched.
-    weak = [F.when(hit["access"], spans(F.col("_clean"), pattern, 1)).otherwise(empty).alias(f"_{kind}") for kind, pattern in PARTS]
-    found = clean.select(*kept, F.when(hit["access"], F.sha2("_clean", 256)).alias("_digest"), *base, *weak)
+    # A weak part counts only in a text with its anchor: others are not searched.
+    address = F.contains("_clean", F.lit("://"))
+    may = {"material": hit["access"], "endpoint": address & (hit["access"] | hit["assign"] | hit["hex"])}
+    weak = [F.when(may[kind], spans(F.col("_clean"), pattern, 1)).otherwise(empty).alias(f"_{kind}") for kind, pattern in PARTS]
+    found = clean.select(*kept, F.when(may["material"] | may["endpoint"], F.sha2("_clean", 256)).alias("_digest"), *base, *weak)
 
     one = lambda kind: F.transform(F.coalesce(f"_{kind}", F.array().cast(_NONE)), lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end")))
     by_place = lambda column: F.array_sort(column, lambda a, b: F.when(a.start != b.start, a.start - b.start).when(a.kind != b.kind, _kind_order(a.kind) - _kind_order(b.kind)).otherwise(0))
     merged = by_place(F.concat(*[one(kind) for kind, _, _ in KINDS]))
 
     # The plain search comes first: it spares all other texts the rest.
-    both = found.where(F.contains(F.col(text), F.lit("AKIA"))).where((F.size("_access") > 0) & (F.size("_material") + F.size("_endpoint") > 0)).select(F.col(key).alias("k"), F.col("_digest").alias("d"), *[f"_{x}" for x in ("access", "material", "endpoint")]).distinct()
-    access = both.select("k", "d", F.explode("_access").alias("s")).select("k", "d", "s.*")
-    cells = access.select("k", "d", F.col("start").alias("low"), F.col("end").alias("high"), F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("cell"))
+    size = lambda kind: F.coalesce(F.size(f"_{kind}"), F.lit(0))
+    anchored = (size("access") > 0) & (size("material") > 0) | (size("endpoint") > 0) & (F.size(merged) > 0)
+    both = found.where(F.contains(F.col(text), F.lit("AKIA")) | F.contains(F.col(text), F.lit("://"))).where(anchored).select(
+        F.col(key).alias("k"), F.col("_digest").alias("d"), merged.alias("_anchors"), "_material", "_endpoint").distinct()
+    access = both.select("k", "d", F.explode("_anchors").alias("s")).select("k", "d", "s.*")
+    cells = access.select("k", "d", "kind", F.col("start").alias("low"), F.col("end").alias("high"), F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("cell"))
     parts = both.select("k", "d", F.explode(F.concat(one("material"), one("endpoint"))).alias("s")).select("k", "d", "s.*").withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))))
     near = F.col("p.k").eqNullSafe(F.col("a.k")) & (F.col("p.d") == F.col("a.d")) & (F.col("p.cell") == F.col("a.cell"))
+    near &= (F.col("p.kind") == "endpoint") | (F.col("a.kind") == "access")
     near &= (F.col("p.start") <= F.col("a.high") + scope) & (F.col("p.end") >= F.col("a.low") - scope)
     near &= (F.col("p.start") >= F.col("a.high")) | (F.col("p.end") <= F.col("a.low"))
     linked = parts.alias("p").join(cells.alias("a"), near, "left_semi").drop("cell").distinct()
