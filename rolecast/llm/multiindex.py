@@ -6,8 +6,11 @@ their distance, the sum of the two halves' distances (multi-sequence
 traversal): for a half, the squared distance to the plane between its own code and the
 other one, below which no vector of that code can be. A link of cosine ``c`` has a
 squared distance of at most ``2 - 2c``, so a traversal up to that bound finds all of them; a
-target recall below 1 stops it earlier, at twice the distance that reaches the target on
-the sample. Visited cells are then compared exactly, in double precision.
+target recall below 1 stops it earlier, at twice the distance that reaches the target in
+every cell of the sample. Visited cells are then compared exactly, in double precision.
+
+Neighbouring cells are one group until they hold a block of rows. A vector goes once to each group with a
+cell that it visits, so its copies are bounded by the groups and not by the visited cells.
 """
 
 from __future__ import annotations
@@ -26,9 +29,8 @@ from rolecast.llm.components import components
 
 CODES = 32
 SAMPLE_ROWS = 8_192
-CELL_ROWS = 2_048
+CELL_ROWS = 4_096
 VISIT_ROWS = 4_096
-OUT_ROWS = 10_000
 
 
 @dataclass
@@ -97,17 +99,31 @@ def fit_index(sample: np.ndarray, threshold: float, target_recall: float = 1.0,
     half = sample.shape[1] // 2
     index = MultiIndex((_codebook(sample[:, :half], codes), _codebook(sample[:, half:], codes)), 2 - 2 * threshold)
     if target_recall < 1:
-        needed: list[float] = []
+        farthest = np.full(len(sample), -1.0)
         (one, far1), (two, far2) = index.distances(sample)
         for at in range(0, len(sample), 512):
             a, b = np.nonzero(sample[at : at + 512] @ sample.T >= threshold)
             a, b = a[a + at != b] + at, b[a + at != b]
-            needed += (far1[a, one[b]] + far2[a, two[b]]).tolist()
+            np.maximum.at(farthest, a, far1[a, one[b]] + far2[a, two[b]])
+        # One value for each vector and the quantile by cell, so that a large group does not set the bound for others.
+        home = one * len(index.books[1]) + two
+        needed = [float(np.quantile(farthest[got], target_recall, method="higher")) for cell in np.unique(home[farthest >= 0]) if (got := (home == cell) & (farthest >= 0)).any()]
         if needed:  # twice the distance that was needed, as a margin for rows outside the sample
-            index.bound = min(index.bound, 2 * float(np.quantile(needed, target_recall, method="higher")))
+            index.bound = min(index.bound, 2 * max(needed))
     return index
 
 
+def cell_groups(sizes: dict[int, int], cells: int, most: int) -> np.ndarray:
+    """The group of each cell: neighbouring cells together hold ``most`` rows or less; a larger cell is a group."""
+    group, held, at = np.zeros(cells, np.int64), 0, 0
+    for cell in range(cells):
+        n = sizes.get(cell, 0)
+        if held and held + n > most:
+            at, held = at + 1, 0
+        group[cell], held = at, held + n
+    return group
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     wide = rows.astype(np.float64)
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
@@ -150,7 +166,7 @@ def near_vectors(
     """``(key, n_links, component_id, kept)``, one row per vector.
 
     Rows link when their cosine is at least ``threshold``. Identical vectors are one class with a
-    weight; each class visits cells, and a cell's classes are dealt into blocks of bounded size
+    weight; each class visits cells, and the classes of a group of cells are dealt into blocks of bounded size
     that meet its visitors in blocks, so a dense cell is many tasks. A block gives one
     row per visitor with its number of links, and a forest of links. The codebooks are
     fitted on the ``sample_rows`` classes with the smallest hash of their key; every row
@@ -171,31 +187,43 @@ def near_vectors(
         return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     index = spark.sparkContext.broadcast(fit_index(_unit(np.stack(found)), threshold, target_recall, codes))
 
+    cells = len(index.value.books[0]) * len(index.value.books[1])
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.zeros(cells, np.int64)
+            for at in range(0, batch.num_rows, 2048):
+                (one, _), (two, _) = index.value.distances(_unit(_matrix(batch.column(0).slice(at, 2048))))
+                held += np.bincount(one * len(index.value.books[1]) + two, minlength=cells)
+            got = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(held[got], pa.int64())], names=["cell", "n"])
+
+    # One row for each cell of the grid: codes * codes at most.
+    held = {r.cell: r.n for r in classes.select("v").mapInArrow(home, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    group_of = spark.sparkContext.broadcast(cell_groups(held, cells, CELL_ROWS))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                cells, owner, role = [], [], []
-                for k, (home, seen) in enumerate(index.value.visits(_unit(_matrix(part.column(2))))):
-                    cells += [home, *seen]
-                    owner += [k] * (1 + len(seen))
-                    role += [0] + [1] * len(seen)
-                for first in range(0, len(cells), OUT_ROWS):
-                    some = slice(first, first + OUT_ROWS)
-                    take = part.take(pa.array(owner[some], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[some], pa.int32()), pa.array(role[some], pa.int32()), *take.columns], names=["cell", "role", "rep", "n", "v"])
+                own, seen = [], []
+                for cell, visited in index.value.visits(_unit(_matrix(part.column(2)))):
+                    own.append(int(group_of.value[cell]))
+                    seen.append(np.unique(group_of.value[visited]).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(seen, pa.list_(pa.int32())), *part.columns], names=["own", "seen", "rep", "n", "v"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    visited = written(classes.select("rep", "n", "v").mapInArrow(visit, f"cell int, role int, rep long, n long, v {kind}"), "visited-cells")
-    sizes = visited.groupBy("cell").agg(
+    stored = written(classes.select("rep", "n", "v").mapInArrow(visit, f"own int, seen array<int>, rep long, n long, v {kind}"), "visited-cells")
+    homes = stored.select(F.col("own").alias("cell"), F.lit(0).alias("role"), "rep", "n", "v")
+    guests = stored.select(F.explode("seen").alias("cell"), F.lit(1).alias("role"), "rep", "n", "v")
+    counted = stored.select(F.col("own").alias("cell"), F.lit(0).alias("role")).unionByName(stored.select(F.explode("seen").alias("cell"), F.lit(1).alias("role")))
+    sizes = counted.groupBy("cell").agg(
         F.ceil(F.sum(1 - F.col("role")) / CELL_ROWS).cast("int").alias("bases"), F.ceil(F.sum("role") / VISIT_ROWS).cast("int").alias("visits")
     ).where("bases > 0 and visits > 0")
-    # One row for each cell of the grid: codes * codes at most.
-    placed = visited.join(F.broadcast(sizes), "cell")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    base = placed.where("role = 0").select("cell", own("bases").alias("b"), F.explode(every("visits")).alias("q"), "role", "rep", "n", "v")
-    guest = placed.where("role = 1").select("cell", F.explode(every("bases")).alias("b"), own("visits").alias("q"), "role", "rep", "n", "v")
+    base = homes.join(F.broadcast(sizes), "cell").select("cell", own("bases").alias("b"), F.explode(every("visits")).alias("q"), "role", "rep", "n", "v")
+    guest = guests.join(F.broadcast(sizes), "cell").select("cell", F.explode(every("bases")).alias("b"), own("visits").alias("q"), "role", "rep", "n", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []

@@ -213,6 +213,36 @@ def test_near_vectors_with_hot_and_odd_rows(spark, monkeypatch):
     assert 0.9 * near.sum() <= some <= near.sum()
 
 
+def test_a_hot_group_hides_no_links_of_others(spark):
+    generator = np.random.default_rng(12)
+
+    def near(centre, cosine):
+        step = generator.normal(0, 1, centre.shape)
+        step -= (step * centre).sum(-1, keepdims=True) * centre
+        return cosine * centre + np.sqrt(1 - cosine**2) * step / np.linalg.norm(step, axis=-1, keepdims=True)
+
+    unit = lambda n: (x := generator.normal(0, 1, (n, 64))) / np.linalg.norm(x, axis=1, keepdims=True)
+    one = unit(1000)
+    vectors = np.concatenate([near(np.repeat(unit(1), 1000, 0), 0.9999), one, near(one, 0.955)])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    linked = vectors @ vectors.T >= 0.95
+    want = dict(enumerate((linked.sum(1) - 1).tolist()))
+    assert {r.vec_id: r.n_links for r in multiindex.near_vectors(table).collect()} == want
+    # The calibrated bound is not set by the group alone either.
+    sample = np.concatenate([vectors[:1000:4], vectors[1000:]])
+    index = multiindex.fit_index(sample, 0.95, 0.999)
+    found = [set(c) for _, c in index.visits(sample[250:1250])]
+    (first, _), (second, _) = index.distances(sample[1250:])
+    assert np.mean([a * len(index.books[1]) + b in c for a, b, c in zip(first.tolist(), second.tolist(), found)]) >= 0.99
+
+
+def test_the_registered_query_asks_for_every_link(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(multiindex, "near_vectors", lambda rows, threshold, target_recall=1.0: asked.append((threshold, target_recall)))
+    queries.QUERIES["op8_embedding_dedup"](spark, SF)
+    assert asked == [(0.95, 1.0)]
+
+
 # -- packing --------------------------------------------------------------------------------
 
 def least_bins(items, capacity):
