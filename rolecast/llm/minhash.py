@@ -15,6 +15,10 @@
 4. In a block, the pairs with sufficient agreement are compared by their full
    sets, best first, skipping pairs that are connected already. Confirmed links are
    contracted into components.
+5. This leaves links out in the larger groups. There, the classes that share the first four values in
+   any of the 16 orders form regions (or the whole group is one, if that is less work). A
+   region is cut into parts that meet pairwise in blocks; only parts of the largest component do
+   not meet each other. Pairs connected by step 4 are skipped, all others compared as there.
 
 No group is gathered in one task and no row is dropped. The full sets cross the network only
 for classes with candidates.
@@ -165,7 +169,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: links confirmed on full sets, one for each connection made."""
+    """Rows sorted by block: links confirmed on full sets, one for each connection made.
+
+    Rows with equal ``sub`` are connected already; NULL says nothing.
+    """
 
     def links(rows: list[tuple]) -> pa.RecordBatch:
         unique = {r[0]: r for r in rows}
@@ -180,6 +187,10 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             ok = (agree >= AGREE) & (100 * np.minimum(other, sizes[a]) >= percent * np.maximum(other, sizes[a]))
             found += [(-agree[k], a, a + 1 + int(k)) for k in np.flatnonzero(ok)]
         groups, out = Unions(), []
+        known: dict[int, int] = {}
+        for at, rep in enumerate(reps):
+            if (sub := unique[rep][3]) is not None:
+                groups.join(at, known.setdefault(sub, at))
         for _, a, b in sorted(found):
             if groups.root(a) == groups.root(b):
                 continue
@@ -195,12 +206,12 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     held: list[tuple] = []
     current = None
     for batch in batches:
-        for block, rep, sig, body in zip(*(batch.column(k).to_pylist() for k in range(4))):
+        for block, rep, sig, body, sub in zip(*(batch.column(k).to_pylist() for k in range(5))):
             if block != current and held:
                 yield links(held)
                 held.clear()
             current = block
-            held.append((rep, sig, body))
+            held.append((rep, sig, body, sub))
     if held:
         yield links(held)
 
@@ -236,6 +247,42 @@ def _blocks(groups: DataFrame) -> DataFrame:
     return small.unionByName(placed.select("rep", "block")).unionByName(everywhere).distinct()
 
 
+def _rest_blocks(groups: DataFrame, joined: DataFrame) -> DataFrame | None:
+    """``(rep, sub, block)``: blocks in which all pairs of larger groups meet that are not connected yet.
+
+    ``joined`` has the ``(node, component)`` found so far. No such group: None.
+    """
+    wide = 2 * KEY_VALUES
+    groups = groups.withColumn("weight", F.lit(1.0) / BLOCK_ROWS + F.col("n_shingles") / BLOCK_SHINGLES)
+    total = groups.groupBy("comp").agg(F.sum("weight").alias("all"), F.count("*").alias("n")).where("all > 2")
+    named = groups.select("comp", "rep", "weight", "sig").join(total, "comp").join(joined, F.col("rep") == F.col("node"), "left")
+    named = written(named.select("comp", "rep", "weight", "sig", "all", F.coalesce("component", "rep").alias("sub")), "rest-of-groups")
+    if named.isEmpty():
+        return None
+    trees = named.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))))
+    near = trees.select("comp", "rep", "weight", "sub", "all", F.xxhash64("comp", "tree", F.expr(f"substring(sig, tree * {wide} + 1, {2 * FIRST_VALUES})")).alias("region"))
+    # Work of a region: its size times what is outside its largest component. One region for the group if that is less.
+    subs = near.groupBy("comp", "all", "region", "sub").agg(F.sum("weight").alias("w"))
+    sizes = subs.groupBy("comp", "all", "region").agg(F.sum("w").alias("held"), F.max("w").alias("most"), F.max_by("sub", F.struct("w", "sub")).alias("base"), F.count("*").alias("subs"))
+    sizes = written(sizes.where("subs > 1"), "regions")
+    whole = named.groupBy("comp", "all", "sub").agg(F.sum("weight").alias("w")).groupBy("comp", "all").agg(
+        F.max("w").alias("most"), F.max_by("sub", F.struct("w", "sub")).alias("base"), F.count("*").alias("subs")).where("subs > 1")
+    cost = sizes.groupBy("comp").agg(F.sum(F.col("held") * (F.col("held") - F.col("most"))).alias("cost"))
+    less = whole.join(cost, "comp").where(F.col("cost") > F.col("all") * (F.col("all") - F.col("most")))
+    parts = lambda w: F.greatest(F.ceil(w), F.lit(1)).cast("int")
+    cut = lambda rows, held: rows.select("region", "base", parts(held - F.col("most")).alias("few"), parts(F.col("most")).alias("many"))
+    by_region = near.select("comp", "rep", "sub", "region").join(cut(sizes.join(less, "comp", "left_anti"), F.col("held")), "region").drop("comp")
+    at_once = less.withColumn("region", F.xxhash64("comp", F.lit("whole")))
+    by_group = named.select(F.xxhash64("comp", F.lit("whole")).alias("region"), "rep", "sub").join(cut(at_once, F.col("all")), "region")
+    rows = by_region.select("region", "rep", "sub", "base", "few", "many").unionByName(by_group.select("region", "rep", "sub", "base", "few", "many"))
+    # Parts 0 .. few - 1 lie outside the largest component and meet every part; the others meet only those.
+    deal = lambda n: F.pmod(F.xxhash64("region", "rep"), F.col(n)).cast("int")
+    dealt = rows.withColumn("part", F.when(F.col("sub") == F.col("base"), F.col("few") + deal("many")).otherwise(deal("few")))
+    to = F.when(F.col("part") < F.col("few"), F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    met = dealt.select("region", "rep", "sub", "part", F.explode(to).alias("other"))
+    return met.select("rep", "sub", F.xxhash64("region", F.least("part", "other"), F.greatest("part", "other")).alias("block")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per document.
 
@@ -278,10 +325,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("t"))
     wanted = groups.select("rep", "set_key", "sig").hint("shuffle_hash")
     sets = texts.join(wanted, "rep").select("rep", "t", "set_key", "sig").mapInArrow(bodies, "rep long, sig binary, body binary")
-    dealt = sets.join(blocks, "rep").select("block", "rep", "sig", "body")
-    laid = dealt.repartition("block").sortWithinPartitions("block", "rep")
-    links = laid.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
+
+    def confirmed(dealt: DataFrame) -> DataFrame:
+        laid = dealt.select("block", "rep", "sig", "body", "sub").repartition("block").sortWithinPartitions("block", "rep")
+        return laid.mapInArrow(lambda batches: _confirm(batches, percent), "a long, b long")
+
+    links = written(confirmed(sets.join(blocks, "rep").withColumn("sub", F.lit(None).cast("long"))), "confirmed")
     joined = components(links, label="near-duplicates")
+    rest = _rest_blocks(groups, joined)
+    if rest is not None:
+        more = written(confirmed(sets.join(rest, "rep")), "confirmed-rest")
+        if not more.isEmpty():
+            joined = components(links.unionByName(more), label="near-duplicates")
     named = classes.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return (

@@ -71,6 +71,22 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert found == want
 
 
+def test_no_pair_of_a_large_loose_group_is_left_out(spark, monkeypatch):
+    # Documents of one template with agreement high enough for one group, and few true pairs among them.
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 24)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "PASSES", 1)
+    generator = random.Random(17)
+    template = [f"t{k}" for k in range(170)]
+    rows = []
+    for k in range(300):
+        own = [f"o{k}x{j}" for j in range(34)]
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + own[:26] + [f"p{k}x{j}" for j in range(8)]))]
+    generator.shuffle(rows)
+    found = {r.doc_id: tuple(r)[1:] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute_near(rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"x{k % 7000}" for k in range(60_000))
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "One two"), (4, "one TWO"), (5, "a b c d e"), (6, "A B C D E"), (7, long), (8, long + " end"), (9, "é É"), (10, "É É"), (None, "a b c d e"), (5, "a b c d e")]
