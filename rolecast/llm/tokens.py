@@ -31,15 +31,15 @@ class TextEncoder:
 
     A byte-level BPE cuts a text before every single space that a visible character
     follows, and around a single line break; ids of the parts are then independent and
-    are looked up by word. Texts with other runs of white space, and other kinds of
-    tokenizers, go to the library whole. Both ways give the library's ids.
+    are looked up by word. Texts with other runs of white space or with an added token
+    (``<|endoftext|>``), and other kinds of tokenizers, go to the library whole. Both ways give the library's ids.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.by_word = _cuts_at_spaces(self.tokenizer)
         self.spaced, self.bare = _Cache(self.whole, " "), _Cache(self.whole, "")
         self.line = self.whole("\n")
@@ -48,8 +48,10 @@ class TextEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_word or not text:
-            return self.whole(text) if text else b""
+        if not text:
+            return b""
+        if not self.by_word or any(t in text for t in self.added):
+            return self.whole(text)
         parts: list[bytes | None] = []
         for line in text.split("\n"):
             words = line.split(" ")

@@ -74,6 +74,15 @@ def test_cached_encoding_is_the_librarys(parts):
     assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)  # with no flag set
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z\n<|endoftext|>", "no such <|end"):
+        assert np.frombuffer(text_encoder(BPE)(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert library.token_to_id("<|endoftext|>") in np.frombuffer(text_encoder(BPE)("a <|endoftext|> b"), "<u4")
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip_with_random_access(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 70_001).astype(np.uint32)
