@@ -6,8 +6,8 @@
    values. Classes that share the first four values with no other class in any order are
    done. The rest are laid out by order and key; in each order a class meets its
    neighbours with the longest common prefix, so that a dense region is read at greater depth
-   than a thin one. Pairs whose signatures agree on at least 0.72 of the values
-   (four standard errors below 0.85) are candidates.
+   than a thin one. Pairs whose signatures agree on enough of the values
+   (four standard errors below the wanted similarity: 0.72 at 0.85, 0.66 at 0.80) are candidates.
 3. Candidates form loose groups. A group of bounded size is one block. A larger one is cut
    along four of the orders: each region is taken at the least depth (2, 4, 8 values) that
    makes it fit, and what is too large even there is dealt out; the 16 classes with most
@@ -45,7 +45,7 @@ ORDERS = 16
 KEY_VALUES = 8
 FIRST_VALUES = 4
 NEIGHBOURS = 16
-AGREE = 0.72
+ERRORS = 4
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 2_000_000
 PASSES = 4
@@ -55,6 +55,12 @@ _WORD_CACHE = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+def least_agreement(percent: int) -> float:
+    """The share of equal signature values from which a pair is a candidate."""
+    s = percent / 100
+    return s - ERRORS * (s * (1 - s) / VALUES) ** 0.5
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,7 +142,7 @@ def _rows(batch: pa.RecordBatch, column: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), kind).reshape(batch.num_rows, -1)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by order and key: each with the root of its local group and its number of candidates."""
     carry: tuple[np.ndarray, ...] | None = None
     groups, degree = Unions(), {}
@@ -154,7 +160,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.arange(max(0, old - step), len(rep) - step)
             near = (order[first] == order[first + step]) & (key[first, :FIRST_VALUES] == key[first + step, :FIRST_VALUES]).all(1)
             first = first[near]
-            first = first[(sig[first] == sig[first + step]).mean(1) >= AGREE]
+            first = first[(sig[first] == sig[first + step]).mean(1) >= least]
             for a, b in zip(rep[first].tolist(), rep[first + step].tolist()):
                 if a != b:
                     groups.join(a, b)
@@ -174,6 +180,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     Rows with equal ``sub`` are connected already; NULL says nothing.
     """
 
+    least = least_agreement(percent)
+
     def links(rows: list[tuple]) -> pa.RecordBatch:
         unique = {r[0]: r for r in rows}
         reps = sorted(unique)
@@ -184,7 +192,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         for a in range(len(reps) - 1):
             agree = (sigs[a + 1 :] == sigs[a]).mean(1)
             other = sizes[a + 1 :]
-            ok = (agree >= AGREE) & (100 * np.minimum(other, sizes[a]) >= percent * np.maximum(other, sizes[a]))
+            ok = (agree >= least) & (100 * np.minimum(other, sizes[a]) >= percent * np.maximum(other, sizes[a]))
             found += [(-agree[k], a, a + 1 + int(k)) for k in np.flatnonzero(ok)]
         groups, out = Unions(), []
         known: dict[int, int] = {}
@@ -303,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     shared = first.groupBy("start").agg(F.count("*").alias("n")).where("n > 1")
     meeting = first.join(shared, "start", "left_semi").select("rep").distinct()
     laid = _orders(classes.join(meeting, "rep").select("rep", "sig")).repartitionByRange("tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    met = written(laid.select("tree", "key", "rep", "sig").mapInArrow(_neighbours, "rep long, root long, degree long"), "neighbours")
+    met = written(laid.select("tree", "key", "rep", "sig").mapInArrow(lambda batches: _neighbours(batches, least_agreement(percent)), "rep long, root long, degree long"), "neighbours")
     loose = components(met, "rep", "root", "loose-groups")
     degree = met.groupBy("rep").agg(F.sum("degree").alias("degree"))
     groups = written(

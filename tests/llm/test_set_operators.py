@@ -87,6 +87,16 @@ def test_no_pair_of_a_large_loose_group_is_left_out(spark, monkeypatch):
     assert found == brute_near(rows)
 
 
+def test_agreement_follows_the_percent():
+    assert np.ceil(128 * minhash.least_agreement(85)) == 93 and minhash.least_agreement(80) == pytest.approx(0.6586, abs=1e-4)
+    # A pair of similarity 0.81 whose signatures agree on 0.68 of the values is compared.
+    sets = [np.arange(1, 201, dtype=np.uint64), np.concatenate([np.arange(1, 181), np.arange(901, 923)]).astype(np.uint64)]
+    sig = np.arange(128, dtype=">u2")
+    other = np.where(np.arange(128) < 87, sig, sig + 1000).astype(">u2")
+    batch = minhash.pa.RecordBatch.from_pylist([{"block": 1, "rep": k, "sig": g.tobytes(), "body": x.astype("<u8").tobytes(), "sub": None} for k, (g, x) in enumerate(zip((sig, other), sets))])
+    assert [b.num_rows for b in minhash._confirm(iter([batch]), 80)] == [1]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = " ".join(f"x{k % 7000}" for k in range(60_000))
     rows = [(0, None), (1, ""), (2, " \t\n"), (3, "One two"), (4, "one TWO"), (5, "a b c d e"), (6, "A B C D E"), (7, long), (8, long + " end"), (9, "é É"), (10, "É É"), (None, "a b c d e"), (5, "a b c d e")]
