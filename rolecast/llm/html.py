@@ -5,8 +5,10 @@ Markup is stripped into lines, one for each block element. Elements that never h
 an empty line, and so do lines most of whose text is links. The text lengths are summed
 over windows of three lines. Text starts where such a sum surges above the threshold
 and ends where it dives to zero; of all stretches found so, the one with most text is the
-article, with others that have at least a third of it. Where the page marks an article or main
-element, only its lines are looked at and the threshold falls to one character.
+article, with others that have at least a third of it. Lines within a stretch stay, also those of links.
+
+A page that marks an article or main element (or has such a class or id) bypasses the windows:
+all its marked lines with text are the article, in order, nothing between them is dropped.
 """
 
 from __future__ import annotations
@@ -162,14 +164,12 @@ def _matches(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The text between surge and dive; empty if there is none."""
+    """The text between surge and dive, or of the marked elements; empty if there is none."""
     if not page:
         return ""
     rows = lines(page)
     if sum(n for _, n, m in rows if m):
-        rows, surge = [r for r in rows if r[2]], 1
-        first, last = (f([k for k, r in enumerate(rows) if r[0]]) for f in (min, max))
-        return "\n".join(r[0] for r in rows[first : last + 1] if r[0] and r[1])
+        return "\n".join(r[0] for r in rows if r[2] and r[0])
     rows = [r for k, r in enumerate(rows) if r[0] or (k and rows[k - 1][0])]  # one empty line stands for many
     size = np.array([r[1] for r in rows], np.int64)
     if not size.sum():
@@ -188,7 +188,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
         else:
             at += 1
     most = max(int(size[a:b].sum()) for a, b in stretches)
-    return "\n".join(r[0] for a, b in stretches if 3 * int(size[a:b].sum()) >= most for r in rows[a:b] if r[0] and r[1])
+    return "\n".join(r[0] for a, b in stretches if 3 * int(size[a:b].sum()) >= most for r in rows[a:b] if r[0])
 
 
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

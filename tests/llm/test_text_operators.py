@@ -264,6 +264,13 @@ def test_page_shapes(page, want):
     assert html.main_text(page or "") == want
 
 
+def test_lines_of_links_inside_the_text_stay():
+    linked = "<h1><a href=x>Linked title</a></h1>" + BODY + "<p><a href=y>Only a link</a></p>" + BODY
+    assert html.main_text(f"<article>{linked}</article>") == f"Linked title\n{WANT}\nOnly a link\n{WANT}"
+    line = "A line that holds a fair number of words so that it is long enough and counts as text of the page."
+    assert html.main_text(f"<body><p>{line}<p><a href=x>Only a link</a><p>{line}") == f"{line}\nOnly a link\n{line}"
+
+
 def test_page_rows(spark):
     rows = [(1, "u", f"<article>{BODY}</article>", "old", 5)] * 2 + [(None, None, None, None, None), (3, "u", "<article><p>" + "word " * 50_000, "x", 1)]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
