@@ -33,7 +33,7 @@ def slices(column: pa.Array, budget: int = 2 << 20) -> Iterator[tuple[int, int]]
         at = to
 
 
-def list_array(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.Array:
+def list_array(values: np.ndarray, lengths: list[int] | np.ndarray, kind: pa.DataType) -> pa.Array:
     """Rows of ``lengths`` values each."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])

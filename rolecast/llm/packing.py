@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rolecast.llm.common import slices, written
 from rolecast.llm.tokens import text_encoder
+from rolecast.llm.wordwise import row_bytes
 
 CAPACITY = 1024
 GROUP_ROWS = 256
@@ -157,12 +158,11 @@ def cut_documents(
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(tokenizer)
+        encode = text_encoder(tokenizer).column
         for batch in batches:
-            for first, count in slices(batch.column(1)):
+            for first, count in slices(batch.column(1), 8 << 20):
                 rows, piece, start, length, data = [], [], [], [], []
-                for k, value in enumerate(batch.column(1).slice(first, count).to_pylist(), first):
-                    ids = encode(value or "") + tail
+                for k, ids in enumerate(row_bytes(*encode(batch.column(1).slice(first, count)), tail), first):
                     n, at, nr = len(ids) // 4, 0, 0
                     while at < n:
                         to = at + (n % capacity or capacity) if at == 0 else at + capacity

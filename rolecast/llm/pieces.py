@@ -9,19 +9,21 @@ bitfield marks places from which no way leads on; each place fails once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm.common import list_array, slices
+from rolecast.llm.wordwise import Memory, column_ids
 
 SPACE = "▁"
 CACHED_WORDS = 800_000
-LONGEST_CACHED = 64
 CACHED_PAIRS = 2_000_000
 
 
@@ -49,18 +51,26 @@ class PieceModel:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another sign")
         self.lines = not any("\n" in p for p in self.ids)
+        self.signs = {p for p in self.ids if len(p) == 1}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.library = SentencePieceProcessor(model_proto=data)
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._own: dict[str, bool] = {}
+        self.ordered = True
+        self._split: dict[str, tuple[str, str] | None] = {}
+        self._after: dict[str, dict[str, bool]] = {}
+        self._pairs = 0
         self._shorter: dict[str, str | None] = {}
-        self._words: dict[str, bytes] = {}
+        self._words = Memory(lambda words: [self._behind_space(w) for w in words], CACHED_WORDS)
+        # A text that begins with a space or a line break is taken whole.
+        self._heads = Memory(lambda words: [self.encode_part(self.prefix + w) if w else None for w in words], CACHED_WORDS // 8)
 
-    def merge(self, text: str) -> list[str]:
-        """The encoding by its definition: join the adjacent pair with the best score, leftmost first."""
+    def merge(self, text: str, stop: str | None = None) -> list[str]:
+        """The encoding by its definition: join the adjacent pair with the best score, leftmost first.
+
+        With ``stop``, ends before the merge that makes that piece.
+        """
         parts = list(text)
         while len(parts) > 1:
             best, at = None, -1
@@ -68,24 +78,59 @@ class PieceModel:
                 score = self.score.get(parts[k] + parts[k + 1])
                 if score is not None and (best is None or score > best):
                     best, at = score, k
-            if at < 0:
+            if at < 0 or parts[at] + parts[at + 1] == stop:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, last: str | None, piece: str) -> bool:
-        """May ``piece`` stand here, after ``last``?"""
-        own = self._own.get(piece)
-        if own is None:
-            own = self._own[piece] = self.merge(piece) == [piece]
-        if not own or last is None:
-            return own
-        pair = (last, piece)
-        found = self._pairs.get(pair)
-        if found is None:
-            if len(self._pairs) >= CACHED_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[pair] = self.merge(last + piece) == [last, piece]
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two pieces whose merge made this one; None for a single sign and for a piece that its merges do not make."""
+        if piece not in self._split:
+            self._split[piece] = None if len(piece) == 1 else self._last_merge(piece)
+        return self._split[piece]
+
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        parts = self.merge(piece, stop=piece)
+        if len(parts) != 2:
+            return None
+        if any(len(p) > 1 and self.score[p] < self.score[piece] for p in parts):
+            self.ordered = False  # a part that ranks behind its whole
+        return parts[0], parts[1]
+
+    def _apart(self, left: str, right: str) -> bool:
+        """Would these two neighbours stay apart if merged anew from single signs?
+
+        Walks their merges backward, the later one first: each two inner ends that once
+        stood beside each other must not have merged before one of them went into its next merge. On
+        equal scores the merge further left comes first.
+        """
+        score = self.score
+        if left + right in score:
+            return False
+        while True:
+            one, two = self._halves(left), self._halves(right)
+            if one is None and two is None:
+                return True
+            if two is None or (one is not None and score[left] < score[right]):
+                limit, left = score[left], one[1]
+                if score.get(left + right, limit) > limit:
+                    return False
+            else:
+                limit, right = score[right], two[0]
+                if (s := score.get(left + right)) is not None and s >= limit:
+                    return False
+
+    def _fits(self, last: str, piece: str) -> bool:
+        """May ``piece`` stand here, after ``last`` (empty at the beginning)? Remembers the answer."""
+        if last:
+            if self._pairs >= CACHED_PAIRS:
+                self._after.clear()
+                self._pairs = 0
+            self._pairs += 1
+            found = self._fits("", piece) and (self._apart(last, piece) if self.ordered else self.merge(last + piece) == [last, piece])
+        else:
+            found = len(piece) == 1 or self._halves(piece) is not None
+        self._after.setdefault(last, {})[piece] = found
         return found
 
     def _next_shorter(self, piece: str) -> str | None:
@@ -98,31 +143,38 @@ class PieceModel:
         size = len(text)
         longest = [1] * size
         for end, n in self.automaton.iter(text):
-            if n > longest[end - n + 1]:
-                longest[end - n + 1] = n
-        open_ends = (1 << (size + 1)) - 1
+            end -= n - 1
+            if n > longest[end]:
+                longest[end] = n
+        failed = 0
         out: list[str] = []
-        at, piece = 0, text[: longest[0]]
+        at, piece, last = 0, text[: longest[0]], ""
         while True:
-            last = out[-1] if out else None
+            known = self._after.get(last) or {}
             while piece is not None:
                 end = at + len(piece)
-                if open_ends >> end & 1 and self._fits(last, piece):
-                    break
+                if not failed >> end & 1:
+                    fits = known.get(piece)
+                    if fits or (fits is None and self._fits(last, piece)):
+                        break
                 piece = self._next_shorter(piece)
             if piece is not None:
                 out.append(piece)
-                at = end
+                at, last = end, piece
                 if at == size:
                     return out
                 piece = text[at : at + longest[at]]
             else:
-                open_ends &= ~(1 << at)
+                failed |= 1 << at
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else ""
+                # The same piece ends at a failed place now, so the next shorter one is tried.
 
     def encode_part(self, text: str) -> bytes:
         """Packed ids of a run of signs. Signs outside the vocabulary become their bytes and stand alone."""
+        if text and self.signs.issuperset(text):
+            return array("i", [self.ids[p] for p in self._known(text)]).tobytes()
         ids: list[int] = []
         start = 0
         for k in range(len(text) + 1):
@@ -132,27 +184,27 @@ class PieceModel:
                 if k < len(text):
                     ids += [self.bytes[b] for b in text[k].encode()]
                 start = k + 1
-        return np.array(ids, "<i4").tobytes()
-
-    def _word(self, text: str) -> bytes:
-        found = self._words.get(text)
-        if found is None:
-            found = self.encode_part(text)
-            if len(text) <= LONGEST_CACHED:
-                if len(self._words) >= CACHED_WORDS:
-                    self._words.clear()
-                self._words[text] = found
-        return found
+        return array("i", ids).tobytes()
+
+    def _behind_space(self, word: str) -> bytes | None:
+        """A line break before a word takes the space's place; an empty word belongs to a run of spaces."""
+        if not word:
+            return None
+        return self.encode_part("\n") + self.encode_part(word[1:]) if self.lines and word[0] == "\n" else self.encode_part(SPACE + word)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column, one text after the other, and the number of ids of each text; NULL is empty."""
+        ids, lengths = column_ids(pc.replace_substring(texts, SPACE, " "), self._heads.all, self._words.all, self.encode, breaks=self.lines)
+        return ids.view("<i4"), lengths
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers.
 
-        No piece joins a sign with a later space, so words are encoded one by one and
-        looked up; a run of spaces stays with the word behind it.
+        No piece joins a sign with a later space, so words are encoded one by one; a run of spaces stays with the word behind it.
         """
         if not text:
             return b""
-        word, out = self._word, []
+        word, out = self.encode_part, []
         lines = text.replace(SPACE, " ").split("\n") if self.lines else [text.replace(SPACE, " ")]
         for nr, line in enumerate(lines):
             words = line.split(" ")
@@ -192,16 +244,32 @@ def encode_texts(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_model(model).encode
+        encode = piece_model(model).column
         for batch in batches:
-            for first, count in slices(batch.column(1), 4 << 20):
-                found = [encode(t or "") for t in batch.column(1).slice(first, count).to_pylist()]
-                ids = list_array(np.frombuffer(b"".join(found), "<i4"), [len(x) // 4 for x in found], pa.int32())
+            for first, count in slices(batch.column(1), 8 << 20):
+                flat, lengths = encode(batch.column(1).slice(first, count))
+                ids = list_array(flat, lengths, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), ids], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
+def encode_decode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, ids array<int>, decoded)``: ``encode_texts`` and ``decode_ids`` in one pass over the texts."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = piece_model(model)
+        for batch in batches:
+            for first, count in slices(batch.column(1), 8 << 20):
+                flat, lengths = pieces.column(batch.column(1).slice(first, count))
+                ends = np.cumsum(lengths).tolist()
+                decoded = [pieces.decode(flat[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), list_array(flat, lengths, pa.int32()), pa.array(decoded, pa.string())], names=[key, "ids", "decoded"])
+
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, decoded string")
+
+
 def decode_ids(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``(key, ids, decoded)``; NULL and empty lists give an empty text."""
     kind = encoded.select(key).schema[0].dataType.simpleString()

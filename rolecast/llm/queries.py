@@ -111,7 +111,7 @@ def minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_sentencepiece")
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file(PIECE_BPE)
-    found = pieces.decode_ids(pieces.encode_texts(_table(spark, sf_dir, "documents"), model), model)
+    found = pieces.encode_decode(_table(spark, sf_dir, "documents"), model)
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

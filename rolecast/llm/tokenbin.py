@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rolecast.llm.common import slices, written
 from rolecast.llm.tokens import text_encoder, vocabulary_bits
+from rolecast.llm.wordwise import row_bytes
 from rolecast.session import scratch_path
 
 MAGIC = b"TOKENIDS"
@@ -84,7 +85,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = text_encoder(tokenizer), TaskContext.get().partitionId()
+        encode, part = text_encoder(tokenizer).column, TaskContext.get().partitionId()
         out, path, held, names, blocks, at, ids_before = None, "", [], [], [], 0, 0
 
         def close() -> None:
@@ -111,9 +112,9 @@ def write_token_files(
         size = 0
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, count in slices(batch.column(1)):
-                for k, value in enumerate(batch.column(1).slice(first, count).to_pylist(), first):
-                    held.append(encode(value or "") + tail)
+            for first, count in slices(batch.column(1), 8 << 20):
+                for k, ids in enumerate(row_bytes(*encode(batch.column(1).slice(first, count)), tail), first):
+                    held.append(ids)
                     names.append(keys[k])
                     size += len(held[-1]) // 4
                     if size >= block_ids:

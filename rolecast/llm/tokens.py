@@ -1,65 +1,107 @@
-"""Token ids of whole texts by the ``tokenizers`` library, cached by word."""
+"""Token ids of whole texts by the ``tokenizers`` library, remembered by word."""
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHED_WORDS = 1_400_000
-LONGEST_CACHED = 64
+from rolecast.llm.wordwise import Memory, column_ids
 
+CACHED_WORDS = 1_000_000
+#: Up to here all Unicode versions agree on what is a letter, a digit and white space.
+SETTLED = "ɐ"
 
-class _Cache(dict):
-    """Word to packed ids. Emptied when full and closed to long words: this bounds memory and changes no result."""
 
-    def __init__(self, encode, before: str) -> None:
-        self.encode, self.before = encode, before
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next one from U+0100."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {b: chr(b) for b in visible}
+    return [signs.setdefault(b, chr(256 + len(signs) - len(visible))) for b in range(256)]
 
-    def __missing__(self, word: str):
-        # With other white space around, a word's ids depend on its neighbours.
-        found = self.encode(self.before + word) if word.split() == [word] else None
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = found
-        return found
+
+_SIGNS = dict(enumerate(byte_signs()))
 
 
 class TextEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
     A byte-level BPE cuts a text before every single space that a visible character
     follows, and around a single line break; ids of the parts are then independent and
-    are looked up by word. Texts with other runs of white space or with an added token
-    (``<|endoftext|>``), and other kinds of tokenizers, go to the library whole. Both ways give the library's ids.
+    are looked up by word. A new word's pieces go, byte by byte as signs, to the library's BPE model. Texts
+    with other runs of white space or with an added token (``<|endoftext|>``), words with signs
+    beyond U+024F and other kinds of tokenizers go through the library whole. All ways give the library's ids.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer, pattern: str | None = None) -> None:
+        import regex
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.by_word = _cuts_at_spaces(self.tokenizer)
-        self.spaced, self.bare = _Cache(self.whole, " "), _Cache(self.whole, "")
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        self.pieces = regex.compile(pattern).findall if pattern else None
+        self.piece = Memory(self._new_pieces, CACHED_WORDS // 2)
+        self.spaced = Memory(lambda words: self._new_words(" ", words), CACHED_WORDS)
+        self.bare = Memory(lambda words: self._new_words("\n", words), CACHED_WORDS // 4)
         self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single matches of the pattern, which hold no zero byte."""
+        tokenize = self.model.tokenize
+        signs = "\0".join(pieces).encode().decode("latin-1").translate(_SIGNS).split(_SIGNS[0]) if pieces else []
+        return [array("I", [t.id for t in tokenize(x)]).tobytes() for x in signs]
+
+    def _new_words(self, before: str, words: list[str]) -> list[bytes | None]:
+        """Ids of words behind a space, or of words at the beginning of a line.
+
+        With other white space around (also the empty word) a word's ids depend on its neighbours: None.
+        """
+        out: list[bytes | None] = [None] * len(words)
+        plain, lines = [], []
+        for k, w in enumerate(words):
+            if not w:
+                out[k] = None if before == " " else b""
+            elif w[0] == "\n" and before == " ":
+                lines.append(k)
+            elif "\0" in w or not (w.isascii() or max(w) < SETTLED):
+                out[k] = self.whole((before if before == " " else "") + w) if w.split() == [w] else None
+            else:
+                plain.append(k)
+        joined = before + before.join([words[k] for k in plain])
+        if joined.split() != [words[k] for k in plain]:
+            plain = [k for k in plain if words[k].split() == [words[k]]]
+            joined = before + before.join([words[k] for k in plain])
+        if plain:
+            cut = self.pieces(joined)
+            ids = self.piece.all(cut)
+            # A word begins where a match begins with what stands before it; a line break is a match of its own.
+            starts = [k for k, p in enumerate(cut) if p[0] == before]
+            skip = int(before == "\n")
+            for k, at, to in zip(plain, starts, [*starts[1:], len(cut)]):
+                out[k] = b"".join(ids[at + skip : to])
+        for k, rest in zip(lines, self.bare.all([words[k][1:] for k in lines])):
+            # The break at the end of a text or before another one belongs to a longer run.
+            out[k] = self.line + rest if rest else None
+        return out
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column, one text after the other, and the number of ids of each text; NULL is empty."""
+        if self.pieces is None:
+            found = [self.whole(t or "") for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        apart = None
+        for sign in self.added:
+            here = pc.fill_null(pc.match_substring(texts, sign), False)
+            apart = here if apart is None else pc.or_(apart, here)
+        return column_ids(texts, self.bare.all, self.spaced.all, self.whole, apart=apart)
+
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or any(t in text for t in self.added):
-            return self.whole(text)
-        parts: list[bytes | None] = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            parts.append(self.bare[words[0]])
-            parts.extend(map(self.spaced.__getitem__, words[1:]))
-            parts.append(self.line)
-        del parts[-1]
-        return self.whole(text) if None in parts else b"".join(parts)
+        return self.column(pa.array([text], pa.string()))[0].tobytes()
 
 
 def _cuts_at_spaces(tokenizer) -> bool:
@@ -70,10 +112,17 @@ def _cuts_at_spaces(tokenizer) -> bool:
     return kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
 
+#: What the library's byte-level cutter matches.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=2)
 def text_encoder(path: str) -> TextEncoder:
-    """One per Python worker, shared by its tasks."""
-    return TextEncoder(path)
+    """The encoder of a tokenizer file; one per Python worker, shared by its tasks."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return TextEncoder(tokenizer, BYTE_LEVEL_PATTERN if _cuts_at_spaces(tokenizer) else None)
 
 
 def vocabulary_bits(path: str, *extra: int) -> int:
