@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bitsliced, html, language, minhash, multiindex, packing, pieces, secrets, substring, tokenbin
+from rolecast.llm import bitsliced, bytepairs, html, language, minhash, multiindex, packing, pieces, secrets, substring, tokenbin
 
-BYTE_BPE, PIECE_BPE, END_ID = "byte_bpe_50k.json", "piece_bpe_32k.model", 2
+BYTE_BPE, BYTE_RANKS, PIECE_BPE, END_ID = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", 2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -146,3 +146,13 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query("op13_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = bytepairs.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(BYTE_RANKS), public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
