@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bitsliced, bytepairs, html, language, minhash, multiindex, packing, pieces, secrets, substring, tokenbin
+from rolecast.llm import bitsliced, bytepairs, html, language, minhash, multiindex, packing, pieces, secrets, substring, tokenbin, turns
 
 BYTE_BPE, BYTE_RANKS, PIECE_BPE, END_ID = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", 2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,11 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@_query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_report(_table(spark, sf_dir, "conversations"))
+
+
 @_query("op13_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
