@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm import bitsliced, bytepairs, html, language, minhash, multiindex, packing, pieces, secrets, substring, tokenbin, turns
+from rolecast.llm import bitsliced, bytepairs, html, language, lexical, minhash, multiindex, packing, pieces, secrets, substring, tokenbin, turns
 
 BYTE_BPE, BYTE_RANKS, PIECE_BPE, END_ID = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model", 2
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,6 +153,28 @@ def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.damaged_report(_table(spark, sf_dir, "conversations"))
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@_query("op12_lexical_search", f"""
+    WITH words AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS w FROM documents),
+    counted AS (SELECT d, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0),
+    totals AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM counted),
+    tfs AS (SELECT d, x, count(*) AS tf FROM (SELECT d, unnest(w) AS x FROM counted) GROUP BY d, x),
+    weights AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tfs, totals GROUP BY x, nd),
+    asked AS (SELECT item_id, x, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS x FROM benchmark) GROUP BY item_id, x),
+    norms AS (SELECT d, doc_id, 25 + (75 * n * nd) // nl AS m FROM counted, totals),
+    scored AS (
+        SELECT item_id, d, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+        FROM asked JOIN weights USING (x) JOIN tfs USING (x) JOIN norms USING (d) GROUP BY item_id, d, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER r AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+    WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 10
+""")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_query("op13_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
