@@ -9,53 +9,83 @@ from rolecast.operators import audit as A
 from rolecast.operators.features import feature_table
 from rolecast.operators.posting import with_criteria
 from rolecast.operators.rank import rank_topk
+from rolecast.operators.screen import validate_batch
 from rolecast.plans import flow
 from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, table
 from rolecast.plans.feature_queries import FEATURE_CTES, r
 from rolecast.plans.ranking_queries import RANKED_CTES, flat, gappy
 from rolecast.plans.registry import query
+from rolecast.plans.screen_queries import FACT_CTES, VERDICT_CTE
 from rolecast.session import scratch_path
 from rolecast.sources import postings as PS
 from rolecast.sources import profiles as SP
 from rolecast.sources import tables as ST
+from rolecast.sources.schema import CORRUPT
 
-# Every 50th line is cut off and every 40th is blank.
-_LINE = "CASE WHEN ingest_ordinal % 50 = 3 THEN substr(j, 1, 40) WHEN ingest_ordinal % 40 = 7 THEN '   ' ELSE j END"
-_LOST = "(b % 50 = 3 OR b % 40 = 7)"
+# Lines that are kept: stray elements in a list of roles, an id given twice, a bare NaN, a part of another kind.
+_STRAY, _TWICE = "ingest_ordinal % 70 = 12", "ingest_ordinal % 45 = 13"
+_ODD = f"""CASE WHEN {_STRAY} THEN replace(j, '"career_history":[{{', '"career_history":["oops",7,null,{{')
+    WHEN {_TWICE} THEN replace(j, '{{"candidate_id":', '{{"candidate_id":"first","extra":NaN,"candidate_id":')
+    WHEN ingest_ordinal % 55 = 14 THEN replace(j, '{{"candidate_id":', '{{"languages":"none","candidate_id":') ELSE j END"""
+# Every 50th line is cut off, every 60th goes on behind its object and every 40th is blank.
+_BROKEN = f"CASE WHEN ingest_ordinal % 50 = 3 THEN substr(j, 1, 40) WHEN ingest_ordinal % 60 = 31 THEN j || ' {{}}' WHEN ingest_ordinal % 40 = 7 THEN '   ' ELSE {_ODD} END"
+_REJECTED = "(b % 50 = 3 OR b % 60 = 31)"
+_LOST = f"({_REJECTED} OR b % 40 = 7)"
+_ODD_PARTS = "CASE WHEN b % 70 = 12 AND b % 107 <> 13 THEN 'career_history' WHEN b % 70 <> 12 AND b % 45 <> 13 AND b % 55 = 14 AND candidate_id IS NOT NULL THEN 'languages' ELSE '' END"
 
 
 def _lines(spark: SparkSession, sf_dir: str, spoil: bool) -> DataFrame:
     source = profiles(spark, sf_dir)
     fields = F.struct(*[c for c in source.columns if c != "ingest_ordinal"])
     json = source.select("ingest_ordinal", F.to_json(fields).alias("j"))
-    return json.selectExpr(f"{_LINE if spoil else 'j'} AS value")
+    return json.selectExpr("ingest_ordinal", f"{_BROKEN if spoil else _ODD} AS value")
 
 
 @query("scan_jsonl_lenient", check_sql(f"""
 SELECT 'read' AS kind, cid AS candidate_id, years_text, (SELECT count(*) FROM role x WHERE x.b = c.b) AS n_roles,
-  (SELECT CAST(coalesce(sum(months), 0) AS BIGINT) FROM skill s WHERE s.b = c.b) AS skill_months FROM cand c WHERE NOT {_LOST}
-UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL FROM cand WHERE b % 50 = 3"""))
+  (SELECT CAST(coalesce(sum(months), 0) AS BIGINT) FROM skill s WHERE s.b = c.b) AS skill_months, {_ODD_PARTS} AS odd FROM cand c WHERE NOT {_LOST}
+UNION ALL SELECT 'rejected', NULL, NULL, NULL, NULL, NULL FROM cand WHERE {_REJECTED}"""))
 def scan_jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line that is read or rejected."""
     path = scratch_path(spark, "lines")
-    _lines(spark, sf_dir, spoil=True).write.text(path)
-    good, bad = SP.read_profiles(spark, path), SP.read_rejected(spark, path)
+    _lines(spark, sf_dir, spoil=True).select("value").write.text(path)
+    good, bad = SP.read_profiles(spark, path, note_odd=True), SP.read_rejected(spark, path)
     months = F.aggregate("skills", F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s["duration_months"].cast("bigint"), F.lit(0).cast("bigint")))
     read = good.select(
         F.lit("read").alias("kind"), F.coalesce("candidate_id", F.lit("UNKNOWN")).alias("candidate_id"), F.col("profile.years_of_experience").alias("years_text"),
-        F.size("career_history").cast("bigint").alias("n_roles"), F.coalesce(months, F.lit(0).cast("bigint")).alias("skill_months"))
+        F.size("career_history").cast("bigint").alias("n_roles"), F.coalesce(months, F.lit(0).cast("bigint")).alias("skill_months"), F.array_join("odd_parts", ",").alias("odd"))
     return read.unionByName(bad.select(F.lit("rejected").alias("kind")), allowMissingColumns=True)
 
 
 @query("scan_jsonl_strict", check_sql("SELECT cid AS candidate_id, years_text, (SELECT count(*) FROM role x WHERE x.b = c.b) AS n_roles FROM cand c"))
 def scan_jsonl_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lines")
-    _lines(spark, sf_dir, spoil=False).write.text(path)
+    _lines(spark, sf_dir, spoil=False).select("value").write.text(path)
     return SP.read_profiles_strict(spark, path).select(
         F.coalesce("candidate_id", F.lit("UNKNOWN")).alias("candidate_id"), F.col("profile.years_of_experience").alias("years_text"),
         F.size("career_history").cast("bigint").alias("n_roles"))
 
 
+def _read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiles as lines with odd but whole ones among them, parsed again."""
+    return SP.parse_profiles(_lines(spark, sf_dir, spoil=False)).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+@query("validate_odd_lines", check_sql(
+    "SELECT cid AS candidate_id, tier = 'honeypot' AS is_honeypot, risk AS risk_score, tier, reason AS primary_reason, flags FROM tiered",
+    *FACT_CTES, VERDICT_CTE))
+def validate_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts do not change by what is odd in a line."""
+    read = _read_back(spark, sf_dir)
+    return validate_batch(read, CONFIG)
+
+
+@query("features_of_odd_lines", check_sql("SELECT candidate_id, skill_score, career_score, signal_score, is_honeypot, days_inactive, risk_score FROM feature", *FEATURE_CTES))
+def features_of_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feature_table(_read_back(spark, sf_dir), POSTING.criteria(), CONFIG).select(
+        "candidate_id", "skill_score", "career_score", "signal_score", "is_honeypot", "days_inactive", "risk_score")
+
+
 @query("scan_jd_json", """
 SELECT CASE WHEN item_id % 3 = 0 THEN '' ELSE coalesce(text, '') END AS title, CASE WHEN item_id % 4 = 0 THEN 0.0e0 ELSE item_id / 2e0 END AS min_years,
   CASE WHEN item_id % 5 = 0 THEN '' ELSE 'python|c|spark' END AS skill_keys, coalesce(text, '') AS description FROM benchmark""")

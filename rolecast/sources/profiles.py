@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.sources.schema import CORRUPT, PARTS, normalise_arrays, reading_order, with_booleans
+from rolecast.sources.schema import ARRAYS, CORRUPT, PARTS, normalise_arrays, reading_order, with_booleans
 
 
-def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
+def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals", note_odd: bool = False) -> DataFrame:
     """Well-formed lines of a JSONL file or folder; broken lines are left out.
 
     Lines are read as text and then parsed, because that decodes leniently:
     bytes that are not UTF-8 are replaced instead of losing the line. Blank
     lines vanish. ``ingest_ordinal`` orders rows as they stand in the input.
-    Use ``read_rejected`` for the lines left out.
+    Use ``read_rejected`` for the lines left out and ``note_odd`` for the parts of kept lines that lost
+    elements (see ``parse_profiles``).
     """
     lines = spark.read.text(path).select("value", reading_order().alias("ingest_ordinal"))
-    return parse_profiles(lines, "value", signals_field).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return parse_profiles(lines, "value", signals_field, note_odd).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
@@ -34,27 +35,50 @@ def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "s
     return parse_profiles(lines, "value", signals_field).where(F.when(F.col(CORRUPT).isNotNull(), F.raise_error(broken).cast("boolean")).otherwise(True)).drop(CORRUPT)
 
 
-def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str = "signals") -> DataFrame:
+def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str = "signals", note_odd: bool = False) -> DataFrame:
     """Parse a text column of JSON lines: parsed fields plus ``_corrupt_record``.
 
-    A line is rejected only if it is not a JSON object. The object is opened first and each
-    part is then read by itself, so a part of another kind than expected (a text where a list should
-    be) is empty and the rest of the profile stays. Yes-no fields take true, numbers
+    A line is rejected unless it is one JSON object and nothing else; ``NaN`` and ``Infinity`` count as numbers and the
+    last of two equal keys wins (the reader turns on ``spark.sql.variant.allowDuplicateKeys``
+    for that). Each line is opened once, as a VARIANT, and every value is converted by itself: a value of
+    another kind than expected is missing, and a stray element costs a list that element only. With ``note_odd``
+    the array ``odd_parts`` names the parts that lost something in this way. Yes-no fields take true, numbers
     and words. Other columns are kept. Works on streams.
     """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in lines.columns if c != column]
-    opened = lines.where(F.trim(column) != "").select(*kept, F.col(column).alias("_line"), F.from_json(column, "map<string,string>").alias("_fields"))
+    line = F.col("_line")
+    opened = lines.where(F.trim(column) != "").select(*kept, F.col(column).alias("_line"))
+    # Spark's parser stops behind the first value; between brackets, anything else on the line is seen.
+    opened = opened.withColumn("_mark", F.xxhash64(line)).withColumn("_json", F.coalesce(_in_brackets(line), F.when(line.rlike("NaN|Infinity"), _in_brackets(_named_numbers(line)))))
+    alone = F.try_variant_get("_json", "$[1]", "bigint") == F.col("_mark")
+    names = {name: signals_field if name == "signals" else name for name in PARTS}
+    kind = ", ".join(f"`{names[name]}`: {kind.replace('BOOLEAN', 'STRING')}" for name, kind in PARTS.items())
+    opened = opened.withColumn("_fields", F.when(alone, F.try_variant_get("_json", "$[0]", f"STRUCT<candidate_id: STRING, {kind}>")))
     fields = F.col("_fields")
-    parts = [fields["candidate_id"].alias("candidate_id")]
-    for name, kind in PARTS.items():
-        given = fields[signals_field if name == "signals" else name]
-        parts.append(F.from_json(given, kind.replace("BOOLEAN", "STRING")).alias(name))
-    parts.append(F.when(fields.isNull(), F.col("_line")).alias(CORRUPT))
+    parts = [fields["candidate_id"].alias("candidate_id"), *[fields[names[name]].alias(name) for name in PARTS], F.when(fields.isNull(), line).alias(CORRUPT)]
+    if note_odd:
+        lost = [
+            F.when(F.coalesce(F.try_variant_get("_json", f"$[0]['{names[name]}']", "variant").isNotNull() & fields[names[name]].isNull(), F.lit(False))
+                   | (F.exists(fields[names[name]], lambda x: x.isNull()) if name in ARRAYS else F.lit(False)), F.lit(name))
+            for name in PARTS
+        ]
+        parts.append(F.array_compact(F.array(*lost)).alias("odd_parts"))
     # A generator, so that a filter on parsed fields does not parse a second time.
     parsed = opened.select(*kept, F.inline(F.array(F.struct(*parts))))
     return normalise_arrays(with_booleans(parsed))
 
 
+def _in_brackets(line: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), F.col("_mark").cast("string"), F.lit("]")))
+
+
+def _named_numbers(line: Column) -> Column:
+    """The line with bare ``NaN`` and ``Infinity`` as texts; what stands inside a text is left alone."""
+    pieces = F.regexp_extract_all(line, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^"]+|"'), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"-?\b(?:NaN|Infinity)\b", '"$0"'))), "")
+
+
 def write_profiles(df: DataFrame, path: str) -> None:
     """Profiles as Parquet sorted by id within files: later reads prune columns,
     nested fields and row groups, which JSON cannot."""

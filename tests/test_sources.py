@@ -15,6 +15,7 @@ from rolecast.operators import audit as A
 from rolecast.operators import encode as E
 from rolecast.operators import retrieve as R
 from rolecast.operators.posting import extract_fields
+from rolecast.operators.screen import validate_batch
 from rolecast.sources import postings as PS
 from rolecast.sources import profiles as SP
 from rolecast.sources import tables as ST
@@ -63,6 +64,31 @@ def test_parquet_copy_prunes_nested_columns(spark, tmp_path):
     assert "profile:struct<headline:string>" in plan and "summary" not in plan
 
 
+def _parsed(spark, *lines):
+    return SP.parse_profiles(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "ingest_ordinal long, value string"), note_odd=True).orderBy("ingest_ordinal")
+
+
+def test_a_stray_element_costs_only_itself(spark):
+    odd = {**VALID, "career_history": ["oops", VALID["career_history"][0], None, 7], "skills": [{"name": "SQL"}, ["x"]], "education": "none"}
+    rows = _parsed(spark, json.dumps(odd), json.dumps(VALID), json.dumps({**VALID, "profile": [1], "certifications": [None]})).collect()
+    assert [r["company"] for r in rows[0]["career_history"]] == ["Mindtree"] and [x["name"] for x in rows[0]["skills"]] == ["SQL"]
+    assert rows[0]["odd_parts"] == ["career_history", "education", "skills"] and rows[0]["education"] == []
+    assert rows[1]["odd_parts"] == [] and rows[2]["odd_parts"] == ["profile", "certifications"] and rows[2]["profile"] is None
+    flags = {r["candidate_id"]: r["flags"] for r in validate_batch(_parsed(spark, json.dumps(odd)).drop("odd_parts")).collect()}
+    assert "empty_career_history" not in flags["CAND_0000001"]
+
+
+def test_only_whole_objects_are_lines(spark):
+    whole = ['{"candidate_id":"x","candidate_id":"e"}', '  {"candidate_id":"f","profile":{"years_of_experience":NaN,"headline":"a: NaN, \\"q\\" -Infinity"}} ',
+             '{"candidate_id":12,"x":-Infinity}', '{"candidate_id":"g","profile":{"headline":"{} ]"}}', "{}"]
+    broken = ['{"candidate_id":"a"} trailing', '{"candidate_id":"b"}{"b":2}', '{"candidate_id":"c"},{"b":2}', '{"candidate_id":"d"}]', '{"candidate_id":"d"},0]', "[1]", '"x"', "null", "NaN",
+              '{"candidate_id":NaNo}', "{'a':1}", '{"a":1,}', '{"candidate_id":"h"']
+    rows = _parsed(spark, *whole, *broken).collect()
+    assert [r["candidate_id"] for r in rows[:5]] == ["e", "f", "12", "g", None] and all(r["_corrupt_record"] is None for r in rows[:5])
+    assert rows[1]["profile"]["years_of_experience"] == "NaN" and rows[1]["profile"]["headline"] == 'a: NaN, "q" -Infinity'
+    assert [r["_corrupt_record"] for r in rows[5:]] == broken
+
+
 # -- postings ---------------------------------------------------------------
 
 TEXT = """Job Title: Senior Data Engineer
