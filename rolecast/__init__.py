@@ -15,11 +15,13 @@ from rolecast.operators.retrieve import (
     cosine_topk,
     cosine_topk_by_posting,
     fetch_by_ids,
+    fetch_from_store,
     keyword_topn,
     semantic_retrieve,
 )
 from rolecast.operators.score import add_final_score, score_stats
 from rolecast.operators.screen import flag_facts, flag_report, screen, validate_batch
+from rolecast.operators.vector_store import stored_topk, write_vector_store
 from rolecast.plans.flow import (
     build_and_write,
     build_ranking,
@@ -32,7 +34,7 @@ from rolecast.plans.flow import (
 )
 from rolecast.session import ship
 from rolecast.sources.postings import load_posting
-from rolecast.sources.profiles import read_profiles, read_profiles_strict, read_rejected, write_profiles
+from rolecast.sources.profiles import read_profiles, read_profiles_strict, read_rejected, write_profile_store, write_profiles
 from rolecast.sources.tables import read_features, read_ranked_csv, write_features, write_ranked_csv
 from rolecast.streaming.screening import score_stream, screen_stream
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,11 @@ from rolecast.functions.vocabulary import POSTING_SKILLS
 from rolecast.operators import encode as E
 from rolecast.operators import posting as P
 from rolecast.operators import retrieve as R
+from rolecast.operators import vector_store as VS
 from rolecast.plans.bindings import POSTING_TEXT, _id, document_profiles, postings, table, vectors
-from rolecast.plans.registry import query
+from rolecast.plans.registry import ORACLES, query
+from rolecast.session import scratch_path
+from rolecast.sources import profiles as SP
 
 
 def _clean(x: str) -> str:
@@ -180,7 +184,7 @@ FROM s QUALIFY position <= 100""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     q = v.where("vec_id = 0").select("embedding").first()[0]
-    return R.cosine_topk(v, q, 100).select("candidate_id", F.round("similarity", 6).alias("similarity"), "position")
+    return R.cosine_topk(v, q, 100).select("candidate_id", F.round(F.round("similarity", 9), 6).alias("similarity"), "position")
 
 
 # One query per label: the vector with the smallest id.
@@ -197,7 +201,29 @@ def cosine_topk_by_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     queries = v.groupBy(F.col("label").cast("string").alias("posting_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     found = R.cosine_topk_by_posting(v, queries, 20)
-    return found.select("posting_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "position")
+    return found.select("posting_id", "candidate_id", F.round(F.round("similarity", 9), 6).alias("similarity"), "position")
+
+
+def _stored_vectors(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "vector-store")
+    v = vectors(spark, sf_dir)
+    VS.write_vector_store(v, path, v.select(F.size("embedding")).first()[0], block_rows=64)
+    return path
+
+
+@query("cosine_topk_skipping", ORACLES["cosine_topk"])
+def cosine_topk_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a store whose blocks are read only where they can matter."""
+    q = vectors(spark, sf_dir).where("vec_id = 0").select("embedding").first()[0]
+    found, _ = VS.stored_topk(spark, _stored_vectors(spark, sf_dir), ["query"], np.array([q]), 100)
+    return found.select("candidate_id", F.round(F.round("similarity", 9), 6).alias("similarity"), "position")
+
+
+@query("cosine_topk_by_posting_skipping", ORACLES["cosine_topk_by_posting"])
+def cosine_topk_by_posting_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = vectors(spark, sf_dir).groupBy(F.col("label").cast("string").alias("posting_id")).agg(F.min_by("embedding", "vec_id").alias("embedding")).collect()
+    found, _ = VS.stored_topk(spark, _stored_vectors(spark, sf_dir), [r[0] for r in asked], np.array([r[1] for r in asked]), 20)
+    return found.select("posting_id", "candidate_id", F.round(F.round("similarity", 9), 6).alias("similarity"), "position")
 
 
 _RETRIEVED = f"""q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0),
@@ -223,6 +249,16 @@ def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"), "n_chars", "source")
 
 
+@query("fetch_from_store", ORACLES["fetch_by_ids"])
+def fetch_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a store in ranges of the id."""
+    v, path = vectors(spark, sf_dir), scratch_path(spark, "profile-store")
+    q = v.where("vec_id = 0").select("embedding").first()[0]
+    SP.write_profile_store(table(spark, sf_dir, "documents").selectExpr(f"{_id('doc_id')} AS candidate_id", "n_chars", "source"), path)
+    found = R.fetch_from_store(spark, path, R.semantic_retrieve(v, q, 300).drop("position"))
+    return found.select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"), "n_chars", "source")
+
+
 @query("retrieval_mode", f"""WITH {_RETRIEVED}, kw AS ({_SEARCH.replace('WITH ', 'WITH ', 1)} SELECT {_id('doc_id')} AS candidate_id, {_HITS} AS hits FROM searched)
 SELECT 'semantic' AS mode, candidate_id, round(semantic_score, 6) AS semantic_score FROM hit
 UNION ALL (SELECT 'keyword', candidate_id, 0.0e0 FROM kw WHERE hits >= 1 ORDER BY hits DESC, candidate_id LIMIT 500)""")

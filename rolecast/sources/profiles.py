@@ -85,5 +85,17 @@ def write_profiles(df: DataFrame, path: str) -> None:
     df.sortWithinPartitions("candidate_id").write.mode("overwrite").parquet(path)
 
 
+def write_profile_store(df: DataFrame, path: str, row_group_bytes: int = 16 << 20, key: str = "candidate_id") -> None:
+    """Profiles for reading single ids: dealt into ranges of the id, sorted, with Bloom filters.
+
+    Each file and row group holds a narrow range of ids, so a reader that looks for a few of them skips the others
+    by their bounds (``fetch_from_store``). Rows of one id lie together; a frequent or missing id is split over files.
+    """
+    numbered = df.withColumn("_nr", F.monotonically_increasing_id())
+    sorted_rows = numbered.repartitionByRange(F.col(key).asc_nulls_first(), "_nr").sortWithinPartitions(F.col(key).asc_nulls_first())
+    writer = sorted_rows.drop("_nr").write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    writer.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
+
+
 def load_profiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
