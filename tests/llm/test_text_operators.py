@@ -271,6 +271,43 @@ def test_lines_of_links_inside_the_text_stay():
     assert html.main_text(f"<body><p>{line}<p><a href=x>Only a link</a><p>{line}") == f"{line}\nOnly a link\n{line}"
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class='layout with-sidebar'><article><h1>T</h1>{BODY}</article></div>", "T\n" + WANT),
+    (f"<body><div id='no-header-image'><main>{BODY}</main></div><article class=teaser><p>Read this next</p></article>", WANT),
+    (f"<body><main>{BODY}</main><article><h2>Other story</h2><p>Its first words</p></article>", WANT),
+    (f"<body><form id=page><div class=content>{BODY}</div></form>", WANT),
+    (f"<body><div class='page no-sidebar'><h1>Long enough title</h1>{BODY}</div><div class=footer>f</div>", "Long enough title\n" + WANT),
+    (f"<body><article>{BODY}</article><div class=comments><article class=comment>{BODY}{BODY}</article></div>", WANT),
+    (f"<body><div class=comments><article class=comment><p>Nice</p></article></div><article>{BODY}<div class=share>Share</div></article>", WANT),
+    (f"<body><h1>Title</h1>\n<p>by x</p>\n{BODY}<footer>all rights</footer>", "Title\nby x\n" + WANT),
+    ("<article><p>a</p><nav>menu</nav><p>b</p><aside>x</aside><aside>y</aside><p>c</p></article>", "a\nb\nc"),
+])
+def test_articles_in_wrappers_are_found(page, want):
+    assert html.main_text(page) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 5, 30, 79, 80, 200]), max_size=20), st.integers(1, 4), st.sampled_from([1, 60, 80]))
+def test_stretches_are_those_of_a_plain_scan(weights, window, surge):
+    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    surge_at, found, inside = min(surge, max(sums, default=0)), [], None
+    for k, total in enumerate([*sums, 0]):
+        if inside is not None and total == 0:
+            found.append((inside, k))
+            inside = None
+        if inside is None and k < len(weights) and weights[k] and total >= surge_at:
+            inside = k
+            while inside > (found[-1][1] if found else 0) and weights[inside - 1]:
+                inside -= 1
+    assert html.stretches(np.array(weights, np.int64), window, surge) == found
+
+
+def test_pages_without_marks_give_nearly_the_same(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    same = [html.main_text(p) == html.main_text(re.sub(r"(</?)(?:article|main)\b", r"\1div", p)) for p in pages]
+    assert all(any(marked for *_, marked in html.lines(p)) for p in pages) and sum(same) >= 0.95 * len(pages)
+
+
 def test_page_rows(spark):
     rows = [(1, "u", f"<article>{BODY}</article>", "old", 5)] * 2 + [(None, None, None, None, None), (3, "u", "<article><p>" + "word " * 50_000, "x", 1)]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int"))
