@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROW_BLOCK = 32_768
-QUERY_BLOCK = 512
+QUERY_BLOCK = 131_072
 RESOLVE_ROWS = 1024
 
 
@@ -95,6 +95,7 @@ class BitSlicedIndex:
         n, dims = self.rows.shape
         words = -(-n // 64)
         self.low = self.rows.min(0) if n else np.zeros(dims, np.int64)
+        self.largest = max(abs(int(self.rows.max())), abs(int(self.rows.min()))) if self.rows.size else 0
         shifted = self.rows - self.low
         self.bits = max(1, int(shifted.max(initial=0)).bit_length())
         padded = np.zeros((dims, words * 64), np.uint8)
@@ -116,6 +117,8 @@ class BitSlicedIndex:
         """Ids and scores of the k best other rows, ties to the smaller id."""
         query = query.astype(np.int64)
         weight = np.abs(query)
+        if int(weight.astype(object).sum()) * self.largest >= 1 << 62:
+            raise OverflowError("scores of such components need more than 64 bits")
         rows, live = self.without(own), np.flatnonzero(weight)
         flip = np.where(query[live] < 0, ~np.uint64(0), np.uint64(0))[:, None]
         # A fixed column of the weights' bits for each slice: which dimensions add at which place.
@@ -143,10 +146,14 @@ class BitSlicedIndex:
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component; NULL if the vector or a component is NULL or not finite."""
+    """floor(scale * x) of each component; NULL if the vector or a component is NULL or not finite.
+
+    A component beyond what 62 bits hold is an error, as no exact score of it fits a long.
+    """
     wide = F.transform(vector, lambda x: x.cast("double"))
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(wide, lambda x: F.floor(x * scale)))
+    fitting = lambda x: F.when(F.abs(x) < float(1 << 62), F.floor(x)).otherwise(F.raise_error(F.lit("a component is too large for exact scores")).cast("long"))
+    return F.when(vector.isNotNull() & ~bad, F.transform(wide, lambda x: fitting(x * scale)))
 
 
 def top_by_inner_product(
@@ -156,55 +163,53 @@ def top_by_inner_product(
     """``(query_id, rank, key, score)``: the k best rows for each query, the query's own key left out.
 
     ``rows`` and ``queries`` are ``(key, array<long>)``. Rows are dealt by key into blocks of about
-    ``row_block``, queries into blocks of ``query_block``; each pair of blocks is a
-    task's unit, which bounds memory. A pair yields k rows for each query, and Spark
-    limits each query to k again before and after the shuffle. Vectors that are NULL or have another
-    length than the longest row take no part; repeated keys are rows of their own. Empty
-    tables give no rows.
+    ``row_block``. An index is built once for a block and the queries, up to ``query_block`` of them, stream past it; a task holds
+    one index and one batch of queries. A block yields k rows for each query, and Spark
+    limits each query to k again before and after the shuffle. Vectors of equal length are compared, each length in blocks of
+    its own; NULL vectors and keys take no part; repeated keys are rows of their own. Scores that
+    could exceed 64 bits are an error. Empty tables give no rows.
     """
-    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    queries = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    n, dims = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    asked = queries.count()
-    row_blocks, query_blocks = max(1, -(-n // row_block)), max(1, -(-asked // query_block))
-
-    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int, role: int) -> DataFrame:
-        return df.where(F.size("v") == dims).select(
-            F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).alias(other), F.lit(role).alias("role"), "id", "v"
+    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"), F.monotonically_increasing_id().alias("nr"))
+    queries = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("d"), F.monotonically_increasing_id().alias("nr"))
+    blocks = lambda df, name, most: df.groupBy("d").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    # One row for each length that both sides have.
+    grid = F.broadcast(blocks(rows, "rn", row_block).join(blocks(queries, "qn", query_block), "d"))
+
+    def spread(df: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        # Repeated keys are dealt by their place too.
+        return df.join(grid, "d").select(
+            "d", F.pmod(F.xxhash64("id", "nr"), F.col(f"{own}n")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"{other}n") - 1)).alias(other), F.lit(role).alias("role"), "id", "v"
         )
 
-    both = spread(queries, "q", query_blocks, "r", row_blocks, 0).unionByName(spread(rows, "r", row_blocks, "q", query_blocks, 1))
-    laid = both.repartition(row_blocks * query_blocks, "r", "q").sortWithinPartitions("r", "q", "role", "id")
+    both = spread(rows, "r", "q", 0).unionByName(spread(queries, "q", "r", 1))
+    laid = both.repartition("d", "r", "q").sortWithinPartitions("d", "r", "q", "role", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        current = None
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            role, ids, vectors = (np.concatenate(x) for x in zip(*held))
-            base = role == 1
-            if base.any() and not base.all():
-                index = BitSlicedIndex(ids[base], vectors[base])
-                for own, query in zip(ids[~base], vectors[~base]):
-                    found, scores = index.top(query, own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own)), pa.array(found), pa.array(scores)], names=["query_id", key, "score"])
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        index, current = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            r, q = (batch.column(c).to_numpy() for c in (0, 1))
-            cuts = [0, *(np.flatnonzero((r[1:] != r[:-1]) | (q[1:] != q[:-1])) + 1), len(r)]
-            role, ids = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            vectors = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(r), dims)
+            place = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1), batch.num_rows]
+            ids = batch.column(4).to_numpy()
             for a, b in zip(cuts, cuts[1:]):
-                if current is not None and current != (r[a], q[a]):
-                    yield from answer()
+                if current != tuple(place[:3, a]):
+                    held.clear()
+                    index, current = None, tuple(place[:3, a])
+                part = batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if place[3, a] == 0:
+                    held.append((ids[a:b], part))
+                    continue
+                if held:
+                    index = BitSlicedIndex(*(np.concatenate(x) for x in zip(*held)))
                     held.clear()
-                current = (r[a], q[a])
-                held.append((role[a:b], ids[a:b], vectors[a:b]))
-        if held:
-            yield from answer()
+                if index is None:
+                    continue
+                for own, query in zip(ids[a:b], part):
+                    found, scores = index.top(query, own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), own)), pa.array(found), pa.array(scores)], names=["query_id", key, "score"])
 
-    part = laid.select("r", "q", "role", "id", "v").mapInArrow(search, f"query_id long, {key} long, score long")
+    part = laid.select("d", "r", "q", "role", "id", "v").mapInArrow(search, f"query_id long, {key} long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key)))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -4,10 +4,10 @@ Unit vectors are cut in halves; each half has a codebook, and the pair of neares
 vector's cell on the product grid. Around a vector, cells are visited in the order of
 their distance, the sum of the two halves' distances (multi-sequence
 traversal): for a half, the squared distance to the plane between its own code and the
-other one, below which no vector of that code can be. A link of cosine ``c`` has a
-squared distance of at most ``2 - 2c``, so a traversal up to that bound finds all of them; a
-target recall below 1 stops it earlier, at twice the distance that reaches the target in
-every cell of the sample. Visited cells are then compared exactly, in double precision.
+other one. The traversal of a region (all cells with one code of the first half) ends at the distance that reached the target recall there: it is
+calibrated on the sample, both by its own links and by neighbours drawn at exactly the threshold around
+every sampled vector, so that regions without links and tables whose links are rare have a bound too. A link of cosine ``c`` never needs
+more than ``2 - 2c``, which is the bound for a target recall of 1. Visited cells are then compared exactly, in double precision.
 
 Neighbouring cells are one group until they hold a block of rows. A vector goes once to each group with a
 cell that it visits, so its copies are bounded by the groups and not by the visited cells.
@@ -15,7 +15,6 @@ cell that it visits, so its copies are bounded by the groups and not by the visi
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,18 +26,22 @@ from pyspark.sql import functions as F
 from rolecast.llm.common import written
 from rolecast.llm.components import components
 
-CODES = 32
+#: The grid grows with the table: a cell holds about so many rows, within the least and most codes of a half.
+ROWS_PER_CELL = 48
+LEAST_CODES, MOST_CODES = 4, 512
 SAMPLE_ROWS = 8_192
-CELL_ROWS = 4_096
+TARGET_RECALL = 0.9995
+DRAWS = 24
+CELL_ROWS = 1_024
 VISIT_ROWS = 4_096
 
 
 @dataclass
 class MultiIndex:
-    """Codebooks of both halves, with the bound of the traversal."""
+    """Codebooks of both halves, with the bound of the traversal for each code of the first half."""
 
     books: tuple[np.ndarray, np.ndarray]
-    bound: float
+    bounds: np.ndarray
 
     def distances(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each half: own code, and the squared distance to the edge of each other code's region."""
@@ -52,32 +55,30 @@ class MultiIndex:
             out.append((own, np.where(apart > 0, np.divide(gap, 2 * apart, out=np.zeros_like(gap), where=apart > 0), 0) ** 2))
         return out
 
-    def visits(self, unit: np.ndarray, bound: float | None = None) -> Iterator[tuple[int, list[int]]]:
+    def visits(self, unit: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Home cell and visited cells of each vector."""
-        limit = (self.bound if bound is None else bound) + 1e-9
         (one, far1), (two, far2) = self.distances(unit)
+        limits = self.bounds[one] + 1e-9
         n2 = len(self.books[1])
         for k in range(len(unit)):
-            near1, near2 = ([(d, c) for c, d in enumerate(far[k].tolist()) if d <= limit] for far in (far1, far2))
-            near1.sort()
-            near2.sort()
-            yield int(one[k]) * n2 + int(two[k]), [near1[i][1] * n2 + near2[j][1] for i, j in multi_sequence(near1, near2, limit)]
-
-
-def multi_sequence(first: list[tuple[float, int]], second: list[tuple[float, int]], limit: float) -> Iterator[tuple[int, int]]:
-    """Pairs of places in two sorted lists by rising sum of distances, up to ``limit``."""
-    if not first or not second:
-        return
-    heap = [(first[0][0] + second[0][0], 0, 0)]
-    while heap:
-        total, i, j = heapq.heappop(heap)
-        if total > limit:
-            return
-        yield i, j
-        if j + 1 < len(second):
-            heapq.heappush(heap, (first[i][0] + second[j + 1][0], i, j + 1))
-        if j == 0 and i + 1 < len(first):
-            heapq.heappush(heap, (first[i + 1][0] + second[0][0], i + 1, 0))
+            cells = []
+            for far in (far1, far2):
+                near = np.flatnonzero(far[k] <= limits[k])
+                cells.append(near[np.argsort(far[k, near], kind="stable")])
+            i, j = multi_sequence(far1[k, cells[0]], far2[k, cells[1]], limits[k])
+            yield int(one[k]) * n2 + int(two[k]), cells[0][i] * n2 + cells[1][j]
+
+
+def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in two sorted sequences by rising sum of distances, up to ``limit``.
+
+    For each place of the first sequence, the second one is taken as far as the limit lets it.
+    """
+    far = np.searchsorted(second, limit - first, side="right")
+    i = np.repeat(np.arange(len(first)), far)
+    j = np.arange(far.sum()) - np.repeat(np.cumsum(far) - far, far)
+    order = np.argsort(first[i] + second[j], kind="stable")
+    return i[order], j[order]
 
 
 def _codebook(points: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
@@ -94,25 +95,56 @@ def _codebook(points: np.ndarray, codes: int, rounds: int = 12) -> np.ndarray:
     return np.unique(book, axis=0)
 
 
-def fit_index(sample: np.ndarray, threshold: float, target_recall: float = 1.0, codes: int = CODES) -> MultiIndex:
-    """Codebooks by k-means on a sample of unit vectors, and the traversal's bound."""
+def neighbours_at(unit: np.ndarray, threshold: float, draw: np.random.Generator) -> np.ndarray:
+    """For each row a random unit vector whose cosine with it is the threshold."""
+    other = draw.normal(size=unit.shape)
+    other -= (other * unit).sum(1, keepdims=True) * unit
+    length = np.linalg.norm(other, axis=1, keepdims=True)
+    other = np.divide(other, length, out=np.zeros_like(other), where=length > 0)
+    return threshold * unit + np.sqrt(max(0.0, 1 - threshold**2)) * other
+
+
+def fit_index(sample: np.ndarray, threshold: float, target_recall: float = 1.0, codes: int = 32, seed: int = 5) -> MultiIndex:
+    """Codebooks by k-means on a sample of unit vectors, and the bounds of the traversal by region.
+
+    The bound of a region is the larger one of what its sampled vectors needed for their own links, every vector counted
+    once, and of what they needed for neighbours drawn at the threshold, at the target recall; half as much again is
+    added for rows outside the sample.
+    """
     half = sample.shape[1] // 2
-    index = MultiIndex((_codebook(sample[:, :half], codes), _codebook(sample[:, half:], codes)), 2 - 2 * threshold)
-    if target_recall < 1:
-        farthest = np.full(len(sample), -1.0)
-        (one, far1), (two, far2) = index.distances(sample)
-        for at in range(0, len(sample), 512):
-            a, b = np.nonzero(sample[at : at + 512] @ sample.T >= threshold)
-            a, b = a[a + at != b] + at, b[a + at != b]
-            np.maximum.at(farthest, a, far1[a, one[b]] + far2[a, two[b]])
-        # One value for each vector and the quantile by cell, so that a large group does not set the bound for others.
-        home = one * len(index.books[1]) + two
-        needed = [float(np.quantile(farthest[got], target_recall, method="higher")) for cell in np.unique(home[farthest >= 0]) if (got := (home == cell) & (farthest >= 0)).any()]
-        if needed:  # twice the distance that was needed, as a margin for rows outside the sample
-            index.bound = min(index.bound, 2 * max(needed))
+    books = (_codebook(sample[:, :half], codes), _codebook(sample[:, half:], codes))
+    most = 2 - 2 * threshold
+    index = MultiIndex(books, np.full(len(books[0]), most))
+    if target_recall >= 1:
+        return index
+    (one, far1), (two, far2) = index.distances(sample)
+    linked = np.full(len(sample), -1.0)
+    for at in range(0, len(sample), 512):
+        a, b = np.nonzero(sample[at : at + 512] @ sample.T >= threshold)
+        a, b = a[a + at != b] + at, b[a + at != b]
+        np.maximum.at(linked, a, far1[a, one[b]] + far2[a, two[b]])
+    draw = np.random.default_rng(seed)
+    drawn = np.zeros((len(sample), DRAWS))
+    for k in range(DRAWS):
+        (there1, _), (there2, _) = index.distances(neighbours_at(sample, threshold, draw))
+        rows = np.arange(len(sample))
+        drawn[:, k] = far1[rows, there1] + far2[rows, there2]
+    everywhere = float(np.quantile(drawn, target_recall, method="higher"))
+    for code in range(len(books[0])):
+        here = one == code
+        found = [everywhere]
+        if here.any():
+            found.append(float(np.quantile(drawn[here], target_recall, method="higher")))
+        if (linked[here] >= 0).any():
+            found.append(float(linked[here].max()))
+        index.bounds[code] = min(most, 1.5 * max(found))
     return index
 
 
+def codes_for(n: int) -> int:
+    return int(min(MOST_CODES, max(LEAST_CODES, round((n / ROWS_PER_CELL) ** 0.5))))
+
+
 def cell_groups(sizes: dict[int, int], cells: int, most: int) -> np.ndarray:
     """The group of each cell: neighbouring cells together hold ``most`` rows or less; a larger cell is a group."""
     group, held, at = np.zeros(cells, np.int64), 0, 0
@@ -160,31 +192,51 @@ def _compare(ids: np.ndarray, role: np.ndarray, weight: np.ndarray, vectors: np.
 
 
 def near_vectors(
-    vectors: DataFrame, threshold: float = 0.95, target_recall: float = 1.0, codes: int = CODES, sample_rows: int = SAMPLE_ROWS,
+    vectors: DataFrame, threshold: float = 0.95, target_recall: float = TARGET_RECALL, codes: int | None = None, sample_rows: int = SAMPLE_ROWS,
     key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """``(key, n_links, component_id, kept)``, one row per vector.
 
-    Rows link when their cosine is at least ``threshold``. Identical vectors are one class with a
+    Rows link when their cosine is at least ``threshold``; a target recall of 1 finds every link, a lower one is
+    measured in the README. Identical vectors are one class with a
     weight; each class visits cells, and the classes of a group of cells are dealt into blocks of bounded size
     that meet its visitors in blocks, so a dense cell is many tasks. A block gives one
     row per visitor with its number of links, and a forest of links. The codebooks are
-    fitted on the ``sample_rows`` classes with the smallest hash of their key; every row
-    is indexed. Vectors that are NULL, zero, of another length than the longest, or that hold
-    NULL or non-finite numbers link with nothing, as do rows without a key (their
+    fitted on the ``sample_rows`` classes with the smallest hash of their key and grow with the number of classes (``codes`` fixes
+    them); every row is indexed. Vectors of equal length are compared with each other, each length in an index of its own.
+    Vectors that are NULL, zero, or that hold NULL or non-finite numbers link with nothing, as do rows without a key (their
     ``component_id`` is NULL). Repeated rows count as other vectors of one key. Other
     columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    dims = usable.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    usable = usable.where(F.size("v") == dims)
+    good = F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)
+    usable = rows.where(good)
     classes = written(usable.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-classes")
+    met = None
+    # A length with a single class has no other links than those of its copies.
+    for dims, n in sorted(tuple(r) for r in classes.groupBy(F.size("v").alias("d")).count().where("count > 1").collect()):
+        found = _links(classes.where(F.size("v") == dims), threshold, target_recall, codes or codes_for(n), sample_rows)
+        met = found if met is None else met.unionByName(found)
+    if met is None:
+        named = classes.select("v", (F.col("n") - 1).alias("links"), F.col("rep").alias("component"))
+    else:
+        joined = components(met.where("other is not null"), "rep", "other", "near-vectors")
+        counts = met.where("other is null").groupBy("rep").agg((F.sum("links") - 1).alias("links"))
+        named = classes.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(
+            "v", F.coalesce("links", F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    member = usable.select("id", "v").join(named, "v").select("id", "links", "component")
+    alone = rows.where(~F.coalesce(good, F.lit(False)))
+    every_row = member.unionByName(alone.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
+    return every_row.select(
+        F.col("id").alias(key), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
+    )
+
+
+def _links(classes: DataFrame, threshold: float, target_recall: float, codes: int, sample_rows: int) -> DataFrame:
+    """``(rep, other, links)`` of classes of one length: rows without ``other`` count links, the others are a forest of them. Saved."""
+    spark = classes.sparkSession
     found = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("v").toPandas()["v"]
-    if not len(found):
-        return rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     index = spark.sparkContext.broadcast(fit_index(_unit(np.stack(found)), threshold, target_recall, codes))
 
     cells = len(index.value.books[0]) * len(index.value.books[1])
@@ -250,13 +302,4 @@ def near_vectors(
             yield from answer()
 
     laid = base.unionByName(guest).repartition("cell", "b", "q").sortWithinPartitions("cell", "b", "q", "role", "rep")
-    met = written(laid.mapInArrow(compare, "rep long, other long, links long"), "vector-links")
-    joined = components(met.where("other is not null"), "rep", "other", "near-vectors")
-    counts = met.where("other is null").groupBy("rep").agg((F.sum("links") - 1).alias("links"))
-    named = classes.join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select("v", "links", F.coalesce("component", "rep").alias("component"))
-    member = usable.select("id", "v").join(named, "v").select("id", "links", "component")
-    alone = rows.where(~F.coalesce(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0) & (F.size("v") == dims), F.lit(False)))
-    every_row = member.unionByName(alone.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))
-    return every_row.select(
-        F.col("id").alias(key), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
-    )
+    return written(laid.mapInArrow(compare, "rep long, other long, links long"), "vector-links")

@@ -40,10 +40,10 @@ def spans(text: Column, pattern: str, least: int) -> Column:
 
     ``text`` must not hold the marking characters (see ``unmarked``). Without a match: empty.
     One pass over the pieces: each but the first is lead, mark, value, mark, rest; so
-    the two groups of a pattern must hold the whole match. The fold
-    is kept flat, as nested lambdas take Catalyst seconds per task to compare.
+    the two groups of a pattern must hold the whole match. Pieces are folded ``_RUN`` at a time and the
+    runs are then shifted to their places, so the work stays in proportion to the number of spans.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         value, close = F.instr(piece, _VALUE), F.instr(piece, _CLOSE)
@@ -53,8 +53,23 @@ def spans(text: Column, pattern: str, least: int) -> Column:
             F.when((close > 0) & (close - value - 1 >= least), F.concat(acc["out"], F.array(match))).otherwise(acc["out"]).alias("out"),
         )
 
-    pieces = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), _OPEN)
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    def shift(acc: Column, run: Column) -> Column:
+        placed = F.struct(acc["at"].alias("at"), run["out"].alias("out"))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(placed)).alias("out"))
+
+    runs = F.transform(_runs(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$1{_VALUE}$2{_CLOSE}"), _OPEN)), lambda run: F.aggregate(run, first, step))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at: int, out: {_NONE}>>").alias("out"))
+    placed = F.aggregate(runs, start, shift, lambda acc: acc["out"])
+    return F.flatten(F.transform(placed, lambda run: F.transform(run["out"], lambda s: F.struct((s["start"] + run["at"]).alias("start"), (s["end"] + run["at"]).alias("end")))))
+
+
+_RUN = 256
+
+
+def _runs(values: Column) -> Column:
+    """An array cut into arrays of ``_RUN`` elements. The array is bound to a name, so that it is built once."""
+    cut = lambda v: F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / _RUN).cast("int")), lambda k: F.slice(v, k * _RUN + 1, F.lit(_RUN)))
+    return F.flatten(F.transform(F.array(values), cut))
 
 
 def unmarked(text: Column) -> Column:
@@ -130,15 +145,28 @@ def as_text(column: Column) -> Column:
 def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by ``mask``.
 
-    ``found`` is sorted by start, as ``all_spans`` gives it.
+    ``found`` is sorted by start, as ``all_spans`` gives it. Places are looked up in the part of the text that
+    ``_RUN`` spans cover, not in the whole text each time.
     """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s.start >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s.end).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s.start - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    first = lambda at: F.struct(at.alias("at"), F.lit("").alias("out"))
+
+    def step(base: Column, part: Column):
+        def one(acc: Column, s: Column) -> Column:
+            fresh = s.start >= acc["at"]
+            return F.struct(
+                F.greatest(acc["at"], s.end).alias("at"),
+                F.when(fresh, F.concat(acc["out"], F.substring(part, acc["at"] - base + 1, s.start - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return one
+
+    def run_step(acc: Column, run: Column) -> Column:
+        base = acc["at"]
+        part = F.substring(text, base + 1, F.array_max(F.transform(run, lambda s: s.end)) - base)
+        # The part is bound to a name, so that it is cut out once.
+        done = F.element_at(F.transform(F.array(part), lambda p: F.aggregate(run, first(base), step(base, p))), 1)
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out"))), 1)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(_runs(found), start, run_step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, whole).otherwise(text)

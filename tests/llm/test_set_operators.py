@@ -6,6 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from compare import difference, duck
 from rolecast.llm import bitsliced, minhash, multiindex, packing, queries, substring
@@ -262,6 +264,58 @@ def test_a_hot_group_hides_no_links_of_others(spark):
     assert np.mean([a * len(index.books[1]) + b in c for a, b, c in zip(first.tolist(), second.tolist(), found)]) >= 0.99
 
 
+def test_traversal_takes_cells_by_rising_distance():
+    draw = np.random.default_rng(2)
+    for _ in range(50):
+        first, second, limit = np.sort(draw.integers(0, 9, 6)) / 8, np.sort(draw.integers(0, 9, 4)) / 8, draw.integers(0, 17) / 8
+        i, j = multiindex.multi_sequence(first, second, limit)
+        sums = [first[a] + second[b] for a, b in zip(i, j)]
+        assert sums == sorted(sums) and set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(6) for b in range(4) if first[a] + second[b] <= limit}
+
+
+def test_grid_grows_and_rows_outside_the_sample_are_found():
+    draw = np.random.default_rng(7)
+    assert [multiindex.codes_for(n) for n in (0, 500, 50_000, 10**9)] == [4, 4, 32, 512]
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    middle = unit(draw.normal(size=(40, 32)))
+    rows = unit(middle[draw.integers(40, size=6000)] + draw.normal(size=(6000, 32)) * 0.08)
+    rows[:3000:2] = multiindex.neighbours_at(rows[1:3000:2], 0.951, draw)
+    index = multiindex.fit_index(rows[4000:5000], 0.95, 0.9995, 10)  # no planted pair is in the sample
+    (one, _), (two, _) = index.distances(rows)
+    cell = one * len(index.books[1]) + two
+    seen = [set(c.tolist()) for _, c in index.visits(rows)]
+    a, b = np.nonzero(rows @ rows.T >= 0.95)
+    assert np.mean([cell[y] in seen[x] for x, y in zip(a, b)]) >= 0.99
+    planted = [cell[k + 1] in seen[k] and cell[k] in seen[k + 1] for k in range(0, 3000, 2)]
+    assert np.mean(planted) >= 0.99 and np.mean([len(s) for s in seen]) < 0.5 * len(index.books[0]) * len(index.books[1])
+    assert (multiindex.fit_index(rows[:500], 0.95, 1.0, 8).bounds == 2 - 2 * 0.95).all()
+
+
+def test_vectors_of_other_lengths_take_nothing_away(spark):
+    draw = np.random.default_rng(3)
+    eight = [(k, draw.normal(size=8).tolist()) for k in range(120)]
+    eight += [(200 + k, (np.array(eight[k][1]) * 2).tolist()) for k in range(60)]
+    nine = [(900, [1.0] * 9)]
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    links = lambda rows: {r.vec_id: r.n_links for r in multiindex.near_vectors(make(rows)).collect()}
+    alone = links(eight)
+    assert sum(alone.values()) >= 120 and links(eight + nine) == {**alone, 900: 0}
+    both = links(eight + nine + [(901, [1.0] * 9), (902, [2.0] * 9)])
+    assert {k: both[k] for k in alone} == alone and [both[k] for k in (900, 901, 902)] == [2, 2, 2]
+    table = lambda rows: make(rows).select("vec_id", bitsliced.quantised(F.col("embedding")).alias("vector"))
+    top = lambda rows: sorted(map(tuple, bitsliced.top_by_inner_product(table(rows), table(rows).where("vec_id % 50 = 0"), 5).collect()))
+    assert len(top(eight)) == 25 and [r for r in top(eight + nine) if r[0] != 900] == top(eight)
+    assert [r for r in top(eight + nine + [(901, [1.0] * 9)]) if r[0] == 900] == [(900, 1, 901, 9 * 256 * 256)]
+
+
+def test_components_too_large_for_exact_scores_are_an_error(spark):
+    make = lambda x: spark.createDataFrame([(0, [x, 1.0]), (1, [x, 2.0])], "vec_id long, embedding array<double>").select("vec_id", bitsliced.quantised(F.col("embedding")).alias("vector"))
+    for x in (1e300, 1e12):
+        with pytest.raises(Exception, match="too large|64 bits"):
+            bitsliced.top_by_inner_product(make(x), make(x), 5).collect()
+    assert bitsliced.top_by_inner_product(make(1e4), make(1e4), 5).count() == 2
+
+
 def test_the_registered_query_asks_for_every_link(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(multiindex, "near_vectors", lambda rows, threshold, target_recall=1.0: asked.append((threshold, target_recall)))

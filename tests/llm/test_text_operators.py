@@ -228,6 +228,21 @@ def test_parts_of_assignments_and_addresses_of_secrets_are_linked(spark):
     assert got[10] == [("material", f"xAAA/{key}")]
 
 
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        text = "é ".join(f"password=abcdefgh{k:06d} token: x{k}" for k in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.scan(frame).select("base", secrets.redacted(F.col("text"), secrets.all_spans()).alias("masked")).first()
+        took.append(time.time() - began)
+        assert len(row.base) == n and row.masked == re.sub(r"password=abcdefgh[0-9]{6}", "[SECRET]", text)
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.base) == base_spans(text)
+    assert took[1] < 40
+
+
 def test_scan_runs_without_python_workers(spark):
     plan = secrets.scan(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "Cartesian" not in plan and "NestedLoop" not in plan
