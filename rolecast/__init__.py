@@ -17,8 +17,10 @@ from rolecast.operators.retrieve import (
     fetch_by_ids,
     fetch_from_store,
     keyword_topn,
+    keyword_topn_by_posting,
     semantic_retrieve,
 )
+from rolecast.operators.skill import matched_skill_rows
 from rolecast.operators.score import add_final_score, score_stats
 from rolecast.operators.screen import flag_facts, flag_report, screen, validate_batch
 from rolecast.operators.vector_store import stored_topk, write_vector_store

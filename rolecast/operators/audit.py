@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.functions.scalars import strip, text_or
-from rolecast.operators.ordered import with_previous
+from rolecast.operators.ordered import previous_in_ranges, range_sorted
+from rolecast.sources.raw_files import records
 
 # Fixed output format.
 HEADER = ("candidate_id", "rank", "score", "reasoning")
@@ -83,6 +84,46 @@ def audit_headers(lines: DataFrame) -> DataFrame:
     )
 
 
+def audit_files(files: DataFrame, extension: str = ".csv") -> DataFrame:
+    """Per file: name, size, encoding and header, from the bytes (``sources.raw_files``). One row ``(check, file, detail)`` for each fault.
+
+    A header cell in quotes counts like one without. Of a file that is too large or not UTF-8 nothing else is said.
+    """
+    header = records(files).where("nr = 0").select(F.col("file").alias("_file"), "cells")
+    facts = files.select("file", "length", F.col("content").isNull().alias("large"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("broken")).join(
+        header, F.col("file") == F.col("_file"), "left")
+    fits = ~F.col("large") & ~F.coalesce("broken", F.lit(False))
+    expected = F.array(*[F.lit(c) for c in HEADER])
+    cells = F.coalesce("cells", F.array().cast("array<string>"))
+    checks = F.array_compact(
+        F.array(
+            _violation("file_name", ~F.lower("file").endswith(extension), F.lit(f"expected a {extension} file")),
+            _violation("file_size", F.col("large"), F.concat(F.col("length").cast("string"), F.lit(" bytes are not read"))),
+            _violation("encoding", ~F.col("large") & F.col("broken"), F.lit("file is not UTF-8")),
+            _violation("header", fits & F.col("cells").isNull(), F.lit("file is empty")),
+            _violation("header", fits & F.col("cells").isNotNull() & (cells != expected), F.concat(F.lit(f"expected {','.join(HEADER)}, found "), F.array_join(cells, ","))),
+        )
+    )
+    return facts.select("file", F.explode(checks).alias("v")).select(F.col("v.check").alias("check"), "file", F.col("v.detail").alias("detail"))
+
+
+def ranked_records(files: DataFrame) -> DataFrame:
+    """The data records of raw files in the shape that ``audit`` takes, with their ``file``.
+
+    A record of another width keeps its raw text in ``_corrupt_record``, and of its cells those that are there.
+    """
+    data = records(files).where("nr > 0").where(F.exists("cells", lambda c: F.trim(c) != ""))
+    return data.select(
+        "file", F.struct("file", "nr").alias("ingest_ordinal"), *[F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(HEADER)],
+        F.when(F.size("cells") != len(HEADER), F.col("record")).alias("_corrupt_record"))
+
+
+def audit_raw(files: DataFrame, extension: str = ".csv") -> DataFrame:
+    """All violations of one ranked output given as raw files: those of its files, and if they can be read those of its rows."""
+    whole = audit_files(files, extension).select("check", F.lit(None).cast("string").alias("rank"), F.lit(None).cast("string").alias("candidate_id"), "detail")
+    return whole.unionByName(audit(ranked_records(files), list(HEADER)))
+
+
 def audit_rows(rows: DataFrame) -> DataFrame:
     """Checks that look at one row: width, id format, rank, score."""
     ident, rank = F.col("candidate_id"), F.col("rank")
@@ -185,11 +226,24 @@ def audit_counts(rows: DataFrame) -> DataFrame:
 
 def audit_order(rows: DataFrame) -> DataFrame:
     """Score must not rise with rank; equal scores go by ascending id."""
-    usable = _parsed(rows).where(
-        F.col("_rank").isNotNull() & F.col("_score").isNotNull() & (F.col("candidate_id") != "")
-    ).select("rank", "candidate_id", "_rank", "_score", "_order")
-    pairs = with_previous(usable, [F.col("_rank"), F.col("_order")], ["_rank", "_score", "candidate_id"])
-    before = F.col("previous")
+    return _order_violations(saved_in_order(rows))
+
+
+def saved_in_order(rows: DataFrame) -> DataFrame:
+    """All tidy rows by rank and then by their place, dealt into ranges and saved once.
+
+    Rows that take no part in the order checks (``_rank`` or ``_score`` is NULL, no id) come first.
+    """
+    score = F.when(F.col("score").rlike(_FLOAT), F.col("score").try_cast("double"))
+    rank = F.when(F.col("rank").rlike(_INTEGER), F.col("rank").try_cast("bigint"))
+    usable = ~F.col("_width") & rank.isNotNull() & score.isNotNull() & (F.col("candidate_id") != "")
+    marked = rows.withColumns({"_rank": F.when(usable, rank), "_score": F.when(usable, score)})
+    return range_sorted(marked, [F.col("_rank").asc_nulls_first(), F.col("_order")])
+
+
+def _order_violations(saved: DataFrame) -> DataFrame:
+    pairs = previous_in_ranges(saved, ["_rank", "_score", "candidate_id"]).where("_rank IS NOT NULL")
+    before = F.when(F.col("previous")["_rank"].isNotNull(), F.col("previous"))
     checks = F.array_compact(
         F.array(
             _violation("monotone", before["_score"] < F.col("_score"), F.lit("score is above that of the rank before")),
@@ -217,9 +271,13 @@ def audit_honeypot_share(ranked: DataFrame, verdicts: DataFrame, limit: float =
 
 
 def audit(ranked: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All violations of a ranked output; empty when it is in order."""
-    rows = tidy(ranked)
+    """All violations of a ranked output; empty when it is in order.
+
+    The input is read once and dealt into ranges once (``saved_in_order``); all checks read the saved rows, and the order
+    checks need only the last row of each range besides.
+    """
+    saved = saved_in_order(tidy(ranked))
     result = audit_header(ranked, columns)
-    for part in (audit_counts(rows), audit_rows(rows), audit_order(rows)):
+    for part in (audit_counts(saved), audit_rows(saved), _order_violations(saved)):
         result = result.unionByName(part.select(*_RESULT))
     return result

@@ -9,11 +9,14 @@ however often they are read or recomputed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rolecast.session import checkpoint_root
 
@@ -60,14 +63,33 @@ def with_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
 
 def with_previous(df: DataFrame, order: Sequence[Column], columns: Sequence[str], name: str = "previous") -> DataFrame:
     """Add the given columns of the preceding row as a struct."""
-    rows = range_sorted(df, order)
-    value = F.struct(*columns)
-    last = rows.groupBy("_part").agg(F.max_by(value, "_pos").alias("_last"))
+    return previous_in_ranges(range_sorted(df, order), columns, name).drop("_part", "_pos")
+
+
+def previous_in_ranges(rows: DataFrame, columns: Sequence[str], name: str = "previous") -> DataFrame:
+    """``with_previous`` for rows that ``range_sorted`` has saved: nothing is shuffled again.
+
+    Each saved range is read in its order and hands every row on with the one before. The first row of a range takes the
+    last row of the range before, from a summary of one row per range.
+    """
+    kept = rows.columns
+    kinds = {f.name: f.dataType for f in rows.schema}
+    value = StructType([StructField(c, kinds[c]) for c in columns])
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[pa.Array] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(kept.index(c)) for c in columns]
+            before = [pa.nulls(1, x.type) for x in now] if last is None else last
+            shifted = [pa.concat_arrays([b, x.slice(0, len(x) - 1)]) for b, x in zip(before, now)]
+            known = pa.array([last is not None] + [True] * (len(now[0]) - 1))
+            pairs = pa.StructArray.from_arrays(shifted, names=list(columns), mask=pc.invert(known))
+            last = [x.slice(len(x) - 1, 1) for x in now]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pairs], names=[*kept, "_inside"])
+
+    inside = rows.mapInArrow(shift, StructType([*rows.schema.fields, StructField("_inside", value)]))
+    last = rows.groupBy("_part").agg(F.max_by(F.struct(*columns), "_pos").alias("_last"))
     carried = last.select("_part", F.lag("_last").over(W.orderBy("_part")).alias("_carried"))
-    inside = F.lag(value).over(W.partitionBy("_part").orderBy("_pos"))
-    return (
-        rows.withColumn("_inside", inside)
-        .join(F.broadcast(carried), "_part")
-        .withColumn(name, F.coalesce("_inside", "_carried"))
-        .drop("_part", "_pos", "_inside", "_carried")
-    )
+    return inside.join(F.broadcast(carried), "_part").withColumn(name, F.coalesce("_inside", "_carried")).drop("_inside", "_carried")

@@ -9,6 +9,7 @@ from rolecast.config import DEFAULT, Config
 from rolecast.functions.scalars import clip, number, text_or
 from rolecast.functions.text import normalise_skill, skill_match
 from rolecast.functions.vocabulary import FULL_SKILL_MONTHS, PROFICIENCY, SKILL_WEIGHTS
+from rolecast.operators.containment import containing
 from rolecast.operators.posting import Criteria
 from rolecast.session import per_session
 
@@ -27,6 +28,27 @@ def matched_skills(skills: Column, keys: Column, mode: str = "substring") -> Col
     return F.filter(named, lambda s: F.exists(keys, lambda k: skill_match(s["key"], k, mode)))
 
 
+def matched_skill_rows(profiles: DataFrame, postings: DataFrame, mode: str = "substring", profile_key: str = "ingest_ordinal", posting_key: str = "posting_id") -> DataFrame:
+    """``(profile_key, posting_key, idx, name, key)``: the matched skills of every profile for every posting.
+
+    The relational form of ``matched_skills`` for tables of both sides. ``postings`` has ``skill_keys``, already normalised. Distinct
+    names and keys are matched once, either containing the other, and profiles and postings then meet by equal names; ``idx`` counts the named
+    skills of a profile from 0.
+    """
+    named = profiles.select(profile_key, F.posexplode(F.filter("skills", lambda s: text_or(s["name"], "") != "")).alias("idx", "s")).select(
+        profile_key, "idx", F.col("s.name").alias("name"), normalise_skill(F.col("s.name")).alias("key"))
+    wanted = postings.select(posting_key, F.explode("skill_keys").alias("wanted")).distinct()
+    if mode == "exact":
+        return named.join(wanted, named["key"] == wanted["wanted"]).select(profile_key, posting_key, "idx", "name", "key")
+    have, want = named.select("key").distinct(), wanted.select("wanted").distinct()
+    wide = containing(have.select(F.col("key").alias("id"), F.col("key").alias("text")), want, needle="wanted").select(F.col("id").alias("key"), "wanted")
+    narrow = containing(want.select(F.col("wanted").alias("id"), F.col("wanted").alias("text")), have, needle="key").select("key", F.col("id").alias("wanted"))
+    pairs = wide.unionByName(narrow).distinct()
+    # A posting may want several keys that match one name.
+    by_posting = pairs.join(wanted, "wanted").select("key", posting_key).distinct()
+    return named.join(by_posting, "key").select(profile_key, posting_key, "idx", "name", "key")
+
+
 def _mean(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     return F.coalesce(F.try_divide(total, F.size(values)), F.lit(0.0))

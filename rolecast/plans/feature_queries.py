@@ -116,6 +116,21 @@ def skill_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ingest_ordinal", F.col("idx").cast("bigint").alias("idx"), "s.name")
 
 
+# Postings by priority of an order; keys are words of the skills, pieces of them, an unknown and an empty one.
+_POSTING_KEYS = {"p1": ("python", "sql", "data"), "p2": ("a", "machine learning models"), "p3": ("", "react"), "p4": ("cobol",), "p5": ("ka", "c", "power bi")}
+_KEY_ROWS = ", ".join(f"('{p}', '{k}')" for p, keys in _POSTING_KEYS.items() for k in keys)
+
+
+@query("skill_matched_by_posting", check_sql(f"""
+SELECT DISTINCT s.b AS ingest_ordinal, posting_id, CAST(rank - 1 AS BIGINT) AS idx, name
+FROM (SELECT *, {_key('name')} AS key, row_number() OVER (PARTITION BY b ORDER BY code) AS rank FROM skill) s
+JOIN (SELECT * FROM (VALUES {_KEY_ROWS}) AS t(posting_id, w)) ON contains(key, w) OR contains(w, key)"""))
+def skill_matched_by_posting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([(p, list(keys)) for p, keys in _POSTING_KEYS.items()], "posting_id string, skill_keys array<string>")
+    found = L.matched_skill_rows(profiles(spark, sf_dir), asked)
+    return found.select("ingest_ordinal", "posting_id", F.col("idx").cast("bigint").alias("idx"), "name")
+
+
 # -- the feature table ------------------------------------------------------
 
 _BAD = """(SELECT c.b, (coalesce(years_text, '') <> '' AND years IS NULL) OR (coalesce(last_active, '') <> '' AND try_cast(last_active AS DATE) IS NULL)

@@ -119,10 +119,10 @@ def final_score_tier_multiplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.add_final_score(flat(spark, sf_dir), config).select("ingest_ordinal", _rounded("final_score"))
 
 
-@query("score_stats", f"""WITH {FLAT_CTE}, {SCORED_CTE}, x AS (SELECT *, {r('final_score')} AS s FROM scored)
-SELECT {r('min(final_score)')} AS min_score, {r('max(final_score)')} AS max_score, {r('avg(final_score)', 5)} AS mean_score, {r('median(s)', 6)} AS median_score,
+@query("score_stats", f"""WITH {FLAT_CTE}, {SCORED_CTE}
+SELECT {r('min(final_score)')} AS min_score, {r('max(final_score)')} AS max_score, {r('avg(final_score)', 5)} AS mean_score, {r('median(final_score)', 6)} AS median_score,
   count_if(final_score = 0) AS n_zero, count(*) AS n_total, count_if({_HONEY}) AS n_honeypot, count_if({_CLOSED}) AS n_not_open,
-  count_if({_IDLE}) AS n_inactive, count_if({_UNRELIABLE}) AS n_low_interview FROM x""")
+  count_if({_IDLE}) AS n_inactive, count_if({_UNRELIABLE}) AS n_low_interview FROM scored""")
 def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = S.score_stats(S.add_final_score(flat(spark, sf_dir), CONFIG), CONFIG)
     return stats.withColumns({

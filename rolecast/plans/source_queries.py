@@ -19,6 +19,7 @@ from rolecast.plans.screen_queries import FACT_CTES, VERDICT_CTE
 from rolecast.session import scratch_path
 from rolecast.sources import postings as PS
 from rolecast.sources import profiles as SP
+from rolecast.sources import raw_files as RF
 from rolecast.sources import tables as ST
 from rolecast.sources.schema import CORRUPT
 
@@ -114,6 +115,42 @@ def scan_jd_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return PS.read_posting_text(spark, path).select("title", F.col("min_experience_years").alias("min_years"), "description")
 
 
+# A written file for each benchmark item: quoted header, other order, bytes that are no text, a blank line, wrong widths, quoted breaks.
+_HEADER_LINE = "candidate_id,rank,score,reasoning"
+_FILE_KINDS = {
+    0: '"candidate_id",rank,"score","reasoning"\nCAND_0000001,1,0.5,"two\nlines, ""quoted"""',
+    1: "rank,candidate_id,score,reasoning\nCAND_0000001,1,0.5,x",
+    2: f"{_HEADER_LINE}\nCAND_0000001,1,0.5,",  # and some bytes that are no text
+    3: "",
+    4: f'{_HEADER_LINE}\nCAND_0000001,1,0.5\n\n , ,\nCAND_0000002,2,0.4,x,y\nCAND_0000003,3,0.3,"a,b"',
+    5: f'{_HEADER_LINE}\r\nCAND_0000001,1,0.5,a "b" c\r\n',
+}
+_RAW_KIND = "CAST(item_id % 6 AS INTEGER)"
+
+
+@query("audit_raw_files", f"""
+SELECT item_id, 'header' AS "check", 'expected candidate_id,rank,score,reasoning, found rank,candidate_id,score,reasoning' AS detail FROM benchmark WHERE {_RAW_KIND} = 1
+UNION ALL SELECT item_id, 'encoding', 'file is not UTF-8' FROM benchmark WHERE {_RAW_KIND} = 2
+UNION ALL SELECT item_id, 'header', 'expected candidate_id,rank,score,reasoning, found ' FROM benchmark WHERE {_RAW_KIND} = 3
+UNION ALL SELECT item_id, 'width', x FROM benchmark, (SELECT unnest(['CAND_0000001', 'CAND_0000002']) AS x) WHERE {_RAW_KIND} = 4
+UNION ALL SELECT item_id, 'reason', CASE {_RAW_KIND} WHEN 0 THEN 'two' || chr(10) || 'lines, "quoted"' WHEN 1 THEN 'x' WHEN 4 THEN 'a,b' WHEN 5 THEN 'a "b" c' END
+    FROM benchmark WHERE {_RAW_KIND} IN (0, 1, 4, 5)""")
+def audit_raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header, encoding, width and cells of written files, from their bytes."""
+    path = scratch_path(spark, "raw")
+    kind, content = F.expr(_RAW_KIND), F.lit(None).cast("string")
+    for k, text in _FILE_KINDS.items():
+        value = F.concat(F.lit(text), F.unhex(F.lit("C328FF")).cast("string")) if k == 2 else F.lit(text)
+        content = F.when(kind == k, value).otherwise(content)
+    table(spark, sf_dir, "benchmark").select("item_id", content.alias("value")).write.partitionBy("item_id").text(path)
+    files = RF.read_raw_files(spark, path)
+    item = F.regexp_extract("file", "item_id=([0-9]+)", 1).cast("long").alias("item_id")
+    rows = A.ranked_records(files)
+    wide = rows.where("_corrupt_record IS NOT NULL").select(item, F.lit("width").alias("check"), F.col("candidate_id").alias("detail"))
+    good = rows.where("_corrupt_record IS NULL").select(item, F.lit("reason").alias("check"), F.col("reasoning").alias("detail"))
+    return A.audit_files(files, ".txt").select(item, "check", "detail").unionByName(wide).unionByName(good)
+
+
 @query("scan_features", f"""WITH {RANKED_CTES}
 SELECT 'csv' AS kind, count(*) AS n, count(semantic_score) AS n_semantic, {r('sum(skill_score)', 4)} AS skill, count_if(is_honeypot) AS n_honeypot FROM flat
 UNION ALL SELECT 'tsv', count(*), count(semantic_score), {r('sum(skill_score)', 4)}, count_if(is_honeypot) FROM flat
