@@ -24,13 +24,17 @@ from rolecast.operators.skill import matched_skill_rows
 from rolecast.operators.score import add_final_score, score_stats
 from rolecast.operators.screen import flag_facts, flag_report, screen, validate_batch
 from rolecast.operators.vector_store import stored_topk, write_vector_store
+from rolecast.operators.tfidf import encode_tfidf, fit_tfidf
 from rolecast.plans.flow import (
     build_and_write,
     build_ranking,
     build_vectors,
+    embed_postings,
     format_ranked,
     load_and_rank,
     rank_for_postings,
+    rank_profiles,
+    rank_stored,
     retrieve_and_score,
     run_features,
 )
@@ -38,6 +42,6 @@ from rolecast.session import ship
 from rolecast.sources.postings import load_posting
 from rolecast.sources.profiles import read_profiles, read_profiles_strict, read_rejected, write_profile_store, write_profiles
 from rolecast.sources.tables import read_features, read_ranked_csv, write_features, write_ranked_csv
-from rolecast.streaming.screening import score_stream, screen_stream
+from rolecast.streaming.screening import first_lines, score_stream, screen_new_lines, screen_stream
 
 __all__ = [name for name in dir() if not name.startswith("_")]

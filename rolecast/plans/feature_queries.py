@@ -163,9 +163,13 @@ def feature_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EXACT = replace(CONFIG, skill_matching="exact")
 
 
+_EXACT_CTES = (SKILL_CTES[0], SKILL_CTES[1][: SKILL_CTES[1].index("WHERE EXISTS")] + f"WHERE EXISTS (SELECT 1 FROM want WHERE {_key('s.name')} = w))", *SKILL_CTES[2:])
+
+
 @query("skill_score_exact_match", check_sql(
-    f"""SELECT c.b AS ingest_ordinal, {r(f"least(coalesce(n, 0) / {_N_WANTED}.0e0, 1)")} AS skill_direct
-        FROM cand c LEFT JOIN (SELECT b, count(*) AS n FROM skill JOIN want ON {_key('name')} = w GROUP BY b) USING (b)""", *SKILL_CTES))
+    f"SELECT b AS ingest_ordinal, {r('direct')} AS skill_direct, {r('prof')} AS skill_proficiency, {r('assessed')} AS skill_assessment, {r('dur')} AS skill_duration, {r('skill_score')} AS skill_score FROM skill_total",
+    *_EXACT_CTES))
 def skill_score_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = L.add_skill_scores(profiles(spark, sf_dir), POSTING.criteria(), _EXACT)
-    return scored.select("ingest_ordinal", F.round(F.col("skill_direct").cast("decimal(24,10)"), 6).cast("double").alias("skill_direct"))
+    names = ("skill_direct", "skill_proficiency", "skill_assessment", "skill_duration", "skill_score")
+    return scored.select("ingest_ordinal", *[F.round(F.col(c).cast("decimal(24,10)"), 6).cast("double").alias(c) for c in names])

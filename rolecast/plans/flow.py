@@ -14,7 +14,7 @@ from rolecast.functions.text import candidate_text_blob, posting_text_blob
 from rolecast.operators.encode import Encoder, HashingEncoder, batch_embed
 from rolecast.operators.features import feature_table
 from rolecast.operators.posting import Posting, joined_criteria, with_criteria
-from rolecast.operators.rank import DEFAULT_TOP_K, rank_topk
+from rolecast.operators.rank import DEFAULT_TOP_K, rank_topk, rank_topk_narrow
 from rolecast.operators.reason import add_reasoning
 from rolecast.operators.retrieve import (
     choose_mode,
@@ -120,8 +120,12 @@ def encode_posting(spark: SparkSession, posting: Posting, make_encoder: Callable
     kind = "array<struct<name: string, importance: string>>"
     fields = spark.createDataFrame([row], f"""posting_id string, title string, description string, responsibilities string, required_skills {kind},
         preferred_skills {kind}, qualifications array<struct<degree: string, field: string>>""")
-    text = fields.select("posting_id", posting_text_blob().alias("text"))
-    return list(batch_embed(text, make_encoder, key="posting_id").first()["embedding"])
+    return list(embed_postings(fields, make_encoder).first()["embedding"])
+
+
+def embed_postings(postings: DataFrame, make_encoder: Callable[[], Encoder] = HashingEncoder, key: str = "posting_id", config: Config = DEFAULT) -> DataFrame:
+    """``(key, embedding)`` of a table of postings, each encoded from its text blob like a profile."""
+    return batch_embed(postings.select(key, posting_text_blob().alias("text")), make_encoder, key=key, batch_size=config.retrieval.batch_size)
 
 
 def format_ranked(ranked: DataFrame) -> DataFrame:
@@ -138,6 +142,11 @@ def format_ranked(ranked: DataFrame) -> DataFrame:
 def load_and_rank(spark: SparkSession, source: str | DataFrame, top_k: int = DEFAULT_TOP_K) -> DataFrame:
     """Rank a scored table given as a frame or as a parquet, csv or tsv path."""
     if isinstance(source, str):
+        if source.rstrip("/").endswith(".parquet"):
+            # Places of rows in their files are data, so a second, narrow scan finds the same rows.
+            stored = read_features(spark, source)
+            place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            return rank_topk_narrow(stored.select("*", place.alias("_place")), top_k, order="ingest_ordinal" if "ingest_ordinal" in stored.columns else "_place").drop("_place")
         # A text table has any columns; only the score is needed as a number, so none is inferred.
         read = read_features(spark, source, None, as_text=True)
         read = read.withColumn("final_score", F.col("final_score").try_cast("double")) if "final_score" in read.columns else read
@@ -157,6 +166,20 @@ def build_ranking(features: DataFrame, top_k: int = DEFAULT_TOP_K, config: Confi
     return format_ranked(add_reasoning(rank_topk(scored, top_k), config))
 
 
+def rank_stored(features: DataFrame, top_k: int = DEFAULT_TOP_K, config: Config = DEFAULT) -> DataFrame:
+    """``build_ranking`` of a stored feature table with ``ingest_ordinal``.
+
+    Id, score and place go through the shuffle; skills, titles and the other columns are read for the chosen rows only.
+    """
+    return format_ranked(add_reasoning(rank_topk_narrow(add_final_score(features, config), top_k), config))
+
+
+def rank_profiles(profiles: DataFrame, posting: Posting, path: str, top_k: int = DEFAULT_TOP_K, config: Config = DEFAULT) -> DataFrame:
+    """All profiles to the ranked, explained selection; the feature table is stored at ``path`` and scored from there."""
+    write_features(feature_table(profiles, posting.criteria(), config), path)
+    return rank_stored(profiles.sparkSession.read.parquet(path), top_k, config)
+
+
 def rank_for_postings(
     profiles: DataFrame,
     vectors: DataFrame,

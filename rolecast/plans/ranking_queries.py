@@ -371,8 +371,7 @@ def audit_honeypot_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     *FEATURE_CTES, *_top_sql(100)))
 def end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All profiles to the ranked, explained top 100."""
-    features = feature_table(profiles(spark, sf_dir), POSTING.criteria(), CONFIG)
-    return flow.build_ranking(features, config=CONFIG)
+    return flow.rank_profiles(profiles(spark, sf_dir), POSTING, scratch_path(spark, "features"), config=CONFIG)
 
 
 @query("retrieve_and_rank", check_sql(

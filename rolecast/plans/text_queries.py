@@ -12,8 +12,11 @@ from rolecast.functions.vocabulary import POSTING_SKILLS
 from rolecast.operators import encode as E
 from rolecast.operators import posting as P
 from rolecast.operators import retrieve as R
+from rolecast.operators import tfidf as TI
 from rolecast.operators import vector_store as VS
-from rolecast.plans.bindings import POSTING_TEXT, _id, document_profiles, postings, table, vectors
+from rolecast.operators.posting import Posting
+from rolecast.plans import flow
+from rolecast.plans.bindings import CONFIG, POSTING_TEXT, _id, document_profiles, postings, table, vectors
 from rolecast.plans.registry import ORACLES, query
 from rolecast.session import scratch_path
 from rolecast.sources import profiles as SP
@@ -49,18 +52,24 @@ def candidate_text_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_profiles(table(spark, sf_dir, "documents")).select("candidate_id", T.candidate_text_blob().alias("text"))
 
 
-@query("jd_text_blob", f"""
+_JD_BLOB = f"""
 WITH joined AS (
   SELECT item_id, {_join(f"[{_clean('substr(text, 1, 30)')}, {_clean('text')}, {_clean("'Duty ' || text")}, 'python python python c c go go go', " + _clean("'BSc ' || CAST(item_id AS STRING) || ' Math/CS'") + "]")} AS t FROM benchmark)
-SELECT item_id, {_CUT} AS text FROM joined""")
-def jd_text_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jd = table(spark, sf_dir, "benchmark").selectExpr(
+SELECT item_id, {_CUT} AS text FROM joined"""
+
+
+def _full_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").selectExpr(
         "item_id", "substr(text, 1, 30) AS title", "text AS description", "'Duty ' || text AS responsibilities",
         "array(named_struct('name', 'Python', 'importance', CAST(NULL AS STRING)), named_struct('name', 'C++', 'importance', 'nice')) AS required_skills",
         "array(named_struct('name', '', 'importance', 'required'), named_struct('name', 'Go', 'importance', 'required')) AS preferred_skills",
         "array(named_struct('degree', 'BSc ' || CAST(item_id AS STRING), 'field', 'Math/CS')) AS qualifications",
     )
-    return jd.select("item_id", T.posting_text_blob().alias("text"))
+
+
+@query("jd_text_blob", _JD_BLOB)
+def jd_text_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _full_postings(spark, sf_dir).select("item_id", T.posting_text_blob().alias("text"))
 
 
 _SEARCH = f"""
@@ -163,18 +172,45 @@ def batch_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("candidate_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 
-@query("embed_query", """
-WITH words AS (SELECT item_id, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS w FROM benchmark),
+@query("embed_query", f"""
+WITH blob AS ({_JD_BLOB}), words AS (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM blob),
 bucket AS (SELECT item_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL),
 norm AS (SELECT item_id, sqrt(sum(n * n)) AS len FROM bucket GROUP BY 1)
 SELECT item_id, dim, round(CAST(CAST(n / len AS FLOAT) AS DOUBLE), 5) AS weight FROM bucket JOIN norm USING (item_id)""")
 def embed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "benchmark").select("item_id", T.clean_text(F.col("text")).alias("text"))
-    encoded = E.batch_embed(texts, lambda: E.HashingEncoder(64), key="item_id")
+    encoded = flow.embed_postings(_full_postings(spark, sf_dir), lambda: E.HashingEncoder(64), key="item_id")
     cells = encoded.select("item_id", F.posexplode("embedding").alias("dim", "w")).where("w <> 0")
     return cells.select("item_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 
+_TERM_MODEL = f"""blob AS ({_BLOB}), word AS (SELECT candidate_id, unnest(string_split(text, ' ')) AS term FROM blob),
+model AS (SELECT term, ln((1e0 + (SELECT count(*) FROM blob)) / (1e0 + count(DISTINCT candidate_id))) + 1 AS idf FROM word WHERE term <> '' GROUP BY term)"""
+
+
+def _unit_terms(words: str, key: str) -> str:
+    return f"""w AS (SELECT {key}, term, count(*) * any_value(idf) AS w FROM {words} JOIN model USING (term) GROUP BY ALL),
+norm AS (SELECT {key}, sqrt(sum(w * w)) AS len FROM w GROUP BY {key})
+SELECT {key}, term, round(w / len, 6) AS weight FROM w JOIN norm USING ({key})"""
+
+
+def _cells(vectors_: DataFrame, key: str) -> DataFrame:
+    return vectors_.select(key, F.explode("vector").alias("c")).select(key, "c.term", F.round("c.weight", 6).alias("weight"))
+
+
+@query("batch_embed_tfidf", f"WITH {_TERM_MODEL}, {_unit_terms('word', 'candidate_id')}")
+def batch_embed_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors of all profiles."""
+    blobs = candidate_text_blob(spark, sf_dir)
+    return _cells(TI.encode_tfidf(blobs, TI.fit_tfidf(blobs)), "candidate_id")
+
+
+@query("embed_query_tfidf", f"WITH {_TERM_MODEL}, asked AS (SELECT item_id, unnest(string_split(text, ' ')) AS term FROM ({_JD_BLOB})), {_unit_terms('asked', 'item_id')}")
+def embed_query_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse vectors of postings by the model of the profiles."""
+    model = TI.fit_tfidf(candidate_text_blob(spark, sf_dir))
+    return _cells(TI.encode_tfidf(jd_text_blob(spark, sf_dir), model, key="item_id"), "item_id")
+
+
 @query("l2_normalise", """
 WITH v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
 t AS (SELECT vec_id, dim, CAST(x AS DOUBLE) * (vec_id % 5) AS x FROM v), n AS (SELECT vec_id, sqrt(sum(x * x)) AS len FROM t GROUP BY 1)
@@ -275,19 +311,16 @@ def fetch_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"), "n_chars", "source")
 
 
+_MODE_POSTING = Posting(title="", skills=_WORDS, skill_keys=("python",), min_years=0.0, industry="")
+
+
 @query("retrieval_mode", f"""WITH {_RETRIEVED}, kw AS ({_SEARCH.replace('WITH ', 'WITH ', 1)} SELECT {_id('doc_id')} AS candidate_id, {_HITS} AS hits FROM searched)
-SELECT 'semantic' AS mode, candidate_id, round(semantic_score, 6) AS semantic_score FROM hit
+SELECT 'semantic' AS mode, candidate_id, round(CAST(semantic_score AS DECIMAL(24, 10)), 4) AS semantic_score FROM hit WHERE candidate_id IN (SELECT {_id('doc_id')} FROM documents)
 UNION ALL (SELECT 'keyword', candidate_id, 0.0e0 FROM kw WHERE hits >= 1 ORDER BY hits DESC, candidate_id LIMIT 500)""")
 def retrieval_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both branches of the mode switch over the same corpus."""
+    """Retrieval and scoring with and without vectors at hand, the mode left open."""
     v, docs = vectors(spark, sf_dir), document_profiles(table(spark, sf_dir, "documents"))
     q = v.where("vec_id = 0").select("embedding").first()[0]
-    result = None
-    for has_vectors in (True, False):
-        mode = R.choose_mode("auto", has_vectors)
-        if mode == "semantic":
-            hits = R.semantic_retrieve(v, q, 300).select(F.lit(mode).alias("mode"), "candidate_id", F.round("semantic_score", 6).alias("semantic_score"))
-        else:
-            hits = R.keyword_topn(docs, _WORDS).select(F.lit(mode).alias("mode"), "candidate_id", F.lit(0.0).alias("semantic_score"))
-        result = hits if result is None else result.unionByName(hits)
-    return result
+    named = lambda mode, found: found.select(F.lit(mode).alias("mode"), "candidate_id", "semantic_score")
+    with_vectors = flow.retrieve_and_score(docs, _MODE_POSTING, v, q, top_n=300, config=CONFIG)
+    return named("semantic", with_vectors).unionByName(named("keyword", flow.retrieve_and_score(docs, _MODE_POSTING, top_n=500, config=CONFIG)))

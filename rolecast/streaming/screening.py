@@ -1,13 +1,20 @@
 """The fraud screen and the scores on a stream.
 
 Everything up to the final score looks at one row only, so the batch
-operators run unchanged on a streaming frame in append mode, without state.
+operators run unchanged on a streaming frame in append mode, without state. Only the removal of repeated
+ids keeps a state.
 Ranking needs the whole table and stays a batch job over the written rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import DataStreamWriter
 
 from rolecast.config import DEFAULT, Config
@@ -15,6 +22,8 @@ from rolecast.operators.features import feature_table
 from rolecast.operators.posting import Criteria
 from rolecast.operators.score import add_final_score
 from rolecast.operators.screen import validate_batch
+from rolecast.sources.profiles import parse_profiles
+from rolecast.sources.schema import CORRUPT
 
 
 def screen_stream(profiles: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -27,6 +36,48 @@ def score_stream(profiles: DataFrame, criteria: Criteria, config: Config = DEFAU
     return add_final_score(feature_table(profiles, criteria, config), config)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of each row: its task, then its place there. Streams have no function for that."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names=["value", "candidate_id", "place"])
+        at += batch.num_rows
+
+
+def first_lines(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Of a stream of JSON lines, the first one of each id; ``value`` is all that is kept.
+
+    An id is known by a state of one flag once a line of it has come, so repeats in later files are dropped; of lines that arrive together the
+    one that was read first stays. Lines without an id, or that are no JSON, pass. The state holds
+    every id seen: use the RocksDB state store for many.
+    """
+    lines = lines.select(F.col(column).alias("value"))
+    known = F.try_variant_get(F.try_parse_json("value"), "$.candidate_id", "string")
+    numbered = lines.select("value", known.alias("candidate_id")).mapInArrow(_numbered, "value string, candidate_id string, place long")
+
+    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        first = None
+        for frame in frames:
+            row = frame.loc[frame["place"].idxmin()]
+            first = row if first is None or row["place"] < first["place"] else first
+        state.update((True,))
+        yield pd.DataFrame({"value": [first["value"]]})
+
+    kept = numbered.where("candidate_id IS NOT NULL").groupBy("candidate_id").applyInPandasWithState(
+        keep, "value string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return kept.unionByName(numbered.where("candidate_id IS NULL").select("value"))
+
+
+def screen_new_lines(lines: DataFrame, signals_field: str = "signals", config: Config = DEFAULT) -> DataFrame:
+    """Verdicts for a stream of JSON lines, one for each id."""
+    parsed = parse_profiles(first_lines(lines), "value", signals_field)
+    return screen_stream(parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), config)
+
+
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """A writer for all available input; start it with ``.start()``."""
     return (
