@@ -224,6 +224,39 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield links(held)
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(block, rep, sub, sig, n_shingles)`` sorted by block: those whose signature and size allow a link to a row with another ``sub``.
+
+    One row at most for each row that came in; pairs are not given out.
+    """
+    least = least_agreement(percent)
+
+    def meet(block: int, rows: list[tuple]) -> pa.RecordBatch:
+        rep, sub, sig, size = zip(*rows)
+        sigs, subs, sizes = np.stack([np.frombuffer(x, ">u2") for x in sig]), np.array(sub, np.int64), np.array(size, np.int64)
+        good = np.zeros(len(rows), bool)
+        for a in range(len(rows) - 1):
+            other = slice(a + 1, None)
+            ok = (subs[other] != subs[a]) & (100 * np.minimum(sizes[other], sizes[a]) >= percent * np.maximum(sizes[other], sizes[a]))
+            ok &= (sigs[other] == sigs[a]).mean(1) >= least
+            good[a] |= ok.any()
+            good[other] |= ok
+        at = np.flatnonzero(good)
+        return pa.RecordBatch.from_arrays([pa.array([rep[k] for k in at], pa.int64()), pa.array(subs[at]), pa.array([block] * len(at), pa.int64())], names=["rep", "sub", "block"])
+
+    held: list[tuple] = []
+    current = None
+    for batch in batches:
+        for block, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if block != current and held:
+                yield meet(current, held)
+                held.clear()
+            current = block
+            held.append(tuple(row))
+    if held:
+        yield meet(current, held)
+
+
 def _orders(classes: DataFrame) -> DataFrame:
     """One row per class and order, with the order's key of eight values."""
     wide = 2 * KEY_VALUES
@@ -342,7 +375,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     joined = components(links, label="near-duplicates")
     rest = _rest_blocks(groups, joined)
     if rest is not None:
-        more = written(confirmed(sets.join(rest, "rep")), "confirmed-rest")
+        # Signatures meet first; full sets are sent only to blocks where something agrees with them.
+        small = rest.join(groups.select("rep", "sig", "n_shingles"), "rep").select("block", "rep", "sub", "sig", "n_shingles")
+        laid = small.repartition("block").sortWithinPartitions("block", "rep")
+        agreeing = written(laid.mapInArrow(lambda batches: _agreeing(batches, percent), "rep long, sub long, block long"), "rest-agreeing")
+        more = written(confirmed(sets.join(agreeing, "rep")), "confirmed-rest")
         if not more.isEmpty():
             joined = components(links.unionByName(more), label="near-duplicates")
     named = classes.select("set_key", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))

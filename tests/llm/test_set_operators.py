@@ -449,6 +449,24 @@ def test_pipeline_stages_take_odd_rows(spark):
         corpus_pipeline.STAGES[-1][1](spark, frame, SF).count()
 
 
+def test_pipeline_stages_do_what_they_say_on_odd_rows(spark):
+    passage = " ".join(f"word{k}{'abcdefg'[k % 7]}" for k in range(80))
+    rows = [(1, None, None, "s", None), (1, None, None, "s", None), (2, "", "en", None, 0), (3, "12 34", "en", "s", 5), (None, "words without a key", "en", "s", 19),
+            (4, "plain words here token=abcdefgh12", "en", "s", 33), (4, "plain words here token=abcdefgh12", "en", "s", 33), (6, passage, "en", "s", 1), (7, passage, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    run = lambda name: [tuple(r) for r in dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect()]
+    texts = lambda found: sorted(((str(r[0]), str(r[1])) for r in found))
+    assert texts(run("language_id")) == texts([r for r in rows if r[1] and r[1] != "12 34"])
+    assert texts(run("near_dedup")) == texts([r for r in rows if r[0] != 7])
+    cut = {r[0]: r for r in run("substring_dedup") if r[0] != 4}
+    assert cut[6][1] == passage and len(cut[7][1]) < len(passage) / 2 and cut[7][4] == len(cut[7][1]) and cut[1][1] is None and cut[2][1] == ""
+    assert len(run("substring_dedup")) == len(run("secret_scan")) == len(run("best_fit_packing")) == len(rows)
+    masked = [r for r in run("secret_scan") if r[0] == 4]
+    assert [r[1] for r in masked] == ["plain words here [SECRET]"] * 2 and all(r[4] == 25 for r in masked)
+    packed = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, docs, SF).collect()}
+    assert packed[1]["length"] == packed[2]["length"] == 1 and packed[3]["length"] > 1
+
+
 def docs_flag():
     from pyspark.sql import functions as F
 
