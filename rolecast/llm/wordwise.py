@@ -64,7 +64,7 @@ def column_ids(texts: pa.Array, first: Callable, later: Callable, whole: Callabl
     values = cut.values.slice(begin[0], begin[-1] - begin[0])
     begin -= begin[0]
     coded = values.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     heads = begin[:-1]
     packed = later(strings(coded.dictionary))
     codes[heads] = len(packed) + np.arange(len(heads))
@@ -74,23 +74,27 @@ def column_ids(texts: pa.Array, first: Callable, later: Callable, whole: Callabl
     if None in packed:
         rows |= np.logical_or.reduceat(np.array([p is None for p in packed], bool)[codes], heads)
         packed = [b"" if p is None else p for p in packed]
-    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    # 32 bits are enough: a column has less than 2^31 bytes, and a token has one at least.
+    sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
     ids = np.frombuffer(b"".join(packed), "<u4")
-    places = np.cumsum(sizes) - sizes
+    places = np.cumsum(sizes, dtype=np.int32) - sizes
     count = sizes[codes]
-    before = np.cumsum(count) - count
-    out = ids[np.repeat(places[codes] - before, count) + np.arange(count.sum())] if len(ids) else ids
-    lengths = np.add.reduceat(count, heads) if len(heads) else np.zeros(0, np.int64)
+    lengths = np.add.reduceat(count, heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
+    at = places[codes]
+    at -= np.cumsum(count, dtype=np.int32) - count
+    at = np.repeat(at, count)
+    at += np.arange(len(at), dtype=np.int32)
+    out = ids[at] if len(ids) else ids
     if not rows.any():
         return out, lengths
     ends = np.cumsum(lengths)
     parts: list[np.ndarray] = []
-    at = 0
+    begun = 0
     for k in np.flatnonzero(rows):
-        parts.append(out[at : ends[k] - lengths[k]])
+        parts.append(out[begun : ends[k] - lengths[k]])
         parts.append(np.frombuffer(whole(texts[int(k)].as_py()), "<u4"))
-        at, lengths[k] = ends[k], len(parts[-1])
-    return np.concatenate([*parts, out[at:]]), lengths
+        begun, lengths[k] = ends[k], len(parts[-1])
+    return np.concatenate([*parts, out[begun:]]), lengths
 
 
 def row_bytes(ids: np.ndarray, lengths: np.ndarray, tail: bytes = b"") -> list[bytes]:
