@@ -14,17 +14,15 @@ from rolecast.session import scratch_path
 GRAM = 3
 
 
-def _grams(text: Column, most: int = GRAM) -> Column:
-    """The distinct character triples of a text; of a shorter text, the text itself."""
-    # Characters once as an array: a substring would count from the beginning each time.
-    signs = F.split(text, "")
+def _grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of ``size`` characters of a text; of a shorter text, the text itself."""
 
-    def cut(c: Column) -> Column:
-        last = F.size(c) - most + 1
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(c, k, F.lit(most)), ""))
-        return F.array_distinct(runs)
+    def cut(signs: Column) -> Column:
+        runs = F.transform(signs, lambda c, k: F.concat(c, *[F.coalesce(F.get(signs, k + n), F.lit("")) for n in range(1, size)]) if size > 1 else c)
+        return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(signs) - size + 1, F.lit(1))))
 
-    return F.element_at(F.transform(F.array(signs), cut), 1)
+    # Characters once as an array, bound to a name: a substring would count from the beginning each time.
+    return F.element_at(F.transform(F.array(F.split(text, "")), cut), 1)
 
 
 def containing(texts: DataFrame, needles: DataFrame, key: str = "id", text: str = "text", needle: str = "needle") -> DataFrame:
