@@ -287,7 +287,7 @@ hit AS (SELECT candidate_id, greatest(least(sim, 1), 0) AS semantic_score FROM s
 def semantic_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     q = v.where("vec_id = 0").select("embedding").first()[0]
-    return R.semantic_retrieve(v, q, 300).select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"))
+    return R.semantic_retrieve(v, q, 300).select("candidate_id", F.round(F.round("semantic_score", 9), 6).alias("semantic_score"))
 
 
 @query("fetch_by_ids", f"""WITH {_RETRIEVED}
@@ -298,7 +298,7 @@ def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = v.where("vec_id = 0").select("embedding").first()[0]
     docs = table(spark, sf_dir, "documents").selectExpr(f"{_id('doc_id')} AS candidate_id", "n_chars", "source")
     found = R.fetch_by_ids(docs, R.semantic_retrieve(v, q, 300).drop("position"))
-    return found.select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"), "n_chars", "source")
+    return found.select("candidate_id", F.round(F.round("semantic_score", 9), 6).alias("semantic_score"), "n_chars", "source")
 
 
 @query("fetch_from_store", ORACLES["fetch_by_ids"])
@@ -308,7 +308,7 @@ def fetch_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = v.where("vec_id = 0").select("embedding").first()[0]
     SP.write_profile_store(table(spark, sf_dir, "documents").selectExpr(f"{_id('doc_id')} AS candidate_id", "n_chars", "source"), path)
     found = R.fetch_from_store(spark, path, R.semantic_retrieve(v, q, 300).drop("position"))
-    return found.select("candidate_id", F.round("semantic_score", 6).alias("semantic_score"), "n_chars", "source")
+    return found.select("candidate_id", F.round(F.round("semantic_score", 9), 6).alias("semantic_score"), "n_chars", "source")
 
 
 _MODE_POSTING = Posting(title="", skills=_WORDS, skill_keys=("python",), min_years=0.0, industry="")
