@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from rolecast.llm.wordwise import Memory, column_ids
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 #: Up to here all Unicode versions agree on what is a letter, a digit and white space.
 SETTLED = "ɐ"
 
@@ -42,7 +42,7 @@ class TextEncoder:
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         self.pieces = regex.compile(pattern).findall if pattern else None
-        self.piece = Memory(self._new_pieces, CACHED_WORDS // 3)
+        self.piece = Memory(self._new_pieces, CACHED_WORDS // 6)
         self.spaced = Memory(lambda words: self._new_words(" ", words), CACHED_WORDS)
         self.bare = Memory(lambda words: self._new_words("\n", words), CACHED_WORDS // 6)
         self.line = self.whole("\n")
