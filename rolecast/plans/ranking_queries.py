@@ -11,7 +11,6 @@ from rolecast.operators import audit as A
 from rolecast.operators import rank as R
 from rolecast.operators import reason as N
 from rolecast.operators import score as S
-from rolecast.operators.features import feature_table
 from rolecast.operators.screen import screen
 from rolecast.plans import flow
 from rolecast.plans.bindings import CONFIG, POSTING, _id, check_sql, profiles, table, vectors
