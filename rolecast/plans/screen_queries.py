@@ -217,8 +217,8 @@ SELECT count(*) AS n_profiles, count_if(high > 20) AS n_explosion, count_if(zero
 FROM per""")
 def screen_stream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screen the documents as a stream, then count verdicts in the written table."""
-    source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).option(
-        "pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    # The table is one file or a folder of files. A stream takes the path of a single file only as a pattern, with a base folder named.
+    source = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("basePath", sf_dir).parquet(f"{sf_dir}/documents.[p]arquet")
     out = scratch_path(spark, "screened")
     to_parquet(screen_stream(document_profiles(source), CONFIG), f"{out}/rows", f"{out}/state").start().awaitTermination()
     flags = F.split("flags", ", ")
