@@ -57,6 +57,14 @@ def prepare(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return df.withColumns(parsed).withColumns(sorted_)
 
 
+def _level(skill: Column) -> Column:
+    return F.lower(text_or(skill["proficiency"], ""))
+
+
+def _amount(x: Column) -> Column:
+    return F.coalesce(whole(x), F.lit(0))
+
+
 @per_session
 def _prepared_columns(config: Config) -> tuple[dict[str, Column], dict[str, Column]]:
     reference = F.lit(config.reference_date)
@@ -80,13 +88,14 @@ def _prepared_columns(config: Config) -> tuple[dict[str, Column], dict[str, Colu
                     F.lower(text_or(r["description"], "")).alias("description"),
                 ),
             ),
+            # Only the skills that some rule looks at; in the others nothing can be wrong.
             "_skills": F.transform(
-                "skills",
+                F.filter("skills", lambda s: _level(s).isin("expert", "advanced") | ((_amount(s["duration_months"]) == 0) & (_amount(s["endorsements"]) > 50))),
                 lambda s: F.struct(
                     s["name"].alias("name"),
-                    F.lower(text_or(s["proficiency"], "")).alias("level"),
-                    F.coalesce(whole(s["duration_months"]), F.lit(0)).alias("months"),
-                    F.coalesce(whole(s["endorsements"]), F.lit(0)).alias("endorsements"),
+                    _level(s).alias("level"),
+                    _amount(s["duration_months"]).alias("months"),
+                    _amount(s["endorsements"]).alias("endorsements"),
                 ),
             ),
             "_first_school_year": F.array_min(F.transform("education", lambda e: whole(e["start_year"]))),
@@ -479,19 +488,24 @@ ALL_RULES: tuple[Rule, ...] = STRUCTURAL + IMPOSSIBLE + BEHAVIOUR
 # -- public operators -------------------------------------------------------
 
 @per_session
-def _flag_array(rules: tuple[Rule, ...], config: Config) -> Column:
+def _rule_results(rules: tuple[Rule, ...], config: Config) -> Column:
     groups = []
     for rule in rules:
         built = rule.build(config)
         groups.append(built if rule.many else F.array(built))
-    return F.array_compact(F.concat(*groups)).cast(f"array<{FLAG_TYPE}>")
+    return F.concat(*groups)
+
+
+def _raised(results: Column) -> Column:
+    # Lambdas are interpreted with all they are given. Named more than once, the results stay a projection of their own, which is compiled.
+    return F.when(F.size(results) > 0, F.array_compact(results)).otherwise(results).cast(f"array<{FLAG_TYPE}>")
 
 
 def add_flags(df: DataFrame, config: Config = DEFAULT, rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Add ``flags``, the ordered array of ``{name, points, description}``."""
     helpers_before = set(df.columns)
-    flags = _flag_array(tuple(rules), config)
-    flagged = prepare(df, config).withColumn("flags", flags)
+    results = _rule_results(tuple(rules), config)
+    flagged = prepare(df, config).withColumn("_results", results).withColumn("flags", _raised(F.col("_results")))
     return flagged.drop(*[c for c in flagged.columns if c.startswith("_") and c not in helpers_before])
 
 

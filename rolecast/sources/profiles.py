@@ -23,9 +23,13 @@ def read_profiles(spark: SparkSession, path: str, signals_field: str = "signals"
 
 def read_rejected(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """The malformed lines with their file, for a quarantine table."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    bad = parse_profiles(lines, "value", signals_field).where(F.col(CORRUPT).isNotNull())
-    return bad.select("file", F.col(CORRUPT).alias("line"))
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    opened = _opened(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+    # Whether a line is an object shows without its fields.
+    found = opened.select("file", F.inline(F.array(F.struct(
+        F.col("_line").alias("line"), (F.trim("_line") != "").alias("_written"),
+        F.when(_alone(), F.try_variant_get("_json", "$[0]", "STRUCT<candidate_id: STRING>")).isNull().alias("_bad")))))
+    return found.where("_written AND _bad").select("file", "line")
 
 
 def read_profiles_strict(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
@@ -47,11 +51,7 @@ def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str =
     """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in lines.columns if c != column]
-    line = F.col("_line")
-    opened = lines.where(F.trim(column) != "").select(*kept, F.col(column).alias("_line"))
-    # Spark's parser stops behind the first value; between brackets, anything else on the line is seen.
-    opened = opened.withColumn("_mark", F.xxhash64(line)).withColumn("_json", F.coalesce(_in_brackets(line), F.when(line.rlike("NaN|Infinity"), _in_brackets(_named_numbers(line)))))
-    alone = F.try_variant_get("_json", "$[1]", "bigint") == F.col("_mark")
+    line, opened, alone = F.col("_line"), _opened(lines, column), _alone()
     names = {name: signals_field if name == "signals" else name for name in PARTS}
     kind = ", ".join(f"`{names[name]}`: {kind.replace('BOOLEAN', 'STRING')}" for name, kind in PARTS.items())
     opened = opened.withColumn("_fields", F.when(alone, F.try_variant_get("_json", "$[0]", f"STRUCT<candidate_id: STRING, {kind}>")))
@@ -64,9 +64,21 @@ def parse_profiles(lines: DataFrame, column: str = "value", signals_field: str =
             for name in PARTS
         ]
         parts.append(F.array_compact(F.array(*lost)).alias("odd_parts"))
-    # A generator, so that a filter on parsed fields does not parse a second time.
-    parsed = opened.select(*kept, F.inline(F.array(F.struct(*parts))))
-    return normalise_arrays(with_booleans(parsed))
+    # A generator, so that a filter on parsed fields does not parse a second time, and one on blank lines does not make the lines twice.
+    parsed = opened.select(*kept, F.inline(F.array(F.struct(*parts, (F.trim(line) != "").alias("_written")))))
+    return normalise_arrays(with_booleans(parsed.where("_written").drop("_written")))
+
+
+def _opened(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Adds ``_line`` in place of the column, ``_mark`` and ``_json``, the line and the mark as an array."""
+    line = F.col("_line")
+    opened = lines.select(*[c for c in lines.columns if c != column], F.col(column).alias("_line"))
+    # Spark's parser stops behind the first value; between brackets, anything else on the line is seen.
+    return opened.withColumn("_mark", F.xxhash64(line)).withColumn("_json", F.coalesce(_in_brackets(line), F.when(line.rlike("NaN|Infinity"), _in_brackets(_named_numbers(line)))))
+
+
+def _alone() -> Column:
+    return F.try_variant_get("_json", "$[1]", "bigint") == F.col("_mark")
 
 
 def _in_brackets(line: Column) -> Column:
