@@ -61,15 +61,17 @@ def first_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         if state.exists:
             return
         first = None
-        for frame in frames:
-            row = frame.loc[frame["place"].idxmin()]
-            first = row if first is None or row["place"] < first["place"] else first
+        for frame in frames:  # most groups are one line, so nothing here is done by pandas' own selection
+            places = frame["place"].to_numpy()
+            at = places.argmin()
+            if first is None or places[at] < first[0]:
+                first = places[at], frame["value"].array[at]
         state.update((True,))
-        yield pd.DataFrame({"value": [first["value"]]})
+        yield pd.DataFrame({"value": [first[1]]})
 
     kept = numbered.where("candidate_id IS NOT NULL").groupBy("candidate_id").applyInPandasWithState(
         keep, "value string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return kept.unionByName(numbered.where("candidate_id IS NULL").select("value"))
+    return kept.unionByName(lines.where(known.isNull()))
 
 
 def screen_new_lines(lines: DataFrame, signals_field: str = "signals", config: Config = DEFAULT) -> DataFrame:
