@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecast.llm.common import list_array, slices
-from rolecast.llm.wordwise import Memory, column_ids
+from rolecast.llm.wordwise import Memory, column_ids, packed
 
 SPACE = "▁"
 CACHED_WORDS = 800_000
@@ -62,9 +62,9 @@ class PieceModel:
         self._after: dict[str, dict[str, bool]] = {}
         self._pairs = 0
         self._shorter: dict[str, str | None] = {}
-        self._words = Memory(lambda words: [self._behind_space(w) for w in words], CACHED_WORDS)
+        self._words = Memory(lambda words: packed([self._behind_space(w) for w in words]), CACHED_WORDS)
         # A text that begins with a space or a line break is taken whole.
-        self._heads = Memory(lambda words: [self.encode_part(self.prefix + w) if w else None for w in words], CACHED_WORDS // 8)
+        self._heads = Memory(lambda words: packed([self.encode_part(self.prefix + w) if w else None for w in words]), CACHED_WORDS // 8)
 
     def merge(self, text: str, stop: str | None = None) -> list[str]:
         """The encoding by its definition: join the adjacent pair with the best score, leftmost first.
