@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from rolecast.llm.common import written
 
+#: Links in a file of a round, so that small tables are not strewn over a file for each shuffle partition.
+FILE_LINKS = 4096
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of each node are hung on its smallest neighbour."""
@@ -26,16 +29,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "compo
     """``(node, component)``: the smallest node that each linked node reaches.
 
     Works in rounds of two joins over the links, each round saved to the shared
-    folder; all stars have one level once a round changes nothing. The number of links
-    never grows and a node with many links is summed before the shuffle. Links with a
+    folder in files of about ``FILE_LINKS`` links; all stars have one level once a round changes nothing. The number of links
+    never grows, and it is counted first, so a saved table is best given; a node with many links is summed before the shuffle. Links with a
     NULL end and of a node to itself are left out; no links give no rows.
     """
     x, y = F.col(a), F.col(b)
     links = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    now = written(links.distinct(), label)
+    files = links.count() // FILE_LINKS + 1
+    now = written(links.distinct().coalesce(files), label)
     seen = None
     while True:
-        now = written(_small_star(_large_star(now)), label)
+        now = written(_small_star(_large_star(now)).coalesce(files), label)
         # Exact sums of hashes: equal marks mean equal sets of links.
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if mark == seen or mark[0] == 0:
