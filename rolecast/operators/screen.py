@@ -553,8 +553,8 @@ def screen(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return tiered.withColumn("is_honeypot", F.col("validation_tier") == "honeypot")
 
 
-def validate_batch(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The verdict table: one row per profile, flag names joined by a comma."""
+def validate_batch(df: DataFrame, config: Config = DEFAULT, keep: Sequence[str] = ()) -> DataFrame:
+    """The verdict table: one row per profile, flag names joined by a comma; behind them the columns to ``keep``."""
     return screen(df, config).select(
         text_or(F.col("candidate_id"), UNKNOWN_ID).alias("candidate_id"),
         "is_honeypot",
@@ -562,6 +562,7 @@ def validate_batch(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.col("validation_tier").alias("tier"),
         "primary_reason",
         F.array_join(F.transform("flags", lambda f: f["name"]), ", ").alias("flags"),
+        *keep,
     )
 
 

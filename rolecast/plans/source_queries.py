@@ -92,7 +92,7 @@ def screen_arriving_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lines.where("ingest_ordinal % 3 <> 1")
     again = first.where("ingest_ordinal % 97 <> 5").withColumn("value", F.regexp_replace("value", '"headline":"', '"headline":"Head of everything '))
     for arriving in (first.select("value"), lines.where("ingest_ordinal % 3 = 1").select("value").unionByName(again.select("value"))):
-        arriving.write.mode("append").text(f"{base}/in")
+        arriving.write.mode("append").option("compression", "gzip").text(f"{base}/in")
         stream = spark.readStream.schema("value string").text(f"{base}/in")
         to_parquet(screen_new_lines(stream, config=CONFIG), f"{base}/rows", f"{base}/state").start().awaitTermination()
     return spark.read.parquet(f"{base}/rows")

@@ -8,14 +8,15 @@ Ranking needs the whole table and stays a batch job over the written rows.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rolecast.config import DEFAULT, Config
 from rolecast.operators.features import feature_table
@@ -42,42 +43,76 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     at = TaskContext.get().partitionId() << 33
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names=["value", "candidate_id", "place"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range(at, at + batch.num_rows), pa.int64())], names=[*batch.schema.names, "_place"])
         at += batch.num_rows
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each ``_id`` the row with the lowest ``_place``. Only these two stay in memory; the rows wait in a file of the task."""
+    ids, places = [], []
+    with tempfile.TemporaryFile() as file:
+        for batch in batches:
+            if not ids:
+                rows = pa.ipc.new_stream(file, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+            rows.write_batch(batch)
+            ids.append(batch.column("_id").cast(pa.large_string()))
+            places.append(batch.column("_place").to_numpy())
+        if not ids:
+            return
+        rows.close()
+        file.seek(0)
+        codes = pa.concat_arrays(ids).dictionary_encode().indices.to_numpy()
+        order = np.lexsort((np.concatenate(places), codes))
+        first = np.zeros(len(codes), bool)
+        first[order[np.flatnonzero(np.diff(codes[order], prepend=-1))]] = True
+        at = 0
+        for batch in pa.ipc.open_stream(file):
+            yield batch.filter(pa.array(first[at : at + batch.num_rows]))
+            at += batch.num_rows
+
+
+def _first_of_each(rows: DataFrame) -> DataFrame:
+    """Of a stream of rows with an ``_id``, the first one of each; sent twice, so they should be short.
+
+    Rows that arrive together are compared by their places. What is left has one row for each id, and Spark's own state
+    drops those that came before.
+    """
+    numbered = rows.mapInArrow(_numbered, StructType([*rows.schema, StructField("_place", LongType())]))
+    first = numbered.repartition("_id").mapInArrow(_first_rows, numbered.schema)
+    return first.dropDuplicates(["_id"]).drop("_id", "_place")
+
+
+def _named(lines: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The lines as ``value`` and ``_id``, and those without an id, or that are no JSON."""
+    known = F.try_variant_get(F.try_parse_json(F.col(column)), "$.candidate_id", "string")
+    # A generator, so that a filter on the id does not look for it a second time.
+    lines = lines.select(F.inline(F.array(F.struct(F.col(column).alias("value"), known.alias("_id")))))
+    return lines.where("_id IS NOT NULL"), lines.where("_id IS NULL")
+
+
 def first_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Of a stream of JSON lines, the first one of each id; ``value`` is all that is kept.
 
-    An id is known by a state of one flag once a line of it has come, so repeats in later files are dropped; of lines that arrive together the
+    An id is known by a state once a line of it has come, so repeats in later files are dropped; of lines that arrive together the
     one that was read first stays. Lines without an id, or that are no JSON, pass. The state holds
     every id seen: use the RocksDB state store for many.
     """
-    lines = lines.select(F.col(column).alias("value"))
-    known = F.try_variant_get(F.try_parse_json("value"), "$.candidate_id", "string")
-    numbered = lines.select("value", known.alias("candidate_id")).mapInArrow(_numbered, "value string, candidate_id string, place long")
+    known, other = _named(lines, column)
+    return _first_of_each(known).unionByName(other.select("value"))
 
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        first = None
-        for frame in frames:  # most groups are one line, so nothing here is done by pandas' own selection
-            places = frame["place"].to_numpy()
-            at = places.argmin()
-            if first is None or places[at] < first[0]:
-                first = places[at], frame["value"].array[at]
-        state.update((True,))
-        yield pd.DataFrame({"value": [first[1]]})
 
-    kept = numbered.where("candidate_id IS NOT NULL").groupBy("candidate_id").applyInPandasWithState(
-        keep, "value string", "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return kept.unionByName(lines.where(known.isNull()))
+def screen_new_lines(lines: DataFrame, signals_field: str = "signals", config: Config = DEFAULT) -> DataFrame:
+    """Verdicts for a stream of JSON lines, one for each id: that of its first line (see ``first_lines``).
 
+    A verdict is much shorter than its line, so lines are screened where they are read and only verdicts are sent
+    to find the first of each id. The first line of an id counts even where it is rejected.
+    """
+    def screened(part: DataFrame) -> DataFrame:
+        parsed = parse_profiles(part, "value", signals_field).withColumn("_whole", F.col(CORRUPT).isNull()).drop(CORRUPT)
+        return validate_batch(parsed, config, keep=("_id", "_whole"))
 
-def screen_new_lines(lines: DataFrame, signals_field: str = "signals", config: Config = DEFAULT) -> DataFrame:
-    """Verdicts for a stream of JSON lines, one for each id."""
-    parsed = parse_profiles(first_lines(lines), "value", signals_field)
-    return screen_stream(parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT), config)
+    known, other = map(screened, _named(lines, "value"))
+    return _first_of_each(known).unionByName(other.drop("_id")).where("_whole").drop("_whole")
 
 
 def to_parquet(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
